@@ -10,6 +10,8 @@ further columns pass through.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,25 +21,19 @@ from .common import WORD, free_name, let, read_table
 # Phrases of page furniture, lower case.
 BOILERPLATE = (
     "all rights reserved",
-    "privacy policy",
-    "terms of use",
-    "terms of service",
-    "cookie policy",
-    "use of cookies",
-    "enable javascript",
-    "javascript is disabled",
     "click here",
-    "read more",
-    "sign up",
-    "log in",
-    "subscribe to",
+    "cookie",
+    "javascript",
     "lorem ipsum",
+    "privacy policy",
+    "subscribe to",
+    "terms of",
 )
 SYMBOL = r"[#*$%&|<>]"
 SHOUTED = r"[A-ZÀ-ÖØ-Þ]"
 BANG = r"[!?]"
-BAR = r" [|>»·•] "
-STOP = r"[.!?…:;。！？]"
+BAR = r" [|>»·] "
+STOP = r"[.!?:;]"
 
 
 @dataclass(frozen=True)
@@ -72,24 +68,18 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     )
 
 
-def may_fail(text: Column, n_symbols: Column, rules: LineRules) -> Column:
-    """False only if no line of the text can fail: the same rules in a form that one scan of the text answers.
+def may_fail(text: Column, lowered: Column, n_symbols: Column, rules: LineRules) -> Column:
+    """False only if no line of the text can fail: the same rules in a form that few scans of the text answer.
 
     A line of more capitals than half has two that adjoin, and a line of w words has 2w - 1 characters at least.
     """
-    lowered = F.lower(text)
-    shape = 2 * rules.min_words_for_end - 1
-    phrases = [lowered.contains(phrase) for phrase in BOILERPLATE]
-    found = phrases[0]
-    for phrase in phrases[1:]:
-        found = found | phrase
-    return (
+    unstopped = r"\n[^.!?:;\n]{%d,}+\n" % (2 * rules.min_words_for_end - 1)
+    return reduce(
+        or_,
+        [lowered.contains(phrase) for phrase in BOILERPLATE],
         (n_symbols > 0)
-        | text.rlike(BANG)
-        | text.rlike(SHOUTED + "{2}")
-        | text.rlike("[>»·•]")
-        | text.rlike(r"(?:^|\n)[^.!?…:;。！？\n]{%d,}+(?:\n|$)" % shape)
-        | found
+        | text.rlike(f"[!?>»·]|{SHOUTED}{SHOUTED}")
+        | F.concat(F.lit("\n"), text, F.lit("\n")).rlike(unstopped),
     )
 
 
@@ -140,11 +130,12 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "te
     The work is laid out in steps so that each array is made once, and so that most documents, in which no line can
     fail and no window repeats, skip the costly parts.
     """
-    name = {k: free_name(docs, f"_{k}") for k in ("t", "w", "l", "h", "s", "n", "m", "c", "q")}
-    t, w, lines, h, s, n, m, c, q = (F.col(x) for x in name.values())
+    name = {k: free_name(docs, f"_{k}") for k in ("t", "w", "l", "h", "s", "n", "m", "c", "q", "low")}
+    t, w, lines, h, s, n, m, c, q, low = (F.col(x) for x in name.values())
     step = docs.withColumn(name["t"], F.coalesce(F.col(text), F.lit("")))
     step = step.withColumns({
-        name["w"]: F.array_remove(F.split(F.regexp_replace(t, r"[\x09-\x0D]", " "), " ", -1), ""),
+        name["w"]: F.array_remove(F.split(t, r"[\x20\x09-\x0D]+", -1), ""),
+        name["low"]: F.lower(t),
         name["l"]: F.split(t, "\n", -1),
         name["n"]: _count(t, SYMBOL).cast("long"),
     })
@@ -157,7 +148,7 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "te
                 lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)),
             ),
         ).otherwise(F.array().cast("array<bigint>")),
-        name["m"]: may_fail(t, n, rules),
+        name["m"]: may_fail(t, low, n, rules),
     })
     step = step.withColumn(name["s"], F.sort_array(h))
     good = F.filter(lines, lambda x: ~x.rlike(WORD) | ~line_fails(x, rules))
@@ -202,6 +193,13 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "te
     )
 
 
+def keep_clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+    """The documents that pass, without their failing lines; columns as before, ``n_chars`` brought up to date."""
+    kept = clean_lines(docs, rules).where(F.col("quality")["kept"])
+    fresh = {"text": F.col("quality")["clean_text"], "n_chars": F.length(F.col("quality")["clean_text"]).cast("long")}
+    return kept.select(*[fresh.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
