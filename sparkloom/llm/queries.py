@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import bpe, chat, decontam, lines, quality, sharding, simhash, urls
 
 QUERIES = {
+    "op1_shard_lookup": sharding.op1_shard_lookup,
+    "op2_chat_perspectives": chat.op2_chat_perspectives,
+    "op3_simhash_components": simhash.op3_simhash_components,
+    "op5_site_line_dedup": lines.op5_site_line_dedup,
+    "op7_benchmark_edit_matches": decontam.op7_benchmark_edit_matches,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_url_filter": urls.op9_url_filter,
     "op10_line_quality": quality.op10_line_quality,
 }
 
 SQL = {
+    "op2_chat_perspectives": chat.SQL,
+    "op5_site_line_dedup": lines.SQL,
+    "op9_url_filter": urls.SQL,
     "op10_line_quality": quality.SQL,
 }
