@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, lines, quality, sharding, simhash, urls
+from . import bpe, chat, decontam, lines, lm, quality, revisits, sharding, simhash, urls
 
 QUERIES = {
     "op1_shard_lookup": sharding.op1_shard_lookup,
     "op2_chat_perspectives": chat.op2_chat_perspectives,
     "op3_simhash_components": simhash.op3_simhash_components,
+    "op4_gru_scores": lm.op4_gru_scores,
     "op5_site_line_dedup": lines.op5_site_line_dedup,
+    "op6_warc_revisits": revisits.op6_warc_revisits,
     "op7_benchmark_edit_matches": decontam.op7_benchmark_edit_matches,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_url_filter": urls.op9_url_filter,
@@ -18,6 +20,7 @@ QUERIES = {
 SQL = {
     "op2_chat_perspectives": chat.SQL,
     "op5_site_line_dedup": lines.SQL,
+    "op6_warc_revisits": revisits.SQL,
     "op9_url_filter": urls.SQL,
     "op10_line_quality": quality.SQL,
 }
