@@ -1 +1,8 @@
-"""sparkloom: sequence, text and training-data analytics on Spark DataFrames."""
+"""Sequence and text analytics on Spark: DataFrame and SQL operators, sources, functions, plans and streams."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
