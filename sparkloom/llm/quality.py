@@ -125,7 +125,7 @@ def repeated_places(hashes: Column, in_order: Column) -> Column:
 
 
 def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``quality``: counts, ``base_failed``, ``kept`` and the cleaned text.
+    """``docs`` with a last column, the struct ``quality``: counts, ``base_failed``, ``kept`` and the cleaned text.
 
     The work is laid out in steps so that each array is made once, and so that most documents, in which no line can
     fail and no window repeats, skip the costly parts.
@@ -188,15 +188,21 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "te
     kept = ~failed & (100 * q["lost_chars"] <= rules.max_loss * q["line_chars"])
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "clean_text")
     return step.select(
-        *[F.col(f"`{x}`") for x in docs.columns if x != "quality"],
-        F.struct(*[q[x].alias(x) for x in counts], failed.alias("base_failed"), kept.alias("kept")).alias("quality"),
+        *[F.col(f"`{x}`") for x in docs.columns],
+        F.struct(*[q[x].alias(x) for x in counts], failed.alias("base_failed"), kept.alias("kept")).alias(
+            free_name(docs, "quality")
+        ),
     )
 
 
 def keep_clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The documents that pass, without their failing lines; columns as before, ``n_chars`` brought up to date."""
-    kept = clean_lines(docs, rules).where(F.col("quality")["kept"])
-    fresh = {"text": F.col("quality")["clean_text"], "n_chars": F.length(F.col("quality")["clean_text"]).cast("long")}
+    judged = clean_lines(docs, rules)
+    *own, found = judged.columns
+    # A generator of one row: else the filter would be pushed below the steps, with copies of all their expressions.
+    kept = judged.select(*[F.col(f"`{c}`") for c in own], F.explode(F.array(found)).alias(found)).where(F.col(found)["kept"])
+    clean = F.col(found)["clean_text"]
+    fresh = {"text": clean, "n_chars": F.length(clean).cast("long")}
     return kept.select(*[fresh.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
