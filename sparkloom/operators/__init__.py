@@ -1 +1 @@
-"""Part of sparkloom."""
+"""Operators: cleaning, joins, ordered analytics, sampling and token arrays."""
