@@ -250,13 +250,16 @@ def id_list(ids: Column) -> Column:
 
 def round_trip(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256 for the text of each."""
-    done = decode(encode(docs, text))
+    encoded = encode(docs, text)
+    ids = encoded.columns[-1]
+    done = decode(encoded, ids, free_name(encoded, "decoded"))
     digests = {
-        "n_tokens": (F.octet_length("ids") / 4).cast("long"),
-        "ids_sha256": F.sha2("ids", 256),
-        "decoded_sha256": F.sha2("decoded", 256),
+        "n_tokens": (F.octet_length(F.col(ids)) / 4).cast("long"),
+        "ids_sha256": F.sha2(F.col(ids), 256),
+        "decoded_sha256": F.sha2(F.col(done.columns[-1]), 256),
     }
-    return done.select(*[c for c in docs.columns if c != text], *[v.alias(k) for k, v in digests.items()])
+    own = [c for c in docs.columns if c != text]
+    return done.select(*[F.col(f"`{c}`") for c in own], *[v.alias(free_name(docs, k)) for k, v in digests.items()])
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
