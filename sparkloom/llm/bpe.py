@@ -37,7 +37,9 @@ CHUNK = 32_768
 OVERLAP = 1_024
 #: The pattern looks at most two characters beyond a boundary; boundaries this near to a cut end are not relied on.
 MARGIN = 8
-CACHE = 200_000
+CACHE = 65_536
+#: Rows that a task holds as ids or decoded bytes at a time, so that its memory doesn't follow the size of Arrow batches.
+ROWS = 128
 
 
 def load_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -118,11 +120,17 @@ class Encoder:
         return self.ids(tokens)
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def _mapped(df: DataFrame, work: Callable, schema: str, ranks) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks.value)
         names = [x.strip().split()[0].strip("`") for x in schema.split(",")]
-        for batch in batches:
+        for batch in _few(batches):
             for columns in work(encoder, batch):
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -190,32 +198,34 @@ def encode_long(texts: DataFrame, ranks) -> DataFrame:
     return parts.groupBy("key").agg(joined.alias("ids")).unionByName(alone)
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """``docs`` with a binary column ``ids``; ``path`` names another vocabulary file of ranks."""
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, keep_text: bool = True) -> DataFrame:
+    """``docs`` with a binary column ``ids``; ``path`` names another vocabulary file of ranks.
+
+    ``keep_text`` false leaves out the text, which then needn't come back from the Python workers.
+    """
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
     out, key = free_name(docs, "ids"), free_name(docs, "_key")
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     is_long = F.length(whole) > CHUNK
 
     at = docs.columns.index(text)
-
-    def short(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[list]:
-        ids = pa.array([encoder.encode(x.as_py() or "") for x in batch.column(at)], pa.binary())
-        yield [*batch.columns, ids]
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{out}` binary"])
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
+    names = [*(docs.columns[i] for i in kept), out]
+    fields = [docs.schema[i] for i in kept]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{out}` binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks.value)
-        for batch in batches:
-            for columns in short(encoder, batch):
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, out])
+        for batch in _few(batches):
+            ids = pa.array([encoder.encode(x.as_py() or "") for x in batch.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), ids], names=names)
 
     near = docs.where(~is_long).mapInArrow(run, schema)
     far = docs.where(is_long).withColumn(key, F.sha2(whole, 256))
     distinct = far.groupBy(F.col(key).alias("key")).agg(F.first(F.col(f"`{text}`")).alias("text"))
     coded = encode_long(distinct, ranks).select(F.col("key").alias(key), F.col("ids").alias(out))
-    return near.unionByName(far.join(coded, key).drop(key))
+    rest = far.select(key, *[F.col(f"`{docs.columns[i]}`") for i in kept])
+    return near.unionByName(rest.join(coded, key).drop(key))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -225,7 +235,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = {i: b for b, i in ranks.value.items()}
-        for batch in batches:
+        for batch in _few(batches):
             texts = [b"".join(map(raw.__getitem__, array("I", x.as_py() or b""))) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, out]
@@ -248,9 +258,9 @@ def id_list(ids: Column) -> Column:
 
 def round_trip(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256 for the text of each."""
-    encoded = encode(docs, text)
+    encoded = encode(docs, text, keep_text=False)
     ids = encoded.columns[-1]
-    done = decode(encoded.drop(text), ids, free_name(encoded, "decoded"))
+    done = decode(encoded, ids, free_name(encoded, "decoded"))
     digests = {
         "n_tokens": (F.octet_length(F.col(ids)) / 4).cast("long"),
         "ids_sha256": F.sha2(F.col(ids), 256),
