@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import clean, matching, ordered, sampling, tokens
+from ..operators import clean, coevolution, matching, ordered, quota, sampling, spans, tokens
 from ..sources.sequences import hrefs
 from ..streaming import batches
 
@@ -388,6 +388,59 @@ def lr_schedule(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(T.warmup_cosine(F.col("o_orderkey"), 1000, 60_000), 6).alias("scale"))
 
 
+@query()
+def downsample_plan(spark, sf_dir):
+    """How many documents each language of a source keeps at half the rows, and where its sampling starts."""
+    counts = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return quota.downsample_plan(counts, "source", "lang", 0.5)
+
+
+@query()
+def downsample_rows(spark, sf_dir):
+    """The documents that this plan keeps."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    return quota.downsample(docs, "source", "lang", ["doc_id"], 0.5)
+
+
+@query()
+def span_examples(spark, sf_dir):
+    """Masked spans of the residues of documents, with the invariants that a row breaks (none)."""
+    residues = F.regexp_replace(F.upper("text"), f"[^{T.STANDARD}]", "")
+    rows = spans.span_examples(table(spark, sf_dir, "documents").select("doc_id", residues.alias("q")), "doc_id", "q")
+    return spans.span_faults(rows).withColumn("faults", F.array_join("faults", ","))
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quantity = F.lpad(F.col("l_quantity").cast("int").cast("string"), 2, "0")
+    columns = [
+        F.col("l_returnflag"), F.col("l_linestatus"), F.translate(F.col("l_linenumber").cast("string"), "1234567", "ACDEFGH"),
+        F.substr(F.lit("ACDEFGHIKLMN"), F.month("l_shipdate"), F.lit(1)), F.translate(quantity, "0123456789", "ACDEFGHIKL"),
+    ]
+    return table(spark, sf_dir, "lineitem").select(F.concat(*columns).alias("s"))
+
+
+@query("""WITH m AS (SELECT row_number() OVER () AS r, l_returnflag || replace(l_linestatus, 'O', 'X') || translate(l_linenumber::VARCHAR, '1234567', 'ACDEFGH')
+|| substr('ACDEFGHIKLMN', month(l_shipdate)::INT, 1) || translate(lpad(l_quantity::INT::VARCHAR, 2, '0'), '0123456789', 'ACDEFGHIKL') AS s FROM lineitem),
+c AS (SELECT r, i::INT AS i, substr(s, i::INT + 1, 1) AS a FROM m, range(6) t(i)), t AS (SELECT count(*)::DOUBLE AS n FROM m),
+o AS (SELECT i, a, count(*) AS n FROM c GROUP BY 1, 2), j AS (SELECT x.i, y.i AS j, x.a, y.a AS b, count(*) AS n FROM c x JOIN c y ON x.r = y.r AND x.i < y.i GROUP BY ALL),
+l AS (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWYX-', '')) AS a),
+g AS (SELECT x.i::INT AS i, y.j::INT AS j, p.a, q.a AS b FROM range(6) x(i), range(6) y(j), l p, l q WHERE x.i < y.j),
+v AS (SELECT g.i, g.j, (coalesce(j.n, 0) + 0.001::DOUBLE) / (t.n + 0.484::DOUBLE) AS p, (coalesce(u.n, 0) + 0.001::DOUBLE) / (t.n + 0.022::DOUBLE) AS pa,
+(coalesce(w.n, 0) + 0.001::DOUBLE) / (t.n + 0.022::DOUBLE) AS pb FROM g CROSS JOIN t LEFT JOIN j ON g.i = j.i AND g.j = j.j AND g.a = j.a AND g.b = j.b
+LEFT JOIN o u ON u.i = g.i AND u.a = g.a LEFT JOIN o w ON w.i = g.j AND w.a = g.b)
+SELECT i, j, round(sum(p * ln(p / (pa * pb))), 6) AS score FROM v GROUP BY 1, 2""")
+def mutual_information(spark, sf_dir):
+    """Mutual information of six columns of letters made of line items."""
+    return coevolution.mutual_information(_aligned(spark, sf_dir), "s").select("i", "j", F.round("score", 6).alias("score"))
+
+
+@query()
+def coevolving_pairs(spark, sf_dir):
+    """The five pairs that are left highest by the average-product correction."""
+    scores = coevolution.corrected(coevolution.mutual_information(_aligned(spark, sf_dir), "s"), 6)
+    return scores.select("i", "j", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "i", "j").limit(5)
+
+
 @query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
 round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
 def pricing_summary(spark, sf_dir):
