@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import numbered
-from .sampling import SCALE
+from .sampling import SCALE, evenly_kept
 
 #: Groups (not strata) are planned in the driver, a row for each; more than this many are refused.
 MOST_GROUPS = 100_000
@@ -111,5 +111,4 @@ def downsample(df: DataFrame, group: str, bucket: str, order: list[str], keep_ra
     """
     plan = downsample_plan(df.groupBy(group, bucket).agg(F.count("*").alias("n")), group, bucket, keep_ratio, alpha)
     ranked = numbered(df, [group, bucket], order, "_k").join(plan.withColumnRenamed("n", "_n"), [group, bucket])
-    quota = lambda k: f"(({k} * keep * {SCALE} + phase * _n) div (_n * {SCALE}))"
-    return ranked.where(F.expr(f"{quota('(_k + 1)')} > {quota('_k')}")).select(*[F.col(f"`{c}`") for c in df.columns])
+    return ranked.where(evenly_kept("_k", "keep", "_n", "phase")).select(*[F.col(f"`{c}`") for c in df.columns])

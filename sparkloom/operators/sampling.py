@@ -15,18 +15,24 @@ def split_of(key: Column, ratio: float, seed: int) -> Column:
     return F.when(unit_hash(key, seed) < ratio, "train").otherwise("val")
 
 
-def systematic(df: DataFrame, strata: list[str], order: list[str], one_in: int, phase: int) -> DataFrame:
-    """``n div one_in`` rows of each stratum of n (one at least), evenly spread in order from a phase in 2^20ths.
+def evenly_kept(k: str, keep: str, n: str, phase: str) -> Column:
+    """Whether the k-th of n rows is one of the ``keep`` that stay: the running quota passes a whole number at it.
 
-    The k-th row stays if the running quota passes a whole number at it; whole-number arithmetic throughout.
+    Whole-number arithmetic throughout, in decimals of 38 digits, which strata of 10^15 rows don't exceed.
     """
+    wide = lambda x: f"CAST({x} AS DECIMAL(16, 0))"
+    quota = lambda x: f"(({wide(x)} * {wide(keep)} * {SCALE} + {wide(phase)} * {wide(n)}) div ({wide(n)} * {SCALE}))"
+    return F.expr(f"{quota(f'({k} + 1)')} > {quota(k)}")
+
+
+def systematic(df: DataFrame, strata: list[str], order: list[str], one_in: int, phase: int) -> DataFrame:
+    """``n div one_in`` rows of each stratum of n (one at least), evenly spread in order from a phase in 2^20ths."""
     ranked = numbered(df, strata, order)
     sizes = df.groupBy(*strata).agg(F.count("*").alias("_n"))
     a, b = ranked.alias("a"), sizes.alias("b")
     joined = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in strata])
-    keep = f"greatest(1, _n div {one_in})"
-    quota = lambda k: f"(({k} * {keep} * {SCALE} + {phase} * _n) div (_n * {SCALE}))"
-    return joined.where(F.expr(f"{quota('(k + 1)')} > {quota('k')}")).select(*[F.col(f"a.{c}") for c in df.columns])
+    kept = evenly_kept("k", f"greatest(1, _n div {one_in})", "_n", str(phase))
+    return joined.where(kept).select(*[F.col(f"a.{c}") for c in df.columns])
 
 
 def shard(pos: Column, rank: int, world: int) -> Column:

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from conftest import DATA
 
-from sparkloom.operators import coevolution, quota, spans
+from sparkloom.operators import coevolution, quota, sampling, spans
 from sparkloom.plans.queries import QUERIES
 
 
@@ -39,6 +39,15 @@ def test_quotas_of_tied_strata(spark):
     assert [got["g", f"b{i}"] for i in range(8)] == base.tolist()
 
 
+def test_sampling_of_huge_strata(spark):
+    n, keep, phase = 9 * 10**12 + 7, 4 * 10**12 + 1, 2**20 - 3
+    places = [0, 1, 2, 3, n // 2, n // 2 + 1, n - 3, n - 2, n - 1]
+    quota_at = lambda k: (k * keep * 2**20 + phase * n) // (n * 2**20)
+    rows = spark.createDataFrame([(k, keep, n, phase) for k in places], "k long, keep long, n long, phase long")
+    got = rows.select(sampling.evenly_kept("k", "keep", "n", "phase").alias("x")).collect()
+    assert [r["x"] for r in got] == [quota_at(k + 1) > quota_at(k) for k in places]
+
+
 def test_targets_raised_by_many_strata():
     assert quota.group_targets([("a", 10, 10), ("b", 100, 1), ("c", 100, 1)], 21) == {"a": 10, "b": 5, "c": 6}
     assert quota.group_targets([], 0) == {}
