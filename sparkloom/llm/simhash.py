@@ -21,7 +21,7 @@ their rows; a component's id is its smallest id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -141,11 +141,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     return found.join(by_class, "fp").select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest id. Rows without an id are all kept."""
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", near: Callable = near_duplicates) -> DataFrame:
+    """One document of each component that ``near`` finds: the one with the smallest id. Rows without an id all stay."""
     at, head = free_name(docs, "_id"), free_name(docs, "_head")
     heads = (
-        near_duplicates(docs, key, text)
+        near(docs, key, text)
         .where(F.col("id").isNotNull() & (F.col("id") == F.col("component_id")))
         .select(F.col("id").alias(at))
         .distinct()
