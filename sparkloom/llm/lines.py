@@ -32,19 +32,25 @@ def _lines(text: Column) -> Column:
 
 
 def host_line_ratios(
-    docs: DataFrame, host: str = "source", text: str = "text", min_pages: int = MIN_PAGES
+    docs: DataFrame, host: str = "source", text: str = "text", min_pages: int = MIN_PAGES, distinct: bool = False
 ) -> DataFrame:
-    """(host, line, pages, host_pages) of each line, by its key, that ``min_pages`` pages of a host carry."""
+    """(host, line, pages, host_pages) of each line, by its key, that ``min_pages`` pages of a host carry.
+
+    With ``distinct`` the copies of a text on a host are one page, in the counts and in the total.
+    """
     site = F.coalesce(F.col(host).cast("string"), F.lit(""))
-    totals = docs.groupBy(site.alias("host")).agg(F.count("*").alias("host_pages"))
-    full = F.filter(_lines(F.col(text)), lambda x: x.rlike(WORD))
-    counts = (
-        docs.select(site.alias("host"), F.explode(F.array_distinct(full)).alias("line"))
-        .select("host", _line_key(F.col("line")).alias("line"))
-        .groupBy("host", "line")
-        .agg(F.count("*").alias("pages"))
-        .where(F.col("pages") >= min_pages)
-    )
+    full = F.array_distinct(F.filter(_lines(F.col(text)), lambda x: x.rlike(WORD)))
+    if distinct:
+        # What is shuffled is a text's line keys, and copies in a task are one row before that.
+        copy = F.struct(F.xxhash64(F.col(text)).alias("a"), F.xxhash64(F.lit("text"), F.col(text)).alias("b"))
+        keyed = docs.select(site.alias("host"), copy.alias("copy"), F.transform(full, _line_key).alias("lines"))
+        pages = keyed.groupBy("host", "copy").agg(F.first("lines").alias("lines"))
+        found = pages.select("host", F.explode("lines").alias("line"))
+    else:
+        pages = docs.select(site.alias("host"))
+        found = docs.select(site.alias("host"), F.explode(full).alias("line")).select("host", _line_key(F.col("line")).alias("line"))
+    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
+    counts = found.groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     return counts.join(totals, "host")
 
 
@@ -55,6 +61,7 @@ def drop_site_boilerplate(
     key: str = "doc_id",
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
+    distinct: bool = False,
 ) -> DataFrame:
     """``docs`` with ``text`` cleaned, and a struct column ``line_dedup`` of n_lines, n_dropped and dropped_chars."""
     site = F.coalesce(F.col(host).cast("string"), F.lit(""))
@@ -63,7 +70,7 @@ def drop_site_boilerplate(
     )
     full = F.filter(_lines(F.col(text)), lambda x: x.rlike(WORD))
     flagged = (
-        host_line_ratios(docs, host, text, min_pages)
+        host_line_ratios(docs, host, text, min_pages, distinct)
         .where(F.col("pages") > max_ratio * F.col("host_pages"))
         .select("host", "line")
     )
@@ -93,8 +100,11 @@ def drop_site_boilerplate(
 
 
 def without_boilerplate(docs: DataFrame) -> DataFrame:
-    """Columns as before, ``text`` cleaned and ``n_chars`` brought up to date."""
-    cleaned = drop_site_boilerplate(docs)
+    """Columns as before, ``text`` cleaned and ``n_chars`` brought up to date.
+
+    Copies of a text count as one page here, lest a large group of copies be taken for boilerplate and lost as a whole.
+    """
+    cleaned = drop_site_boilerplate(docs, distinct=True)
     fresh = {"n_chars": F.length("text").cast("long")}
     return cleaned.select(*[fresh.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
