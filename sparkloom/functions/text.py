@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Residue alphabets.
@@ -11,6 +13,22 @@ STANDARD = "ACDEFGHIKLMNPQRSTVWY"
 HYDROPHOBIC = "AILMFWVY"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once for a row and hand it to ``body`` as a bound variable.
+
+    Without this, Catalyst may copy a costly expression to each place that it's used in.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have, whatever its spelling of upper and lower case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

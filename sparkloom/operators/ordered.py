@@ -6,25 +6,17 @@ the earlier ones is a row for each (partition, group), carried along by a window
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that ``spark.checkpoint.dir`` names; only an unset one is filled in."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkloom-"))
-    return df.checkpoint(eager=True)
+from .storage import checkpointed
 
 
 def dealt_by_range(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """``df`` with ``_pid``, the range partition of each row, fixed by a checkpoint."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shared_checkpoint(df.repartitionByRange(n, *group, *order).withColumn("_pid", F.spark_partition_id()))
+    return checkpointed(df.repartitionByRange(n, *group, *order).withColumn("_pid", F.spark_partition_id()))
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str = "k") -> DataFrame:

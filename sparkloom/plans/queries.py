@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import clean, coevolution, matching, ordered, quota, sampling, spans, tokens
+from ..operators.storage import scratch_path
 from ..sources.sequences import hrefs
 from ..streaming import batches
 
@@ -452,20 +453,12 @@ def pricing_summary(spark, sf_dir):
     )
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkloom-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"SELECT doc_id, CASE WHEN {SPLIT_SQL} THEN 'train' ELSE 'val' END AS split FROM documents")
 def stream_split(spark, sf_dir):
     """The hash split as a stream over files."""
     path = f"{sf_dir}/documents.parquet"
     rows = batches.file_stream(spark, path, spark.read.parquet(path).schema).select("doc_id")
-    to = _scratch(spark, "stream-split")
+    to = scratch_path(spark, "stream-split")
     return batches.run_to_end(batches.split_stream(rows, "doc_id", 0.9, SEED), f"{to}/rows", f"{to}/state")
 
 
@@ -474,5 +467,5 @@ def stream_dedupe(spark, sf_dir):
     """First-wins de-duplication as a stream over files."""
     path = f"{sf_dir}/documents.parquet"
     rows = batches.file_stream(spark, path, spark.read.parquet(path).schema).where("text IS NOT NULL").select(F.md5("text").alias("text_md5"))
-    to = _scratch(spark, "stream-dedupe")
+    to = scratch_path(spark, "stream-dedupe")
     return batches.run_to_end(batches.first_seen(rows, ["text_md5"]), f"{to}/rows", f"{to}/state")
