@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import free_name, let
+from ..operators.storage import checkpointed, stored
+
+__all__ = ["WORD", "ascii_lower", "checkpointed", "free_name", "let", "read_table", "stored", "words_of"]
+
 #: A word is a run of anything but ASCII white space; both Java and RE2 read this class alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,14 +18,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once for a row and hand it to ``body`` as a bound variable.
-
-    Without this, Catalyst may inline a costly expression into a lambda, where it would run once per element.
-    """
-    return F.transform(F.array(value), body)[0]
-
-
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
 
@@ -32,30 +25,3 @@ def words_of(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that the cluster names; only an unset folder is filled in here."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkloom-checkpoint-")
-        )
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends, and columns can be pruned later."""
-    context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkloom-stored-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def free_name(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` doesn't have, whatever its spelling of upper and lower case."""
-    taken = {c.lower() for c in df.columns}
-    while stem.lower() in taken:
-        stem += "_"
-    return stem

@@ -1,12 +1,12 @@
-"""A small gated recurrent unit with a class-factored softmax, in numpy: forward, truncated backpropagation, scoring.
+"""A gated recurrent unit with a class-factored softmax, in numpy: forward, truncated backpropagation, scoring.
 
-Tokens come as symbols 0 .. SHORT + SUFFIXES - 1. The first SHORT symbols are frequent words, the others stand for all
-further words of a suffix class. Output classes: BINS bins of frequent words, by rank, then the suffix classes.
+Tokens come as symbols 0 .. SHORT + TAILS - 1. The first SHORT symbols are the most frequent words by rank, each with an
+embedding and an output vector of its own; the others stand for all further words of a tail class.
 
-    P(symbol | h) = softmax(h Wc + bc)[class] * softmax(h W2[class] + b2[class])[word in bin]
+    P(symbol | h) = softmax(Wc [h, 1])[class] * softmax(W2[words of the class] [h, 1])[word]
 
-where the second factor is 1 for suffix classes, whose words share it by their counts (see ``lm``). Gates and state use
-softsign in place of sigmoid and tanh, which costs a fifth of the time: gate(a) = (1 + a / (1 + |a|)) / 2.
+There are BINS classes of frequent words, narrow ones for the first ranks and wide ones for the last, and TAILS tail
+classes, whose words share their class by corpus counts (see ``lm``); the second factor is 1 for these.
 
 Documents run in lanes side by side. A lane's state is carried from window to window and set to zero at a document's
 end; backpropagation stops at the window's start.
@@ -19,35 +19,40 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SHORT = 512
-BINS = 16
-PER_BIN = SHORT // BINS
-SUFFIXES = 32
-SYMBOLS = SHORT + SUFFIXES
-CLASSES = BINS + SUFFIXES
-HIDDEN = 16
-EMBED = 12
-WINDOW = 16
-#: In training, documents are fed in segments of at most so many tokens, so that lanes are of even length.
-SEGMENT = 1_024
-LANES = 512
-#: Bound of output weights: states lie in [-1, 1], so that exp() of a logit can't overflow.
-LIMIT = 4.5
+SHORT = 10_000
+BINS = 64
+TAILS = 32
+SYMBOLS = SHORT + TAILS
+CLASSES = BINS + TAILS
+HIDDEN = 19
+EMBED = 14
+WINDOW = 32
+#: In training, a document of more tokens is fed in segments of so many, lest one lane run on alone.
+SEGMENT = 16_384
+#: Lanes of a training shard: one for so many tokens, within limits.
+TOKENS_PER_LANE, LEAST_LANES, MOST_LANES = 8_192, 16, 1_024
 SCORE_LANES = 1_024
+#: Rows of a softmax at a time, so that it stays in the processor's cache.
+ROWS = 512
+#: Bounds of output weights and biases: states lie in [-1, 1], so that exp() of a logit can't overflow.
+LIMIT, LOW_BIAS, HIGH_BIAS = 3.0, -20.0, 8.0
 
 SHAPES = {
     "E": (SYMBOLS, EMBED),
     "P": (EMBED, 3 * HIDDEN),
     "b": (3 * HIDDEN,),
     "U": (HIDDEN, 3 * HIDDEN),
-    "Wc": (HIDDEN, CLASSES),
-    "bc": (CLASSES,),
-    "W2": (BINS, HIDDEN, PER_BIN),
-    "b2": (BINS, PER_BIN),
+    "Wc": (CLASSES, HIDDEN + 1),
+    "W2": (SHORT, HIDDEN + 1),
 }
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 Model = dict[str, np.ndarray]
 
+#: First rank of each bin, and the end: widths grow with the square of the bin's number, one word at least.
+EDGES = np.maximum(np.arange(BINS + 1), np.round(SHORT * (np.arange(BINS + 1) / BINS) ** 3).astype(np.int64))
+BIN_OF = np.repeat(np.arange(BINS), np.diff(EDGES))
+CLASS_OF = np.concatenate([BIN_OF, BINS + np.arange(TAILS)])
+
 
 def unpack(flat: np.ndarray) -> Model:
     """The model's arrays as views of one flat vector."""
@@ -59,24 +64,27 @@ def unpack(flat: np.ndarray) -> Model:
     return found
 
 
-def class_of(symbols: np.ndarray) -> np.ndarray:
-    return np.where(symbols < SHORT, symbols // PER_BIN, symbols - SHORT + BINS)
-
-
 def initial(counts: np.ndarray, seed: int = 7) -> np.ndarray:
     """A flat model whose biases give the unigram distribution of ``counts`` by symbol."""
     rng, flat = np.random.default_rng(seed), np.zeros(SIZE, np.float32)
     m = unpack(flat)
-    for name, scale in (("E", 0.3), ("P", 0.3), ("U", 0.25), ("Wc", 0.05), ("W2", 0.05)):
+    for name, scale in (("E", 0.3), ("P", 0.3), ("U", 0.2), ("Wc", 0.05), ("W2", 0.02)):
         m[name][...] = rng.normal(0, scale, SHAPES[name])
     m["b"][HIDDEN : 2 * HIDDEN] = 1.0  # at first the state is kept rather than replaced
     share = counts + 0.5
-    m["bc"][...] = np.log(np.bincount(class_of(np.arange(SYMBOLS)), share, CLASSES) / share.sum())
-    bins = share[:SHORT].reshape(BINS, PER_BIN)
-    m["b2"][...] = np.log(bins / bins.sum(axis=1, keepdims=True))
+    of_class = np.bincount(CLASS_OF, share, CLASSES)
+    m["Wc"][:, HIDDEN] = np.log(of_class / of_class.sum())
+    m["W2"][:, HIDDEN] = np.log(share[:SHORT] / of_class[BIN_OF])
+    bounded(m)
     return flat
 
 
+def bounded(m: Model) -> None:
+    for name in ("Wc", "W2"):
+        np.clip(m[name][:, :HIDDEN], -LIMIT, LIMIT, out=m[name][:, :HIDDEN])
+        np.clip(m[name][:, HIDDEN], LOW_BIAS, HIGH_BIAS, out=m[name][:, HIDDEN])
+
+
 def lanes_of(lengths: np.ndarray, n: int) -> list[list[int]]:
     """Segments dealt to at most ``n`` lanes, the longest first and each to the shortest lane; longest lane first."""
     heap = [(0, k) for k in range(min(n, len(lengths)))]
@@ -92,7 +100,7 @@ def lanes_of(lengths: np.ndarray, n: int) -> list[list[int]]:
 def windows(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lanes: list[list[int]], width: int) -> Iterator:
     """(place, valid, ends) of each window, all (width, lanes): places in ``symbols``; true at a segment's last token."""
     size = [int(lengths[x].sum()) for x in lanes]
-    order = np.concatenate([np.arange(starts[s], starts[s] + lengths[s]) for x in lanes for s in x])
+    order = np.concatenate([np.arange(starts[s], starts[s] + lengths[s], dtype=np.int32) for x in lanes for s in x])
     last = np.zeros(len(symbols), bool)
     last[starts + lengths - 1] = True
     first = np.concatenate(([0], np.cumsum(size)[:-1]))
@@ -106,34 +114,33 @@ def windows(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lanes:
 
 
 class Net:
-    """Buffers for windows of one width, and the passes over them."""
-
     def __init__(self, flat: np.ndarray) -> None:
-        self.flat = flat
         self.m = unpack(flat)
 
-    def forward(self, ids: np.ndarray, ends: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, dict]:
-        """States before each token, (T, n, H), and in ``h`` the state after the window; what backward needs if asked."""
-        m, (steps, n), H = self.m, ids.shape, HIDDEN
-        x = (m["E"] @ m["P"] + m["b"])[ids]
-        states = np.empty((steps, n, H), np.float32)
+    def inputs(self, ids: np.ndarray) -> np.ndarray:
+        return (self.m["E"][ids.reshape(-1)] @ self.m["P"] + self.m["b"]).reshape(*ids.shape, 3 * HIDDEN)
+
+    def forward(self, x: np.ndarray, ends: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, dict]:
+        """States before each token with a 1 behind, (T, n, H + 1), and in ``h`` the state after the window.
+
+        ``x`` are the inputs of the window's symbols; what ``backward`` needs is kept if asked.
+        """
+        u_all, (steps, n, _), H = self.m["U"], x.shape, HIDDEN
+        states = np.ones((steps, n, H + 1), np.float32)
         saved = {k: np.empty((steps, n, w), np.float32) for k, w in (("g", 2 * H), ("u", H), ("c", H))} if keep else {}
-        gates, size, u = np.empty((n, 2 * H), np.float32), np.empty((n, 2 * H), np.float32), np.empty((n, 3 * H), np.float32)
-        c, small = np.empty((n, H), np.float32), np.empty((n, H), np.float32)
+        gates, u, c = np.empty((n, 2 * H), np.float32), np.empty((n, 3 * H), np.float32), np.empty((n, H), np.float32)
         for t in range(steps):
-            states[t] = h
-            np.matmul(h, m["U"], out=u)
+            states[t, :, :H] = h
+            np.matmul(h, u_all, out=u)
+            # Gates are sigmoids, 1 / (1 + exp(-a)).
             np.add(x[t, :, : 2 * H], u[:, : 2 * H], out=gates)
-            np.abs(gates, out=size)
-            size += 1
-            gates /= size
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
             gates += 1
-            gates *= 0.5
+            np.reciprocal(gates, out=gates)
             np.multiply(gates[:, :H], u[:, 2 * H :], out=c)
             c += x[t, :, 2 * H :]
-            np.abs(c, out=small)
-            small += 1
-            c /= small
+            np.tanh(c, out=c)
             h -= c
             h *= gates[:, H:]
             h += c
@@ -144,52 +151,58 @@ class Net:
         return states, saved
 
     def outputs(self, hs: np.ndarray, targets: np.ndarray, grads: Model | None) -> tuple[np.ndarray, np.ndarray | None]:
-        """log P of each target, natural; with ``grads``, adds to them and returns the gradient of the states too."""
-        m = self.m
-        log_p = np.empty(len(hs), np.float32)
-        dh = np.empty_like(hs) if grads is not None else None
-        classes = class_of(targets)
-        for a in range(0, len(hs), 4096):
-            s = slice(a, a + 4096)
-            self._softmax(hs[s], m["Wc"], m["bc"], classes[s], log_p[s], dh[s] if dh is not None else None, grads, "Wc", "bc")
+        """Natural log P of each target; with ``grads``, adds the loss's gradients and returns that of the states too."""
+        m, classes = self.m, CLASS_OF[targets]
         order = np.argsort(classes.astype(np.uint8), kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(BINS + 1))
-        for k in range(BINS):
-            rows = order[cuts[k] : cuts[k + 1]]
-            if len(rows):
-                part = np.empty(len(rows), np.float32)
-                back = np.empty((len(rows), HIDDEN), np.float32) if dh is not None else None
-                inner = {"W2": grads["W2"][k], "b2": grads["b2"][k]} if grads is not None else None
-                self._softmax(hs[rows], m["W2"][k], m["b2"][k], targets[rows] - k * PER_BIN, part, back, inner, "W2", "b2")
-                log_p[rows] += part
-                if dh is not None:
-                    dh[rows] += back
-        return log_p, dh
+        hs, inner = hs[order], targets[order]
+        classes = classes[order]
+        log_p = np.empty(len(hs), np.float32)
+        back = np.empty_like(hs) if grads is not None else None
+        for a in range(0, len(hs), ROWS):
+            s = slice(a, a + ROWS)
+            self._softmax(hs[s], m["Wc"], classes[s], log_p[s], back[s] if back is not None else None, grads and grads["Wc"])
+        cuts = np.searchsorted(classes, np.arange(BINS + 1)).tolist()
+        part = np.empty(len(hs), np.float32)
+        more = np.empty_like(hs) if grads is not None else None
+        for k, (low, high) in enumerate(zip(EDGES[:-1].tolist(), EDGES[1:].tolist(), strict=True)):
+            if high - low > 1:
+                for a in range(cuts[k], cuts[k + 1], ROWS):
+                    s = slice(a, min(a + ROWS, cuts[k + 1]))
+                    self._softmax(
+                        hs[s], m["W2"][low:high], inner[s] - low, part[s],
+                        more[s] if more is not None else None, grads and grads["W2"][low:high],
+                    )
+                    log_p[s] += part[s]
+                    if back is not None:
+                        back[s] += more[s]
+        found = np.empty_like(log_p)
+        found[order] = log_p
+        if back is None:
+            return found, None
+        d_states = np.empty_like(back)
+        d_states[order] = back
+        return found, d_states
 
     @staticmethod
-    def _softmax(hs, weights, bias, targets, out, back, grads, w_name, b_name) -> None:
-        p = hs @ weights
-        p += bias
+    def _softmax(hs, weights, targets, out, back, grads) -> None:
+        p = hs @ weights.T
         rows = np.arange(len(hs))
         hit = p[rows, targets]
         np.exp(p, out=p)
         total = p @ np.ones(p.shape[1], np.float32)
         np.subtract(hit, np.log(total), out=out)
         if back is not None:
-            p /= total[:, None]
-            p[rows, targets] -= 1
-            np.matmul(p, weights.T, out=back)
-            grads[w_name] += hs.T @ p
-            grads[b_name] += np.ones(len(hs), np.float32) @ p
+            p[rows, targets] -= total
+            total = np.reciprocal(total)[:, None]
+            np.matmul(p, weights, out=back)
+            back *= total
+            grads += p.T @ (hs * total)
 
     def backward(self, ids, ends, states, saved, d_states, grads: Model) -> None:
         m, (steps, n), H = self.m, ids.shape, HIDDEN
         dx, du = np.empty((steps, n, 3 * H), np.float32), np.empty((steps, n, 3 * H), np.float32)
-        slope = 1 - np.abs(2 * saved["g"] - 1)
-        slope *= slope
-        slope *= 0.5
-        bend = 1 - np.abs(saved["c"])
-        bend *= bend
+        slope = saved["g"] * (1 - saved["g"])
+        bend = 1 - saved["c"] * saved["c"]
         dh, back = np.zeros((n, H), np.float32), np.ascontiguousarray(m["U"].T)
         for t in range(steps - 1, -1, -1):
             if ends[t].any():
@@ -199,20 +212,50 @@ class Net:
             dc *= bend[t]
             dx[t, :, 2 * H :] = dc
             np.multiply(dc, saved["u"][t], out=dx[t, :, :H])
-            np.multiply(dh, states[t] - saved["c"][t], out=dx[t, :, H : 2 * H])
+            np.multiply(dh, states[t, :, :H] - saved["c"][t], out=dx[t, :, H : 2 * H])
             dx[t, :, : 2 * H] *= slope[t]
             du[t, :, : 2 * H] = dx[t, :, : 2 * H]
             np.multiply(dc, r, out=du[t, :, 2 * H :])
             dh *= z
             dh += du[t] @ back
-            dh += d_states[t]
+            dh += d_states[t, :, :H]
         flat_dx, flat_ids = dx.reshape(-1, 3 * H), ids.reshape(-1)
-        grads["U"] += states.reshape(-1, H).T @ du.reshape(-1, 3 * H)
+        grads["U"] += np.ascontiguousarray(states[:, :, :H]).reshape(-1, H).T @ du.reshape(-1, 3 * H)
         grads["b"] += flat_dx.sum(axis=0)
         grads["P"] += m["E"][flat_ids].T @ flat_dx
-        d_embed = flat_dx @ m["P"].T
-        for k in range(EMBED):
-            grads["E"][:, k] += np.bincount(flat_ids, d_embed[:, k], SYMBOLS)
+        cells = (flat_ids[:, None] * EMBED + np.arange(EMBED)).reshape(-1)
+        grads["E"] += np.bincount(cells, (flat_dx @ m["P"].T).reshape(-1), SYMBOLS * EMBED).reshape(SYMBOLS, EMBED)
+
+
+class Adam:
+    """Adam in blocks that stay in the processor's cache."""
+
+    BLOCK = 32_768
+
+    def __init__(self, n: int) -> None:
+        self.one, self.two, self.steps = np.zeros(n, np.float32), np.zeros(n, np.float32), 0
+        self.buffer = np.empty(self.BLOCK, np.float32)
+
+    def step(self, flat: np.ndarray, grad: np.ndarray, rate: float) -> None:
+        self.steps += 1
+        rate *= float(np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps))
+        for a in range(0, len(flat), self.BLOCK):
+            s = slice(a, a + self.BLOCK)
+            g, one, two = grad[s], self.one[s], self.two[s]
+            x = self.buffer[: len(g)]
+            one *= 0.9
+            np.multiply(g, 0.1, out=x)
+            one += x
+            two *= 0.99
+            g *= g
+            g *= 0.01
+            two += g
+            np.sqrt(two, out=x)
+            x += 1e-6
+            np.divide(one, x, out=x)
+            x *= rate
+            flat[s] -= x
+            g[:] = 0
 
 
 def train(flat: np.ndarray, texts: list[np.ndarray], rate: float) -> tuple[np.ndarray, int]:
@@ -222,31 +265,25 @@ def train(flat: np.ndarray, texts: list[np.ndarray], rate: float) -> tuple[np.nd
     total = int(lengths.sum())
     if not total:
         return flat, 0
-    symbols, starts = np.concatenate(texts).astype(np.int64), np.cumsum(lengths) - lengths
-    lanes = lanes_of(lengths, int(np.clip(total // SEGMENT, 8, LANES)))
-    flat = flat.copy()
-    net, one, two, steps = Net(flat), np.zeros_like(flat), np.zeros_like(flat), 0
-    h = np.zeros((len(lanes), HIDDEN), np.float32)
-    grad = np.zeros_like(flat)
-    grads = unpack(grad)
+    symbols, starts = np.concatenate(texts).astype(np.int32), np.cumsum(lengths) - lengths
+    lanes = lanes_of(lengths, int(np.clip(total // TOKENS_PER_LANE, LEAST_LANES, MOST_LANES)))
+    flat, grad = flat.copy(), np.zeros_like(flat)
+    net, adam, grads = Net(flat), Adam(len(flat)), unpack(grad)
+    h, full = np.zeros((len(lanes), HIDDEN), np.float32), WINDOW * len(lanes)
     for place, valid, ends in windows(symbols, starts, lengths, lanes, WINDOW):
         ids, h = symbols[place], h[: place.shape[1]]
-        grad[:] = 0
-        states, saved = net.forward(ids, ends, h, keep=True)
-        ok, all_states, targets = valid.reshape(-1), states.reshape(-1, HIDDEN), ids.reshape(-1)
+        states, saved = net.forward(net.inputs(ids), ends, h, keep=True)
+        ok, all_states, targets = valid.reshape(-1), states.reshape(-1, HIDDEN + 1), ids.reshape(-1)
         if ok.all():
             _, d_states = net.outputs(all_states, targets, grads)
         else:  # lanes that end here; what follows their end has no part in the loss
             d_states = np.zeros_like(all_states)
             _, d_states[ok] = net.outputs(all_states[ok], targets[ok], grads)
         net.backward(ids, ends, states, saved, d_states.reshape(states.shape), grads)
-        grad /= int(valid.sum())
-        steps += 1
-        one += 0.1 * (grad - one)
-        two += 0.01 * (grad * grad - two)
-        flat -= rate * (one / (1 - 0.9**steps)) / (np.sqrt(two / (1 - 0.99**steps)) + 1e-6)
-        for name in ("Wc", "W2"):
-            np.clip(net.m[name], -LIMIT, LIMIT, out=net.m[name])
+        n = int(valid.sum())
+        grad /= n
+        adam.step(flat, grad, rate * float(np.sqrt(n / full)))  # the last lanes alone count for less
+        bounded(net.m)
     return flat, total
 
 
@@ -255,14 +292,15 @@ def score(flat: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     lengths = np.array([len(x) for x in texts], np.int64)
     if not len(lengths):
         return np.zeros(0)
-    symbols, starts = np.concatenate(texts).astype(np.int64), np.cumsum(lengths) - lengths
+    symbols, starts = np.concatenate(texts).astype(np.int32), np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(texts)), lengths)
     lanes, net, found = lanes_of(lengths, SCORE_LANES), Net(flat), np.zeros(len(texts))
+    table = net.inputs(np.arange(SYMBOLS))
     h = np.zeros((len(lanes), HIDDEN), np.float32)
     for place, valid, ends in windows(symbols, starts, lengths, lanes, WINDOW):
         ids, h = symbols[place], h[: place.shape[1]]
-        states, _ = net.forward(ids, ends, h, keep=False)
-        log_p, _ = net.outputs(states.reshape(-1, HIDDEN), ids.reshape(-1), None)
+        states, _ = net.forward(table[ids], ends, h, keep=False)
         ok = valid.reshape(-1)
-        found += np.bincount(owner[place].reshape(-1)[ok], log_p[ok], len(texts))
+        log_p, _ = net.outputs(states.reshape(-1, HIDDEN + 1)[ok], ids.reshape(-1)[ok], None)
+        found += np.bincount(owner[place].reshape(-1)[ok], log_p, len(texts))
     return found
