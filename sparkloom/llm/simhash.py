@@ -15,13 +15,15 @@ exactly if they are at most two bits apart. A meeting point has at most 65 visit
 is capped, and no link is lost.
 
 Fingerprints are made in Arrow batches of whole texts, one document at a time. Defined cases: a null or blank text has
-fingerprint zero and links like any other; fewer than three words are one shingle; repeated rows and null ids keep
-their rows; a component's id is its smallest id.
+fingerprint zero and links like any other; fewer than three words are one shingle; a text of any length is taken whole;
+repeated rows and null ids keep their rows; an id that is no whole number counts as null; a component's id is its
+smallest id, null if all are null; an empty table gives an empty result; further columns, whatever their names, don't
+matter to ``near_duplicates`` and pass through ``keep_one``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name, read_table
+from .common import checkpointed, free_name, read_table, row_hash
 from .components import connected_components
 
 RADIUS = 2
@@ -60,14 +62,18 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([fingerprint(x.as_py()) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "fp"])
+        found = np.array([fingerprint(x.as_py()) for x in batch.column("text")], dtype=np.uint64).view(np.int64)
+        rest = [k for k, name in enumerate(batch.schema.names) if name != "text"]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(k) for k in rest), pa.array(found)], names=[*(batch.schema.names[k] for k in rest), "fp"]
+        )
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint as a signed long for each row."""
-    narrow = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    return narrow.mapInArrow(_fingerprints, "id long, fp long")
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """(id, ``carry``, fp): the fingerprint as a signed long for each row; ``carry`` names further columns of longs."""
+    own = [F.col(f"`{c}`") for c in carry]
+    narrow = docs.select(F.col(f"`{key}`").try_cast("long").alias("id"), *own, F.col(f"`{text}`").alias("text"))
+    return narrow.mapInArrow(_fingerprints, ", ".join(["id long", *(f"`{c}` long" for c in carry), "fp long"]))
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -127,9 +133,15 @@ def _one(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(id, fp, component_id, rank): rank 1 is the row that stays of each component."""
-    found = checkpointed(fingerprints(docs, key, text))
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, carry: Sequence[str] = ()
+) -> DataFrame:
+    """(id, ``carry``, fp, root, component_id) for each row.
+
+    Rows of one component have one ``root``, a fingerprint, and no other rows have it; ``component_id`` is the smallest
+    id in the component, which tells components apart only where ids are unique.
+    """
+    found = checkpointed(fingerprints(docs, key, text, carry))
     classes = found.groupBy("fp").agg(F.min("id").alias("least"))
     roots = connected_components(fingerprint_links(classes.select("fp"), radius))
     # Fingerprints without a link are components by themselves.
@@ -137,23 +149,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = named.join(smallest, "root").select("fp", "component_id")
-    return found.join(by_class, "fp").select("id", "fp", "component_id")
+    by_class = named.join(smallest, "root").select("fp", "root", "component_id")
+    return found.join(by_class, "fp").select("id", *[F.col(f"`{c}`") for c in carry], "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", near: Callable = near_duplicates) -> DataFrame:
-    """One document of each component that ``near`` finds: the one with the smallest id. Rows without an id all stay."""
-    at, head = free_name(docs, "_id"), free_name(docs, "_head")
-    heads = (
-        near(docs, key, text)
-        .where(F.col("id").isNotNull() & (F.col("id") == F.col("component_id")))
-        .select(F.col("id").alias(at))
-        .distinct()
-    )
-    ours = docs.withColumn(head, F.col(f"`{key}`").cast("long"))
-    single = ours.where(F.col(head).isNotNull()).join(heads, F.col(head) == F.col(at), "left_semi")
-    single = single.dropDuplicates([head])
-    return single.unionByName(ours.where(F.col(head).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each component that ``near`` finds, and with it all columns: no component is lost.
+
+    It's the row of the smallest id, null ids last; of rows that tie in this, the one of the smallest hash of all its
+    columns, so that the choice doesn't depend on the order of rows. Ids needn't be unique: rows that share an id but not
+    a component all stay. Rows that are equal in every column count as one. They are dropped in each task before texts
+    are shuffled, so a group of copies is never gathered.
+    """
+    a, b = free_name(docs, "_a"), free_name(docs, "_b")
+    rows = docs.withColumns({a: row_hash(docs, "a"), b: row_hash(docs, "b")})
+    found = near(rows.select(F.col(f"`{key}`"), F.col(f"`{text}`"), a, b), key, text, carry=(a, b))
+    first = F.min(F.struct(F.col("id").isNull(), "id", a, b))
+    stays = found.groupBy("root").agg(first.alias("m")).select(f"m.{a}", f"m.{b}")
+    kept = rows.dropDuplicates([a, b]).join(stays, [a, b], "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
