@@ -1,19 +1,20 @@
 """Byte-level BPE encoding and decoding by the ranks of a public vocabulary.
 
-Documents of up to ``CHUNK`` characters are encoded where they are. A longer one is cut into chunks that overlap and
-that go to different tasks:
+Every text is cut into chunks of ``CHUNK`` characters that overlap:
 
 1. each chunk is pre-tokenised from its own start, which may lie inside a pre-token;
 2. the pre-token boundaries of a chunk's head are held against those of its predecessor's tail. The pattern looks ahead
    and never back, so from the first boundary that both have, both go on alike: there the chunks are stitched;
-3. each task then encodes the pieces between its chunk's first stitch and the next chunk's.
+3. the pieces between one stitch and the next are encoded, and their ids follow one another.
 
-A document with chunks that never resynchronise inside an overlap (one word longer than the overlap, say) is encoded
-in one piece instead. Decoding concatenates the raw bytes of the ids.
+A text of more than ``PART`` characters is dealt to several tasks in the same way: its parts overlap, each task cuts its
+part into chunks, and parts are stitched at a common boundary. Where chunks don't resynchronise (a word longer than the
+overlap, say), the first of them is taken up again from its last sure boundary with twice the length, so the work stays
+in proportion to the text. Decoding concatenates the raw bytes of the ids.
 
 Ids are kept as binary, little-endian unsigned 32-bit integers. Defined cases: a null text is an empty one and has no
-ids; repeated rows are encoded each (chunks of equal long texts once); ids that the vocabulary lacks fail to decode;
-further columns pass through.
+ids; an empty table gives an empty result; repeated rows are encoded each (parts of equal long texts once); ids that the
+vocabulary lacks fail to decode; further columns pass through, and new ones take a free name.
 """
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ from pyspark.sql import functions as F
 from .common import free_name, read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CHUNK = 32_768
-OVERLAP = 1_024
-#: The pattern looks at most two characters beyond a boundary; boundaries this near to a cut end are not relied on.
-MARGIN = 8
+CHUNK, OVERLAP = 2_048, 256
+#: Characters of a text that one task takes at a time, and by which such parts overlap.
+PART, PART_OVERLAP = 262_144, 8_192
+#: The pattern looks two characters beyond a boundary, and beyond white space as far as that goes.
+MARGIN = 3
 NEVER = 1 << 62
 CACHE = 150_000
 #: Rows that a task holds as ids or decoded bytes at a time, so that its memory doesn't follow the size of Arrow batches.
@@ -122,30 +124,89 @@ class _Known(dict):
         return found
 
 
+def sure_end(text: str) -> int:
+    """Boundaries up to this one don't depend on what follows a text that may have been cut off."""
+    return min(len(text) - MARGIN, len(text.rstrip()) - 1)
+
+
+def stitch(tokens: list[str], end: int, sure: int, later: list[str], start: int) -> tuple[int, int] | None:
+    """Where two chunks go on alike: the first token of each behind the first boundary that they have in common.
+
+    ``tokens`` end at ``end`` and their boundaries are sure up to ``sure``; ``later`` begin at ``start``.
+    """
+    at, tail = end, {}
+    for i in range(len(tokens) - 1, -1, -1):
+        at -= len(tokens[i])
+        if at < start:
+            break
+        if at <= sure:
+            tail[at] = i
+    at = start
+    for j, token in enumerate(later):
+        if at in tail:
+            return tail[at], j
+        if at > sure:
+            break
+        at += len(token)
+    return None
+
+
 class Encoder:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.known = _Known(ranks)
+        self.stitched = self.taken_up = 0
+
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text, from stitch to stitch."""
+        n, end = len(text), min(len(text), CHUNK + OVERLAP)
+        start, tokens, first = 0, self.split(text[:end]), 0
+        while end < n:
+            after = end - OVERLAP
+            later_end = min(n, after + CHUNK + OVERLAP)
+            later = self.split(text[after:later_end])
+            sure = start + sure_end(text[start:end])
+            if found := stitch(tokens, end, sure, later, after):
+                self.stitched += 1
+                yield tokens[first : found[0]]
+                start, tokens, first, end = after, later, found[1], later_end
+            else:
+                self.taken_up += 1
+                at, last = end, len(tokens)
+                while last > first and (at > sure or last == len(tokens)):
+                    last -= 1
+                    at -= len(tokens[last])
+                yield tokens[first:last]
+                end = min(n, at + max(2 * (end - at), CHUNK + OVERLAP))
+                start, tokens, first = at, self.split(text[at:end]), 0
+        yield tokens[first:]
 
     def ids(self, tokens: list[str]) -> bytes:
         return b"".join(map(self.known.__getitem__, tokens))
 
     def encode(self, text: str) -> bytes:
-        return self.ids(self.split(text))
+        return b"".join(map(self.ids, self.pieces(text)))
 
     def boundaries(self, text: str) -> list[int]:
         at, found = 0, []
-        for token in self.split(text):
-            found.append(at)
-            at += len(token)
+        for piece in self.pieces(text):
+            for token in piece:
+                found.append(at)
+                at += len(token)
         return found
 
     def encode_between(self, text: str, start: int, end: int) -> bytes:
         """The ids of the pre-tokens in [start, end), both boundaries; what follows is seen but not encoded."""
-        tokens, over = self.split(text, start), len(text) - end
-        while over > 0:
-            over -= len(tokens.pop())
-        return self.ids(tokens)
+        at, found = start, []
+        for piece in self.pieces(text[start:]):
+            size = sum(map(len, piece))
+            while piece and at + size > end:
+                size -= len(piece.pop())
+            found.append(self.ids(piece))
+            at += size
+            if at >= end:
+                break
+        return b"".join(found)
 
 
 def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,16 +230,16 @@ def _whole(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[list]:
     yield [batch.column(0), pa.array([encoder.encode(x.as_py()) for x in batch.column(1)], pa.binary())]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, value in zip(batch.column(0), batch.column(1), strict=True):
             text = value.as_py()
-            starts = range(0, max(1, len(text) - OVERLAP), CHUNK)
+            starts = range(0, max(1, len(text) - PART_OVERLAP), PART)
             for k, s in enumerate(starts):
                 last = k == len(starts) - 1
-                piece = text[s:] if last else text[s : s + CHUNK + OVERLAP]
+                piece = text[s:] if last else text[s : s + PART + PART_OVERLAP]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x]) for x in (key.as_py(), k, s, last, piece)], names=["key", "chunk", "at", "last", "text"]
+                    [pa.array([x]) for x in (key.as_py(), k, s, last, piece)], names=["key", "part", "at", "last", "text"]
                 )
 
 
@@ -186,11 +247,11 @@ def _boundaries(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[list]:
     heads, tails = [], []
     for at, last, value in zip(batch.column("at"), batch.column("last"), batch.column("text"), strict=True):
         text, s = value.as_py(), at.as_py()
-        found = encoder.boundaries(text)
-        heads.append([s + b for b in found if b < OVERLAP])
-        tails.append([] if last.as_py() else [s + b for b in found if CHUNK <= b <= len(text) - MARGIN])
+        found, sure = encoder.boundaries(text), sure_end(text)
+        heads.append([s + b for b in found if b < PART_OVERLAP])
+        tails.append([] if last.as_py() else [s + b for b in found if PART <= b <= sure])
     kind = pa.list_(pa.int64())
-    yield [batch.column("key"), batch.column("chunk"), pa.array(heads, kind), pa.array(tails, kind)]
+    yield [batch.column("key"), batch.column("part"), pa.array(heads, kind), pa.array(tails, kind)]
 
 
 def _between(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[list]:
@@ -198,32 +259,28 @@ def _between(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[list]:
     for at, start, end, value in zip(*[batch.column(c) for c in ("at", "from", "to", "text")], strict=True):
         text, s = value.as_py(), at.as_py()
         ids.append(encoder.encode_between(text, start.as_py() - s, len(text) if end.as_py() is None else end.as_py() - s))
-    yield [batch.column("key"), batch.column("chunk"), pa.array(ids, pa.binary())]
+    yield [batch.column("key"), batch.column("part"), pa.array(ids, pa.binary())]
 
 
-def encode_long(texts: DataFrame, ranks) -> DataFrame:
-    """(key, ids) of distinct (key, text), chunk by chunk."""
-    chunks = texts.mapInArrow(_chunks, "key string, chunk long, at long, last boolean, text string").repartition(
-        "key", "chunk"
-    )
-    bounds = _mapped(chunks, _boundaries, "key string, chunk long, head array<bigint>, tail array<bigint>", ranks)
-    row = W.partitionBy("key").orderBy("chunk")
-    # The first common boundary of a chunk and its predecessor; the whole document is marked if any is missing.
+def encode_parts(texts: DataFrame, ranks) -> DataFrame:
+    """(key, ids) of distinct (key, text), part by part."""
+    parts = texts.mapInArrow(_parts, "key string, part long, at long, last boolean, text string").repartition("key", "part")
+    bounds = _mapped(parts, _boundaries, "key string, part long, head array<bigint>, tail array<bigint>", ranks)
+    row = W.partitionBy("key").orderBy("part")
+    # The first common boundary of a part and its predecessor; the whole text is marked if any is missing.
     common = F.array_min(F.array_intersect("head", F.lag("tail").over(row)))
     cuts = (
-        bounds.withColumn("from", F.when(F.col("chunk") == 0, F.lit(0).cast("long")).otherwise(common))
+        bounds.withColumn("from", F.when(F.col("part") == 0, F.lit(0).cast("long")).otherwise(common))
         .withColumn("to", F.lead("from").over(row))
         .withColumn("lost", F.max(F.col("from").isNull()).over(W.partitionBy("key")))
-        .select("key", "chunk", "from", "to", "lost")
-    )
-    stitched = chunks.join(cuts.where(~F.col("lost")).drop("lost"), ["key", "chunk"])
-    parts = _mapped(stitched, _between, "key string, chunk long, ids binary", ranks)
-    joined = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("chunk", "ids"))), F.lit(b""), lambda a, x: F.concat(a, x["ids"])
+        .select("key", "part", "from", "to", "lost")
     )
+    stitched = parts.join(cuts.where(~F.col("lost")).drop("lost"), ["key", "part"])
+    coded = _mapped(stitched, _between, "key string, part long, ids binary", ranks)
+    joined = coded.groupBy("key").agg(F.expr("listagg(ids, X'') WITHIN GROUP (ORDER BY part)").alias("ids"))
     lost = cuts.where("lost").select("key").distinct()
     alone = _mapped(texts.join(lost, "key", "left_semi"), _whole, "key string, ids binary", ranks)
-    return parts.groupBy("key").agg(joined.alias("ids")).unionByName(alone)
+    return joined.unionByName(alone)
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, keep_text: bool = True) -> DataFrame:
@@ -234,7 +291,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, keep_te
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
     out, key = free_name(docs, "ids"), free_name(docs, "_key")
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    is_long = F.length(whole) > CHUNK
+    is_long = F.length(whole) > PART
 
     at = docs.columns.index(text)
     kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
@@ -251,13 +308,14 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, keep_te
     near = docs.where(~is_long).mapInArrow(run, schema)
     far = docs.where(is_long).withColumn(key, F.sha2(whole, 256))
     distinct = far.groupBy(F.col(key).alias("key")).agg(F.first(F.col(f"`{text}`")).alias("text"))
-    coded = encode_long(distinct, ranks).select(F.col("key").alias(key), F.col("ids").alias(out))
+    coded = encode_parts(distinct, ranks).select(F.col("key").alias(key), F.col("ids").alias(out))
     rest = far.select(key, *[F.col(f"`{docs.columns[i]}`") for i in kept])
     return near.unionByName(rest.join(coded, key).drop(key))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
-    """``df`` with a binary column ``out``: the bytes of the ids, one after the other."""
+    """``df`` with a binary column ``out``, or a free name like it: the bytes of the ids, one after the other."""
+    out = free_name(df, out)
     ranks = df.sparkSession.sparkContext.broadcast(load_ranks(path))
     at = df.columns.index(ids)
 
@@ -288,7 +346,7 @@ def round_trip(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256 for the text of each."""
     encoded = encode(docs, text, keep_text=False)
     ids = encoded.columns[-1]
-    done = decode(encoded, ids, free_name(encoded, "decoded"))
+    done = decode(encoded, ids)
     digests = {
         "n_tokens": (F.octet_length(F.col(ids)) / 4).cast("long"),
         "ids_sha256": F.sha2(F.col(ids), 256),
