@@ -11,11 +11,12 @@ ranges of (URL, time, id), so that a hot URL spans partitions. Inside a partitio
 for each partition at most, are joined back. The range partitioning is checkpointed, so that a lost executor can't
 change it.
 
-Defined cases: a null or unusable url, or a null time, resolves to nothing (``no_url``, ``no_time``); of captures at the
-same time the one with the smaller id is the earlier; a revisit without an earlier response is ``no_response``, one
+Defined cases: a null or unusable url, or a null time, resolves to nothing (``no_url``, ``no_time``), and so does a null
+record_id, which has no place among captures (``no_response``); of captures at the same time the one with the smaller id
+is the earlier; a revisit without an earlier response is ``no_response``, one
 without validators ``no_validator``, one that disagrees ``validator_mismatch``. Null header maps are empty, header names
-are compared in lower case. Repeated records are resolved each. Further columns and their names don't matter: the
-operator returns its own.
+are compared in lower case. Repeated records are resolved each. Urls and header values of any length are taken whole; an
+empty table gives an empty result. Further columns and their names don't matter: the operator returns its own.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpointed, let, read_table
-from .urls import canonical
+from .urls import CANONICAL, canonical, host_of
 
 # Headers that a 304 response may update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -49,7 +50,9 @@ def _tag(headers: Column) -> Column:
 
 
 def _date(headers: Column) -> Column:
-    return F.nullif(F.trim(headers["last-modified"]), F.lit(""))
+    """The Last-Modified date in one form: lower case, single spaces, without the weekday, and UTC as GMT."""
+    plain = F.lower(F.trim(F.regexp_replace(headers["last-modified"], r"\s+", " ")))
+    return F.nullif(F.regexp_replace(F.regexp_replace(plain, "^[a-z]+, ?", ""), " utc$", " gmt"), F.lit(""))
 
 
 def merged_headers(stored: Column, sent: Column) -> Column:
@@ -140,40 +143,55 @@ def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
-    """Two records for each page: its full response, and a later revisit that sends the validators it knows.
+    """Captures for each page: full responses and a later revisit that sends the validators it knows.
 
-    A page is captured ``page_id`` minutes after the epoch and revisited some minutes later, by its url's hash; a third
-    of the revisits know the date alone and some know nothing.
+    Times are minutes after the epoch, from the page's id and its url's hash. A quarter of the pages stand for the home
+    page of their host, whose body changes every 40 minutes, so that the captures of one canonical URL come from many
+    pages. Of the others, some have no response of their own and some change before the revisit. A third of the revisits
+    know the date alone, an eighth know nothing, and a few lack url or time.
     """
     minute = lambda m: F.timestamp_seconds(60 * m)
-    tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16), F.lit('"'))
-    day = F.date_format(minute(F.col("page_id")), "yyyy-MM-dd")
-    code = F.conv(F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 7), 16, 10).cast("long")
-    full = pages.select(
-        (F.col("page_id") * 2).alias("record_id"),
-        "url",
-        minute(F.col("page_id")).alias("captured"),
-        F.lit(200).alias("status"),
-        F.create_map(
-            F.lit("ETag"), tag, F.lit("Last-Modified"), day, F.lit("Content-Type"), F.lit("text/html"),
-            F.lit("Content-Length"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string"),
-        ).alias("headers"),
-        F.col("html").alias("body"),
+    day = lambda m: F.date_format(F.date_from_unix_date(F.floor(m / 1440).cast("int")), "dd MMM yyyy")
+    quoted = lambda x: F.concat(F.lit('"'), F.substring(F.md5(x), 1, 16), F.lit('"'))
+    url, html, page = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")), F.col("page_id")
+    code = F.conv(F.substring(F.md5(url), 1, 7), 16, 10).cast("long")
+    home = (code % 4 == 0) & (host_of(F.col("url")) != "")
+    epoch = lambda m: F.concat(host_of(F.col("url")), F.lit("#"), F.floor(m / 40).cast("string"))
+    again = page + 2 + code % 5000
+    rows = pages.select(
+        "page_id", "html", html.alias("whole"), code.alias("code"), home.alias("home"), again.alias("again"),
+        F.when(home, F.concat(F.lit("http://"), host_of(F.col("url")), F.lit("/"))).otherwise(F.col("url")).alias("at"),
+        F.when(home, quoted(epoch(page))).otherwise(quoted(html)).alias("tag"),
+        F.when(home & (code % 5 == 0), quoted(epoch(again))).when(home, quoted(epoch(page))).otherwise(quoted(html)).alias("known"),
     )
-    sent = F.when(code % 8 == 0, F.create_map(F.lit("Date"), F.lit("later"))).when(
-        code % 3 == 0, F.create_map(F.lit("last-modified"), day, F.lit("Date"), F.lit("later"))
+    length = F.octet_length("whole").cast("string")
+
+    def response(record: int, later: int, tag: Column) -> Column:
+        headers = F.create_map(
+            F.lit("ETag"), tag, F.lit("Last-Modified"), F.concat(F.lit("Mon, "), day(page + later), F.lit(" 00:00:00 GMT")),
+            F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), length,
+        )
+        return F.struct(
+            (page * 4 + record).alias("record_id"), F.col("at").alias("url"), minute(page + later).alias("captured"),
+            F.lit(200).alias("status"), headers.alias("headers"), F.col("html").alias("body"),
+        )
+
+    sent = F.when(F.col("code") % 8 == 1, F.create_map(F.lit("Date"), F.lit("later"))).when(
+        F.col("code") % 3 == 0,
+        F.create_map(F.lit("last-modified"), F.concat(day(page), F.lit(" 00:00:00 UTC")), F.lit("Date"), F.lit("later")),
     ).otherwise(
-        F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("Expires"), F.lit("soon"), F.lit("Content-Type"), F.lit("text/plain"))
+        F.create_map(
+            F.lit("etag"), F.concat(F.lit("W/"), F.col("known")), F.lit("Expires"), F.lit("soon"), F.lit("Content-Type"), F.lit("text/plain")
+        )
     )
-    again = pages.select(
-        (F.col("page_id") * 2 + 1).alias("record_id"),
-        "url",
-        minute(F.col("page_id") + 1 + code % 5000).alias("captured"),
-        F.lit(304).alias("status"),
-        sent.alias("headers"),
-        F.lit(None).cast("string").alias("body"),
+    revisit = F.struct(
+        (page * 4 + 3).alias("record_id"), F.when(F.col("code") % 29 != 0, F.col("at")).alias("url"),
+        F.when(F.col("code") % 31 != 0, minute(F.col("again"))).alias("captured"), F.lit(304).alias("status"),
+        sent.alias("headers"), F.lit(None).cast("string").alias("body"),
     )
-    return full.unionByName(again)
+    own = F.when((F.col("code") % 9 != 0) | F.col("home"), response(0, 0, F.col("tag")))
+    changed = F.when((F.col("code") % 7 == 0) & ~F.col("home"), response(1, 1, F.lit('"changed"')))
+    return rows.select(F.explode(F.array_compact(F.array(own, changed, revisit))).alias("r")).select("r.*")
 
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +201,7 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = lambda k: F.col("headers")[k]
     return found.select(
         "record_id",
-        F.expr("record_id div 2").alias("page_id"),
+        F.expr("record_id div 4").alias("page_id"),
         "canonical",
         "response_id",
         "resolved",
@@ -196,29 +214,34 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL = """
-WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
-a AS (SELECT *, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM p),
-b AS (SELECT *, regexp_replace(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-        'abcdefghijklmnopqrstuvwxyz'), '^(www|m)\\.', '') AS host,
-        regexp_replace(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '(\\.html|/)$', '') AS path,
-        '"' || substr(md5(html), 1, 16) || '"' AS tag, strftime(make_timestamp(60000000 * page_id), '%Y-%m-%d') AS day
-      FROM a),
-c AS (SELECT page_id, CASE WHEN host <> '' THEN host || path END AS canonical, tag, day,
-        octet_length(encode(html))::VARCHAR AS len, ('0x' || substr(md5(url), 1, 7))::BIGINT AS code FROM b),
-r AS (SELECT c.page_id, c.canonical, c.code, c.tag, c.day,
-        max(o.page_id) AS response
-      FROM c LEFT JOIN c o ON o.canonical = c.canonical AND o.page_id <= c.page_id + 1 + c.code % 5000
-      GROUP BY ALL),
-j AS (SELECT r.*, o.tag AS old_tag, o.day AS old_day, o.len AS old_len,
-        CASE WHEN r.canonical IS NULL THEN 'no_url' WHEN r.response IS NULL THEN 'no_response'
-             WHEN r.code % 8 = 0 THEN 'no_validator'
-             WHEN r.code % 3 = 0 AND r.day <> o.day THEN 'validator_mismatch'
-             WHEN r.code % 3 <> 0 AND r.tag <> o.tag THEN 'validator_mismatch' ELSE 'resolved' END AS reason
-      FROM r LEFT JOIN c o ON o.page_id = r.response)
-SELECT 2 * page_id + 1 AS record_id, page_id, canonical, 2 * response AS response_id, reason = 'resolved' AS resolved,
-    reason,
-    CASE WHEN reason = 'resolved' THEN CASE WHEN code % 3 = 0 THEN old_tag ELSE 'W/' || tag END END AS etag,
+SQL = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html,
+        CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest0,
+        ('0x' || substr(md5(coalesce(url, '')), 1, 7))::BIGINT AS code FROM pages),
+h AS (SELECT *, translate(regexp_extract(rest0, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host0,
+        page_id + 2 + code % 5000 AS again FROM p),
+a AS (SELECT *, code % 4 = 0 AND host0 <> '' AS home FROM h),
+b AS (SELECT *, host0 AS host, CASE WHEN home THEN host0 || '/' ELSE rest0 END AS rest,
+        CASE WHEN home THEN '/' ELSE regexp_extract(rest0, '^[^/?#]*([^?#]*)', 1) END AS path,
+        CASE WHEN home THEN md5(host0 || '#' || (page_id // 40)) ELSE md5(html) END AS tag0,
+        CASE WHEN home AND code % 5 = 0 THEN md5(host0 || '#' || (again // 40)) WHEN home THEN md5(host0 || '#' || (page_id // 40))
+             ELSE md5(html) END AS known0 FROM a),
+c AS (SELECT *, {CANONICAL} AS canonical, '"' || substr(tag0, 1, 16) || '"' AS tag, '"' || substr(known0, 1, 16) || '"' AS known,
+        octet_length(encode(html))::VARCHAR AS len FROM b),
+f AS (SELECT 4 * page_id AS record_id, page_id AS at, canonical, tag, page_id // 1440 AS day, len FROM c WHERE code % 9 <> 0 OR home
+      UNION ALL SELECT 4 * page_id + 1, page_id + 1, canonical, '"changed"', (page_id + 1) // 1440, len FROM c WHERE code % 7 = 0 AND NOT home),
+v AS (SELECT 4 * page_id + 3 AS record_id, page_id, code, CASE WHEN code % 29 <> 0 THEN canonical END AS canonical,
+        CASE WHEN code % 31 <> 0 THEN again END AS at, known, page_id // 1440 AS day FROM c),
+r AS (SELECT v.record_id, max(f.at::HUGEINT * 1000000000000 + f.record_id) AS place
+      FROM v JOIN f ON f.canonical = v.canonical AND v.at IS NOT NULL AND (f.at, f.record_id) < (v.at, v.record_id) GROUP BY 1),
+j AS (SELECT v.*, o.record_id AS response_id, o.tag AS old_tag, o.day AS old_day, o.len AS old_len,
+        CASE WHEN v.canonical IS NULL THEN 'no_url' WHEN v.at IS NULL THEN 'no_time' WHEN o.record_id IS NULL THEN 'no_response'
+             WHEN code % 8 = 1 THEN 'no_validator'
+             WHEN code % 3 = 0 AND v.day <> o.day THEN 'validator_mismatch'
+             WHEN code % 3 <> 0 AND v.known <> o.tag THEN 'validator_mismatch' ELSE 'resolved' END AS reason
+      FROM v LEFT JOIN r USING (record_id) LEFT JOIN f o ON o.record_id = (r.place % 1000000000000)::BIGINT)
+SELECT record_id, page_id, canonical, response_id, reason = 'resolved' AS resolved, reason,
+    CASE WHEN reason = 'resolved' THEN CASE WHEN code % 3 = 0 THEN old_tag ELSE 'W/' || known END END AS etag,
     CASE WHEN reason = 'resolved' THEN 'text/html' END AS content_type,
     CASE WHEN reason = 'resolved' THEN old_len END AS content_length,
     CASE WHEN reason = 'resolved' AND code % 3 = 0 THEN 'later' END AS date,
