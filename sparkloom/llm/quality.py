@@ -2,9 +2,10 @@
 
 Everything is a row-local expression over arrays of lines and words: no shuffle, no Python, one pass over the text.
 
-Defined cases: a null or empty text has no words and is rejected; a text of blank lines likewise. Blank lines are
-kept as they are and count neither as text nor as loss. Repeated rows are judged alike, each on its own. Null ids and
-further columns pass through.
+Defined cases: a null or empty text has no words and is rejected; a text of blank lines likewise; an empty table gives
+an empty result; a text of any length is judged whole. Blank lines are kept as they are and count neither as text nor as
+loss. Repeated rows are judged alike, each on its own; a document exactly at a limit passes. Null ids and further
+columns pass through, and the new column takes a free name.
 """
 
 from __future__ import annotations
@@ -18,17 +19,16 @@ from pyspark.sql import functions as F
 
 from .common import WORD, free_name, let, read_table
 
-# Phrases of page furniture, lower case.
-BOILERPLATE = (
-    "all rights reserved",
-    "click here",
-    "cookie",
-    "javascript",
-    "lorem ipsum",
-    "privacy policy",
-    "subscribe to",
-    "terms of",
-)
+#: Default phrases of page furniture, lower case, in the corpus's four languages; give ``LineRules`` others as needed.
+FURNITURE = (
+    "accept cookies", "all rights reserved", "click here", "cookie policy", "enable javascript", "lorem ipsum",
+    "privacy policy", "subscribe to our", "terms of service", "terms of use",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "hier klicken", "javascript aktivieren",
+    "nutzungsbedingungen",
+    "accepter les cookies", "cliquez ici", "conditions générales", "mentions légales", "politique de confidentialité",
+    "tous droits réservés",
+    "aceptar cookies", "haga clic aquí", "política de privacidad", "todos los derechos reservados", "términos de uso",
+)
 SYMBOL = r"[#*$%&|<>]"
 SHOUTED = r"[A-ZÀ-ÖØ-Þ]"
 BANG = r"[!?]"
@@ -49,12 +49,26 @@ class LineRules:
     max_loss: int = 50
     min_words: int = 50
     max_repeat: int = 50
+    #: Phrases without characters that are special in a regular expression; a line of at most so many words that has
+    #: one is furniture, while a longer one may be prose about it.
+    furniture: tuple[str, ...] = FURNITURE
+    max_furniture_words: int = 12
 
 
 def _count(line: Column, pattern: str) -> Column:
     return F.length(line) - F.length(F.regexp_replace(line, pattern, ""))
 
 
+def _words(line: Column) -> Column:
+    return F.size(F.split(line, r"[\x20\x09-\x0D]+", -1))
+
+
+def _furniture(line: Column, rules: LineRules) -> Column:
+    if not rules.furniture:
+        return F.lit(False)
+    return F.lower(line).rlike("|".join(rules.furniture)) & (_words(line) <= rules.max_furniture_words)
+
+
 def line_fails(line: Column, rules: LineRules) -> Column:
     """True if any rule rejects the line: punctuation, navigation or boilerplate."""
     n = F.length(line)
@@ -63,22 +77,24 @@ def line_fails(line: Column, rules: LineRules) -> Column:
         | (_count(line, BANG) * 100 > n * rules.max_bangs)
         | ((n >= rules.min_letters_for_shout) & (_count(line, SHOUTED) * 100 > n * rules.max_shouted))
         | (F.size(F.split(line, BAR, -1)) - 1 > rules.max_bars)
-        | F.lower(line).rlike("|".join(BOILERPLATE))
-        | (~line.rlike(STOP) & (F.size(F.split(line, r"[\x20\x09-\x0D]+", -1)) >= rules.min_words_for_end))
+        | _furniture(line, rules)
+        | (~line.rlike(STOP) & (_words(line) >= rules.min_words_for_end))
     )
 
 
 def may_fail(text: Column, lowered: Column, n_symbols: Column, rules: LineRules) -> Column:
     """False only if no line of the text can fail: the same rules in a form that few scans of the text answer.
 
-    A line of more capitals than half has two that adjoin, and a line of w words has 2w - 1 characters at least.
+    A line of more capitals than half has two that adjoin; where fewer are enough to fail, any capital counts. A line of
+    w parts between white space, of which the first and the last may be empty, has 2w - 3 characters at least.
     """
-    unstopped = r"\n[^.!?:;\n]{%d,}+\n" % (2 * rules.min_words_for_end - 1)
+    unstopped = r"\n[^.!?:;\n]{%d,}+\n" % max(1, 2 * rules.min_words_for_end - 3)
+    shouted = SHOUTED * 2 if rules.max_shouted >= 50 else SHOUTED
     return reduce(
         or_,
-        [lowered.contains(phrase) for phrase in BOILERPLATE],
+        [lowered.contains(phrase) for phrase in rules.furniture],
         (n_symbols > 0)
-        | text.rlike(f"[!?>»·]|{SHOUTED}{SHOUTED}")
+        | text.rlike(f"[!?>»·]|{shouted}")
         | F.concat(F.lit("\n"), text, F.lit("\n")).rlike(unstopped),
     )
 
@@ -221,7 +237,7 @@ def _sql() -> str:
     def count(pattern: str) -> str:
         return f"(length(line) - length(regexp_replace(line, '{pattern}', '', 'g')))"
 
-    phrases = "|".join(BOILERPLATE)
+    phrases, parts = "|".join(rules.furniture), "len(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'))"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, regexp_extract_all(text, '{word}') AS ws FROM d),
@@ -237,8 +253,8 @@ judged AS (SELECT r, line,
     OR {count(BANG)} * 100 > length(line) * {rules.max_bangs}
     OR (length(line) >= {rules.min_letters_for_shout} AND {count(SHOUTED)} * 100 > length(line) * {rules.max_shouted})
     OR len(regexp_split_to_array(line, '{BAR}')) - 1 > {rules.max_bars}
-    OR regexp_matches(lower(line), '{phrases}')
-    OR (len(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+')) >= {rules.min_words_for_end}
+    OR (regexp_matches(lower(line), '{phrases}') AND {parts} <= {rules.max_furniture_words})
+    OR ({parts} >= {rules.min_words_for_end}
         AND NOT regexp_matches(line, '{STOP}')) AS bad FROM lines),
 per AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, sum(length(line)) AS chars,
         coalesce(sum(length(line)) FILTER (WHERE bad), 0) AS lost FROM judged GROUP BY r),
