@@ -10,8 +10,10 @@ Items are a query set: they go out in blocks of at most ``BLOCK_CHARS`` characte
 for each block, so what a task holds is bounded whatever the number of items. Documents are never shuffled.
 
 Text is compared in lower case with runs of white space as one space. Defined cases: null or blank texts have no hits;
-blank items match nothing; an item shorter than twice ``PIECE`` must occur exactly; repeated items or documents give
-their hits each; further columns pass through ``drop_contaminated``.
+blank items match nothing; an item shorter than twice ``PIECE`` must occur exactly and between word limits; repeated
+items or documents give their hits each; of passages at the same distance the first counts; empty tables of documents
+give empty results and an empty table of items gives no hits; texts of any length are searched whole; further columns
+pass through ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -48,8 +50,11 @@ def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
-def myers(pattern_bits: dict[str, int], length: int, text: str) -> tuple[int, int]:
-    """The smallest distance between the pattern and any substring of ``text``, and where the first such one ends."""
+def myers(pattern_bits: dict[str, int], length: int, text: str, anchored: bool = False) -> tuple[int, int]:
+    """The smallest distance between the pattern and any substring of ``text``, and where the first such one ends.
+
+    If ``anchored``, only substrings at the start of the text count.
+    """
     ones = (1 << length) - 1
     plus, minus, score, top = ones, 0, length, 1 << (length - 1)
     best, at = length, 0
@@ -66,7 +71,8 @@ def myers(pattern_bits: dict[str, int], length: int, text: str) -> tuple[int, in
             score -= 1
             if score < best:
                 best, at = score, j + 1
-        ph = (ph << 1) & ones  # a match may begin anywhere: the row above the pattern is all zero
+        # A match may begin anywhere if the row above the pattern is all zero; else it counts up.
+        ph = ((ph << 1) | anchored) & ones
         mh = (mh << 1) & ones
         plus = mh | (~(xv | ph) & ones)
         minus = ph & xv
@@ -81,7 +87,7 @@ def _bits(pattern: str) -> dict[str, int]:
 
 
 class Matcher:
-    """The automaton of one block of items; made once in a worker."""
+    """The automaton of one block of items; made once in a task."""
 
     def __init__(self, items: list[tuple[int, str]], piece: int = PIECE) -> None:
         self.items = [(i, normal(t)) for i, t in items]
@@ -114,7 +120,9 @@ class Matcher:
         errors, best = self.errors[k], None
         for start in starts:
             if whole.startswith(item, start) if start >= 0 else False:
-                return item_id, 0, errors, start, start + len(item)
+                end = start + len(item)
+                if errors or (not start or whole[start - 1] == " ") and (end == len(whole) or whole[end] == " "):
+                    return item_id, 0, errors, start, end
         if not errors:
             return None
         bits = self.bits.get(k)
@@ -129,8 +137,13 @@ class Matcher:
             left = max(0, a - errors)
             distance, end = myers(bits, len(item), whole[left : b + len(item) + errors])
             if distance <= errors and (best is None or distance < best[1]):
-                best = item_id, distance, errors, max(0, left + end - len(item)), left + end
-        return best
+                best = item_id, distance, errors, left, left + end
+        if best is None:
+            return None
+        # Backwards from its end, the passage is a match at the start of the text.
+        _, distance, _, left, end = best
+        _, length = myers(_bits(item[::-1]), len(item), whole[max(left, end - len(item) - errors) : end][::-1], anchored=True)
+        return item_id, distance, errors, end - length, end
 
 
 def item_blocks(items: DataFrame, key: str = "item_id", text: str = "text", chars: int = BLOCK_CHARS) -> Iterator[list]:
@@ -146,7 +159,7 @@ def item_blocks(items: DataFrame, key: str = "item_id", text: str = "text", char
 def benchmark_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, budget, passage_start, passage_end): the best passage of each item in a document.
 
-    Places are characters of the normalised text; the start is that of a passage as long as the item.
+    Places are characters of the normalised text, the passage's start and the place behind its end.
     """
     context = docs.sparkSession.sparkContext
     narrow = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
