@@ -7,7 +7,8 @@ small integers, a constant, whatever the number of rows. Shares differ by one sl
 shard moves little beyond its own share.
 
 Defined cases: a null key is a key like any other (all nulls lie together); repeated rows lie together; an empty table
-gives an empty result; no shards, repeated names or more shards than slots are errors; other columns pass through.
+gives an empty result; a key of any length costs one hash; no shards, repeated names or more shards than slots are
+errors; other columns pass through, and the new one takes a free name.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, read_table
+from .common import free_name, read_table, row_hash
 
 #: A prime; at 100 slots for a shard or more, shares differ by 1 % at most.
 TABLE_SIZE = 65_537
@@ -75,13 +76,17 @@ def place(
     )
 
 
-def write_shards(df: DataFrame, key: str, path: str, shards: Sequence[str] = SHARDS, pieces: int = 1) -> None:
-    """Write ``df`` as Parquet with a folder for each shard; ``pieces`` tasks share one shard's rows by their hash."""
-    placed = place(df, key, shards)
-    name = placed.columns[-1]
-    flat = placed.withColumn("shard_name", F.col(f"`{name}`")["name"]).drop(name)
-    piece = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(pieces))
-    flat.repartition(len(shards) * pieces, "shard_name", piece).write.partitionBy("shard_name").parquet(path)
+def write_shards(df: DataFrame, key: str, path: str, shards: Sequence[str] = SHARDS, pieces: int = 1) -> str:
+    """Write ``df`` as Parquet with a folder for each shard; ``pieces`` tasks share one shard's rows by their hash.
+
+    Gives the name of the column that the folders carry, ``shard_name`` unless ``df`` has one already.
+    """
+    placed, out = place(df, key, shards), free_name(df, "shard_name")
+    struct = placed.columns[-1]
+    flat = placed.withColumn(out, F.col(f"`{struct}`")["name"]).drop(struct)
+    piece = F.pmod(row_hash(df, "piece"), F.lit(pieces))
+    flat.repartition(len(shards) * pieces, F.col(f"`{out}`"), piece).write.partitionBy(out).parquet(path)
+    return out
 
 
 def op1_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
