@@ -8,7 +8,8 @@ the set of its own boilerplate lines, at most as many as it has lines.
 Lines are told apart by two 64-bit hashes, and pages by two hashes of id, host and text, so that null or repeated ids
 do no harm. Defined cases: a null host is a host of its own (the empty name); a null text stays null and has no lines;
 blank lines are neither counted nor dropped; repeated rows are pages each; a page may lose all its lines and is kept
-with what is left; further columns pass through.
+with what is left; a line at exactly the ratio stays; an empty table gives an empty result; texts and lines of any length
+are taken whole; further columns pass through, and the new one takes a free name.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, free_name, read_table
 
-#: A line is boilerplate on a host if more than this share of the host's pages carry it, and at least MIN_PAGES do.
+#: A line is boilerplate on a host if more than this share of the host's pages carry it, and at least MIN_PAGES do: on a
+#: host of fewer than MIN_PAGES / MAX_RATIO pages the ratio alone would drop lines that occur once.
 MAX_RATIO = 0.02
 MIN_PAGES = 5
 

@@ -363,12 +363,14 @@ def scores_of(fitted: Fitted) -> DataFrame:
     )
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
+def score_documents(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = HEAD, shard_tokens: int = SHARD_TOKENS
+) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, network_score) for each row.
 
     ``network_score`` is the network's part of ``score``: that of words of the short list and of tail classes.
     """
-    return scores_of(fit(docs, key, text, head))
+    return scores_of(fit(docs, key, text, head, shard_tokens))
 
 
 def op4_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
