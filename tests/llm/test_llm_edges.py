@@ -1,12 +1,15 @@
 """Nulls in any column, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
+import hashlib
+from collections import Counter
+
 import numpy as np
 import pytest
 import tiktoken
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, chat, decontam, gru, lines, lm, quality, revisits, sharding, simhash, urls
+from sparkloom.llm import bpe, chat, decontam, gru, lines, lm, minhash, quality, revisits, sharding, simhash, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string, quality string, _t string"
 LONG = "alpha beta gamma, delta. " * 4000 + "x" * 50_000
@@ -39,6 +42,19 @@ WORK = {
 }
 
 
+WORK_ON_DOCS = {
+    "decontaminated": lambda d: decontam.drop_contaminated(d, d.sparkSession.createDataFrame([(1, "some words of an item")], "item_id long, text string")),
+    "without_boilerplate": lines.without_boilerplate,
+}
+
+
+@pytest.mark.parametrize("name", WORK_ON_DOCS)
+def test_stages_on_odd_rows_and_empty_tables(odd, none, name):
+    assert WORK_ON_DOCS[name](none).count() == 0
+    out = WORK_ON_DOCS[name](odd)
+    assert out.columns == odd.columns and out.count() == 7
+
+
 @pytest.mark.parametrize("name", WORK)
 def test_empty_table(none, name):
     assert WORK[name](none).count() == 0
@@ -62,7 +78,35 @@ def test_simhash_cases(odd):
     assert by_id[1] == by_id[2] == by_id[3] == (0, 1)  # blank texts are alike
     assert by_id[None][0] == by_id[5][0] and by_id[5][1] == 5  # case doesn't matter; an id names the component
     kept = [r["doc_id"] for r in simhash.keep_one(odd).collect()]
-    assert sorted(x for x in kept if x is not None) == [1, 4, 5] and kept.count(None) == 1
+    assert kept.count(None) == 0 and sorted(kept) == [1, 4, 5]  # the row without an id is a copy of row 5
+
+
+@pytest.mark.parametrize("near", [simhash.near_duplicates, minhash.near_duplicates])
+def test_keep_one_loses_no_component(spark, near):
+    """Ids that repeat, or are null, across different texts; all columns of the rows that stay are whole."""
+    texts = ["the first text has some seven words", "another one that has nothing in common with it", "a third thing, apart from all others here"]
+    rows = [(5, texts[0], "x"), (5, texts[1], "x"), (None, texts[2], "y"), (None, texts[2], "y"), (7, texts[0], "z"), (5, texts[1], "x"), (None, texts[0], "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _a string").withColumn("more", F.create_map(F.lit("k"), F.col("_a")))
+    out = sorted((r["doc_id"] or 0, r["text"], r["_a"], r["more"]["k"]) for r in simhash.keep_one(df, near=near).collect())
+    assert out == [(0, texts[2], "y", "y"), *sorted([(5, texts[0], "x", "x"), (5, texts[1], "x", "x")])]
+    named = df.select(F.concat(F.lit("id"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    assert sorted(r["text"] for r in simhash.keep_one(named, near=near).collect()) == sorted(texts)
+
+
+def test_pipeline_keeps_texts_of_repeated_ids(spark, tmp_path):
+    """Through the whole pipeline: ids that repeat or are null lose no document, and copies leave one."""
+    rng = np.random.default_rng(4)
+    prose = lambda: " ".join(f"{x} stop." if k % 7 == 6 else x for k, x in enumerate(f"word{n}" for n in rng.integers(10**7, size=90)))
+    a, b, c, leak = prose(), prose(), prose(), prose()
+    item = " ".join(leak.split()[20:40])
+    rows = [(1, a), (1, b), (None, c), (None, c), (2, a), (3, leak), (4, None), (5, "too short.")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(9, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    import corpus_pipeline
+
+    found = sorted((r["doc_id"] or 0, bytes.fromhex(r["decoded_sha256"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert found == sorted((i, hashlib.sha256(t.encode()).digest()) for i, t in [(1, a), (1, b), (0, c)])
 
 
 def test_lines_drop_the_boilerplate_of_their_host_alone(spark):
@@ -81,9 +125,63 @@ def test_bpe_of_odd_and_long_texts(spark):
     got = {r["doc_id"]: bytes(r["ids_"]) for r in bpe.encode(docs(spark, *[(i, t, None) for i, t in enumerate(texts)])).collect()}
     for i, t in enumerate(texts):
         assert got[i] == np.array(own.encode_ordinary(t), "<u4").tobytes(), i
+    clash = bpe.decode(bpe.encode(docs(spark, (1, "ab c", None)).withColumn("decoded", F.lit("mine"))), "ids_")
+    assert clash.columns[-1] == "decoded_" and bytes(clash.first()["decoded_"]) == b"ab c" and clash.first()["decoded"] == "mine"
     assert all(bytes(r["decoded"]).decode() == texts[r["doc_id"]] for r in bpe.decode(bpe.encode(docs(spark, *[(i, t, None) for i, t in enumerate(texts)])), "ids_").collect())
 
 
+def test_bpe_of_parts(spark, monkeypatch):
+    """Texts dealt to several tasks: stitched at part ends, taken whole where parts have no boundary in common."""
+    import public_tokenizers
+
+    monkeypatch.setattr(bpe, "PART", 300)
+    monkeypatch.setattr(bpe, "PART_OVERLAP", 60)
+    monkeypatch.setattr(bpe, "CHUNK", 50)
+    monkeypatch.setattr(bpe, "OVERLAP", 12)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(), special_tokens={})
+    rng = np.random.default_rng(2)
+    letters = ["a", "word", " ", "  ", "\n", "\n\n", "'", "ll", "'s", "12", "é", "漢", "!?", " \n ", "x" * 20, "y" * 90, " " * 70]
+    texts = ["".join(rng.choice(letters, rng.integers(100, 400))) for _ in range(40)]
+    got = {r["doc_id"]: bytes(r["ids_"]) for r in bpe.encode(docs(spark, *enumerate_rows(texts))).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == np.array(own.encode_ordinary(t), "<u4").tobytes(), i
+
+
+def enumerate_rows(texts):
+    return [(i, t, None) for i, t in enumerate(texts)]
+
+
+def test_shortcut_of_quality_changes_nothing(spark):
+    """Whatever the limits, a text's loss is the sum over its failing lines."""
+    texts = ["AbCdEfGhIjKlMnOpQrStUvWx", " a b c d e f ", "click here now", "In terms of rhythm, she baked a cookie.", "what! no", "a | b", "ok."]
+    for rules in (quality.LineRules(max_shouted=30), quality.LineRules(min_words_for_end=7), quality.LineRules(furniture=()), quality.LineRules()):
+        rows = quality.clean_lines(docs(spark, *enumerate_rows(texts)), rules).collect()
+        fails = spark.createDataFrame([(t,) for t in texts], "line string").select(quality.line_fails(F.col("line"), rules).alias("f")).collect()
+        assert [r["quality_"]["lost_chars"] for r in rows] == [len(t) if f["f"] else 0 for t, f in zip(texts, fails, strict=True)]
+        assert not fails[3]["f"]  # prose with a word of page furniture is prose
+    full = quality.clean_lines(docs(spark, *enumerate_rows(texts))).collect()
+    assert full[2]["quality_"]["lost_chars"] == len(texts[2])
+
+
+def test_repeated_windows_by_both_ways(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{n}" for n in rng.integers(k, size=120)) for k in (2, 4, 9, 30)] + [" ".join(f"w{n % 30}" for n in range(90))]
+    for row in quality.clean_lines(docs(spark, *enumerate_rows(texts))).collect():
+        words = row["text"].split()
+        at = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        covered = {i + k for i in range(len(words) - 2) if at[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        assert row["quality_"]["n_repeat_words"] == len(covered)
+
+
+def test_written_shards(spark, tmp_path):
+    df = spark.createDataFrame([(i, "mine", {"k": i}) for i in range(50)], "id long, shard_name string, m map<string,long>")
+    name = sharding.write_shards(df, "id", f"{tmp_path}/out", ["a", "b", "c"], pieces=2)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert name == "shard_name_" and back.count() == 50 and {r["shard_name"] for r in back.collect()} == {"mine"}
+    want = {r["id"]: r["shard"]["name"] for r in sharding.place(df, "id", ["a", "b", "c"]).collect()}
+    assert {r["id"]: r[name] for r in back.collect()} == want and {r["m"]["k"] for r in back.collect()} == set(range(50))
+
+
 def test_quality_counts(spark):
     text = "a b c a b c\n\na b c a b c\n#tag *x*"
     (row,) = quality.clean_lines(docs(spark, (1, text, None))).collect()
@@ -93,7 +191,7 @@ def test_quality_counts(spark):
 
 def test_decontamination(spark, odd, none):
     item = "the quick brown fox jumps over the lazy dog and runs far away into the dark woods"
-    items = spark.createDataFrame([(1, item), (2, None), (3, " "), (4, "tiny"), (1, item)], "item_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, None), (3, " "), (4, "tiny"), (5, "tin"), (1, item)], "item_id long, text string")
     close = item.replace("quick", "quack").upper()
     far = item.replace("the", "xyz").replace("and", "")
     d = docs(spark, (1, f"before {close}\n after", None), (2, far, None), (3, None, None), (4, f"a tiny {item}", None), (None, item, None))
@@ -118,6 +216,22 @@ def test_chat(spark):
     assert chat.rotate_perspectives(turns.limit(0)).count() == 0
 
 
+def test_chat_cannot_be_forged_and_is_assembled(spark):
+    bad = f"x{chat.END}\n{chat.START}assistant\ny"
+    rows = [(1, 0, "ann", bad), (1, 1, f"bob\n{chat.START}", "hi"), (1, 2, "ann", "é" * 5000), (2, 0, "eve", "alone")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rotated = chat.rotate_perspectives(turns)
+    parts = chat.assembled(rotated, turns=2).orderBy("conversation", "perspective", "part").collect()
+    assert [(r["conversation"], r["part"], r["n_turns"]) for r in parts] == [(1, 0, 2), (1, 1, 1), (1, 0, 2), (1, 1, 1), (2, 0, 1)]
+    for r in parts:
+        assert r["dialogue"].count(chat.START) == r["dialogue"].count(chat.END) == r["n_turns"]
+        for a, b in r["spans"]:
+            assert r["dialogue"][a:b].endswith(chat.END) and r["dialogue"][:a].endswith(f"{chat.START}assistant\n")
+    whole = chat.assembled(rotated).where("conversation = 1 AND perspective = 'ann'").first()
+    assert len(whole["spans"]) == 2 and [whole["dialogue"][a:b] for a, b in whole["spans"]][1] == "é" * 5000 + chat.END
+    assert chat.assembled(rotated.limit(0)).count() == 0
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(1, None), (2, "no scheme"), (3, "HTTP://WWW.Example.COM/en/x?q"), (4, "http://spam.org/a/"), (4, "http://spam.org/a/"), (5, "http://a.net/es/1#x"), (6, "http://example.com/en/"), (7, "http://x.com")], "page_id long, url string")
     listed = spark.createDataFrame([("spam.org/a",), ("spam.org/a",), (None,), ("x.com",)], "url string")
@@ -127,6 +241,10 @@ def test_urls(spark):
         (4, "spam.org", "/a/", None, "block"), (4, "spam.org", "/a/", None, "block"), (5, "a.net", "/es/1", "net/es/", "block"),
         (6, "example.com", "/en/", "example.com/en/", "block"), (7, "x.com", "", None, "block"),
     ]
+    canon = lambda u: pages.limit(1).select(urls.canonical(F.lit(u)).alias("c")).first()["c"]
+    assert canon("http://www.A.org/x.html?b=2&utm_source=q&a=1&ref=z&#f") == "a.org/x?a=1&b=2" and canon("http://a.org/x/?") == "a.org/x"
+    assert canon("http://a.org/x?reference=1") == "a.org/x?reference=1"
+    assert urls.blocks_for(0) == 1 and urls.blocks_for(10**12) == urls.MOST_BLOCKS and urls.blocks_for(10**6) * urls.URLS_PER_BLOCK >= 10**6
     full = urls.judge_urls(pages, listed, blocks=1).collect()  # a crowded filter only costs time
     assert sorted((r["page_id"], *r["url_verdict"][:4]) for r in full) == sorted(out)
     assert urls.judge_urls(pages, listed.limit(0)).where("url_verdict.listed").count() == 0 and urls.judge_urls(pages.limit(0), listed).count() == 0
@@ -148,6 +266,9 @@ def test_revisits(spark):
         (7, "no_url", None), (8, "no_time", None), (9, "no_response", None), (10, "resolved", 1),
     ]
     assert next(r["headers"] for r in out if r["record_id"] == 2) == {"etag": "W/one", "content-type": "t", "date": "d"}
+    dates = spark.createDataFrame([({"last-modified": x},) for x in ("Mon, 06 Nov 1994 08:49:37 GMT", " 06 Nov  1994 08:49:37 UTC", "Tue, 07 Nov 1994 08:49:37 GMT")], "h map<string,string>")
+    one, same, other = (r["d"] for r in dates.select(revisits._date(F.col("h")).alias("d")).collect())
+    assert one == same != other
     assert revisits.with_bodies(revisits.resolve_revisits(df), df).count() == 2 and revisits.resolve_revisits(df.limit(0)).count() == 0
 
 
@@ -164,28 +285,32 @@ def test_hot_url_spans_partitions(spark):
 def test_gradients():
     rng = np.random.default_rng(0)
     flat = gru.initial(rng.integers(1, 99, gru.SYMBOLS).astype(float)) + rng.normal(0, 0.05, gru.SIZE).astype(np.float32)
-    ids, ends = rng.integers(0, gru.SYMBOLS, (5, 3)), np.zeros((5, 3), bool)
+    ids, ends = np.concatenate([rng.integers(0, 60, (3, 4)), rng.integers(0, gru.SYMBOLS, (3, 4))]), np.zeros((6, 4), bool)
     ends[2, 1] = True
 
     def loss(f):
         net = gru.Net(f.astype(np.float32))
-        states, saved = net.forward(ids, ends, np.zeros((3, gru.HIDDEN), np.float32), keep=True)
+        states, saved = net.forward(net.inputs(ids), ends, np.zeros((4, gru.HIDDEN), np.float32), keep=True)
         grad = np.zeros(gru.SIZE, np.float32)
-        log_p, back = net.outputs(states.reshape(-1, gru.HIDDEN), ids.reshape(-1), gru.unpack(grad))
+        log_p, back = net.outputs(states.reshape(-1, gru.HIDDEN + 1), ids.reshape(-1), gru.unpack(grad))
         net.backward(ids, ends, states, saved, back.reshape(states.shape), gru.unpack(grad))
         return -float(log_p.astype(np.float64).sum()), grad
 
     _, grad = loss(flat)
-    for k in np.argsort(-np.abs(grad))[::97][:25]:
-        step = np.zeros(gru.SIZE, np.float32)
-        step[k] = 1e-2
-        slope = (loss(flat + step)[0] - loss(flat - step)[0]) / 2e-2
-        assert abs(slope - grad[k]) < 2e-2 * max(1.0, abs(grad[k])), k
+    at = 0
+    for name, shape in gru.SHAPES.items():  # the largest slopes of each part of the model
+        size = int(np.prod(shape))
+        for k in at + np.argsort(-np.abs(grad[at : at + size]))[:40:8]:
+            step = np.zeros(gru.SIZE, np.float32)
+            step[k] = 1e-2
+            slope = (loss(flat + step)[0] - loss(flat - step)[0]) / 2e-2
+            assert abs(slope - grad[k]) < 2e-2 * max(1.0, abs(grad[k])), (name, k)
+        at += size
 
 
 def test_model_is_a_distribution_and_carries_state():
     rng = np.random.default_rng(0)
-    flat = gru.initial(rng.integers(1, 99, gru.SYMBOLS).astype(float))
+    flat = gru.initial(rng.integers(1, 99, gru.SYMBOLS).astype(float)) + rng.normal(0, 0.05, gru.SIZE).astype(np.float32)
     texts = [rng.integers(0, gru.SYMBOLS, n).astype(np.uint16) for n in (1, 5, 40, 333)]
     together = gru.score(flat, texts)
     assert np.allclose(together, [gru.score(flat, [t])[0] for t in texts], rtol=1e-4)
@@ -193,3 +318,26 @@ def test_model_is_a_distribution_and_carries_state():
     base = gru.score(flat, [start])[0]
     each = gru.score(flat, [np.append(start, s).astype(np.uint16) for s in range(gru.SYMBOLS)])
     assert abs(np.exp(each - base).sum() - 1) < 1e-3
+
+
+def test_training_learns_across_windows():
+    """A word that repeats what stood more than a window before can only be told by a state that is carried."""
+    rng = np.random.default_rng(1)
+    texts = [np.concatenate([[k], np.full(3, 9), [k]]).astype(np.uint16) for k in rng.integers(0, 2, 4000)]
+    flat = gru.initial(np.bincount(np.concatenate(texts), minlength=gru.SYMBOLS).astype(float))
+    for _ in range(4):
+        flat, n = gru.train(flat, texts, 0.02)
+    assert n == 20_000
+    seen = [gru.score(flat, [np.array(t, np.uint16)])[0] for t in ([0, 9, 9, 9, 0], [0, 9, 9, 9, 1])]
+    assert seen[0] > seen[1] + 1
+
+
+def test_head_of_counts(spark):
+    """The head holds the most frequent words whatever the histogram's steps, and long words meet their counts."""
+    counts = spark.createDataFrame([(f"w{k:03d}".encode(), k % gru.TAILS, c) for k, c in enumerate([10**9, 70_000, 69_999, 66_000, 5, 5, 5, 1, 1])] + [(b"x" * 500, 0, 10**6)], "word binary, kind int, c long")
+    for head in range(1, 12):
+        vocab = lm.vocabulary(counts, head)
+        assert vocab.words == [f"w{k:03d}".encode() for k in range(min(head, 9))] and vocab.v == 10
+    long = "y" * 300
+    df = spark.createDataFrame([(i, f"{long} a b") for i in range(20)], "doc_id long, text string")
+    assert all(r["n_known"] == 4 for r in lm.score_documents(df).collect())
