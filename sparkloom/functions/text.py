@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,9 +65,14 @@ def join_segments(sequence: Column, segments: Column, strand: Column) -> Column:
 
 
 def share_of(text: Column, letters: str) -> Column:
-    """The share of characters in a class; 0 for an empty text."""
+    """The share of characters in a set of letters; 0 for an empty text."""
     n = F.length(text)
-    return F.when(n == 0, F.lit(0.0)).otherwise((n - F.length(F.regexp_replace(text, f"[{letters}]", ""))) / n)
+    return F.when(n == 0, F.lit(0.0)).otherwise((n - F.length(F.translate(text, letters, ""))) / n)
+
+
+def distinct_letters(text: Column, letters: str) -> Column:
+    """How many of the letters occur."""
+    return reduce(add, [text.contains(x).cast("int") for x in letters])
 
 
 def longest_run(text: Column, letters: str) -> Column:
@@ -96,9 +103,17 @@ def header_organism(header: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """A sort key by which digit runs compare as numbers of up to 20 digits and text without regard to case."""
+    """A sort key by which digit runs compare as numbers and text without regard to case.
+
+    A run of digits comes without leading zeros, behind its length in five digits, so its size doesn't matter.
+    """
     runs = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda t: F.when(t.rlike(r"^\d"), F.lpad(t, 20, "0")).otherwise(F.lower(t))), "")
+
+    def number(t: Column) -> Column:
+        plain = F.regexp_replace(t, "^0+(?=.)", "")
+        return F.concat(F.lpad(F.length(plain).cast("string"), 5, "0"), plain)
+
+    return F.array_join(F.transform(runs, lambda t: F.when(t.rlike(r"^\d"), number(t)).otherwise(F.lower(t))), "")
 
 
 def words(text: Column) -> Column:

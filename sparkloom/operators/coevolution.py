@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,24 +14,40 @@ from pyspark.sql import functions as F
 ALIGNED = "ACDEFGHIKLMNPQRSTVWYX-"
 
 
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Non-empty cells (i, j, a, b, c) of the rows of each batch; letters are places in ``ALIGNED``."""
+    place = np.full(256, ALIGNED.index("X"), np.int64)
+    for k, letter in enumerate(ALIGNED.encode()):
+        place[letter] = k
+    k = len(ALIGNED)
+    for batch in batches:
+        rows = [x.as_py().encode("ascii", "replace") for x in batch.column(0)]
+        if len({len(r) for r in rows}) > 1:
+            raise ValueError("aligned sequences must be of one length")
+        coded = place[np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)]
+        for i in range(coded.shape[1] - 1):
+            rest = coded.shape[1] - i - 1
+            cells = (np.arange(rest) * k * k + coded[:, i : i + 1] * k + coded[:, i + 1 :]).reshape(-1)
+            counts = np.bincount(cells, minlength=rest * k * k)
+            at = np.flatnonzero(counts)
+            columns = (np.full(len(at), i), i + 1 + at // (k * k), at // k % k, at % k, counts[at])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["i", "j", "a", "b", "c"])
+
+
 def mutual_information(rows: DataFrame, sequence: str, pseudocount: float = 1e-3) -> DataFrame:
     """(i, j, score) of all pairs of columns i < j of equally long sequences, in nats.
 
-    Rows are counted by pairs of columns and letters, pre-aggregated in each task; so the shuffle holds a row for each
-    pair of columns and of letters at most. Cells that no row has weigh the pseudocount; their part of the sum is closed
+    Tasks count the letters of each pair of columns over a batch of rows at once, so that what is shuffled are a batch's
+    non-empty cells and not its rows' pairs. Cells that no row has weigh the pseudocount; their part of the sum is closed
     in form, from the logarithms of the margins, and no grid is filled up.
     """
     k = len(ALIGNED)
     upper = F.upper(F.regexp_replace(sequence, r"\s+", ""))
-    letters = F.transform(
-        F.split(F.regexp_replace(upper, f"[^{ALIGNED}]", "X"), ""), lambda a, i: F.struct(i.alias("i"), a.alias("a"))
-    )
-    wide = rows.where(F.length(upper) > 0).select(letters.alias("s"))
-    cells = wide.select("s", F.explode("s").alias("l"))
-    pairs = cells.select("l", F.explode(F.slice("s", F.col("l.i") + 2, F.size("s"))).alias("r"))
-    joint = pairs.groupBy(
-        F.col("l.i").alias("i"), F.col("r.i").alias("j"), F.col("l.a").alias("a"), F.col("r.a").alias("b")
-    ).agg(F.count("*").alias("c"))
+    joint = (
+        rows.select(upper.alias("s")).where(F.length("s") > 0)
+        .mapInArrow(_pair_counts, "i long, j long, a long, b long, c long")
+        .groupBy(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "a", "b").agg(F.sum("c").alias("c"))
+    )
 
     of_pair = W.partitionBy("i", "j")
     n = F.sum("c").over(of_pair)

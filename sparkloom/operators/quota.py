@@ -12,7 +12,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import numbered
@@ -22,50 +22,82 @@ from .sampling import SCALE, evenly_kept
 MOST_GROUPS = 100_000
 
 
+def _level(room: np.ndarray, amount: int) -> int:
+    """The most rounds in which every place with room left takes one, and which use up ``amount`` at most."""
+    room = np.sort(room)
+    filled = np.concatenate(([0], np.cumsum(room)))  # by places with the least room
+    # After so many rounds as the k-th place has room, it and the smaller ones are full and the others have as many.
+    used = filled[1:] + room * (len(room) - 1 - np.arange(len(room)))
+    k = int(np.searchsorted(used, amount, side="right"))
+    if k == len(room):
+        return int(room[-1]) if len(room) else 0
+    return int((amount - filled[k]) // (len(room) - k))
+
+
+def _spread(room: np.ndarray, amount: int, first: list[int]) -> np.ndarray:
+    """How ``amount`` is spread: whole rounds for all with room, and what is left one by one in the order ``first``."""
+    level = _level(room, amount)
+    given = np.minimum(room, level)
+    left = amount - int(given.sum())
+    given[[k for k in first if room[k] > level][:left]] += 1
+    return given
+
+
 def group_targets(rows: list[tuple[str, int, int]], target: int) -> dict[str, int]:
-    """Rows to keep of each group, from (group, rows, strata): in proportion, one for each stratum at least.
+    """Rows to keep of each group, from (group, rows, strata): largest remainders between bounds.
 
-    What rounding down leaves goes one by one to the largest fractions; what the minima take too much is taken back one
-    by one in passes that begin with the smallest fractions.
+    A group's exact part of the target is rounded down and put between its bounds, one row for each stratum and all its
+    rows. What is then missing goes to groups with room, the largest fractions first; what is too much comes from groups
+    above their least, the smallest fractions first. Ties go by the room and then by the name.
     """
     total, least = sum(n for _, n, _ in rows), sum(k for _, _, k in rows)
     if target < least:
         raise ValueError(f"{least} strata need a row each, but the target is {target}")
     target = min(target, total)
-    ideal = {g: n * target / total for g, n, _ in rows} if total else {}
-    low, high = {g: k for g, _, k in rows}, {g: n for g, n, _ in rows}
-    got = {g: min(high[g], max(low[g], int(ideal[g]))) for g in ideal}
-    part = {g: ideal[g] - int(ideal[g]) for g in ideal}
-    while (missing := target - sum(got.values())) > 0:
-        open_ = [g for g in got if got[g] < high[g]]
-        for g in sorted(open_, key=lambda g: (part[g], high[g] - got[g], g), reverse=True)[:missing]:
-            got[g] += 1
-    while (extra := sum(got.values()) - target) > 0:
-        open_ = [g for g in got if got[g] > low[g]]
-        for g in sorted(open_, key=lambda g: (part[g], got[g] - low[g], g))[:extra]:
-            got[g] -= 1
-    return got
+    if not rows or not total:
+        return {}
+    high, low = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+    exact = [r[1] * target / total for r in rows]
+    fraction = [x - int(x) for x in exact]
+    kept = np.clip(np.array([int(x) for x in exact], np.int64), low, high)
+    by = lambda room: sorted(range(len(rows)), key=lambda k: (fraction[k], int(room[k]), rows[k][0]))
+    if (more := target - int(kept.sum())) >= 0:
+        kept += _spread(high - kept, more, by(high - kept)[::-1])
+    else:
+        kept -= _spread(kept - low, -more, by(kept - low))
+    return {r[0]: int(n) for r, n in zip(rows, kept, strict=True)}
 
 
 def fitted_share(sizes: np.ndarray, times: np.ndarray, target: int, alpha: float) -> np.ndarray:
     """The real-valued share of strata of each size, of which there are so many: clip(s * size**alpha, 1, size).
 
-    s is the least scale by which they sum up to the target, found by halving.
+    The sum grows with s and is straight between the break points at which a size leaves 1 or reaches itself. From the
+    sorted break points' running sums the piece that holds the target is found, and s is solved for in it.
     """
+    sizes, times = sizes.astype(float), times.astype(float)
     if target >= (sizes * times).sum():
-        return sizes.astype(float)
-    power = sizes.astype(float) ** alpha
+        return sizes
+    power = sizes**alpha
+    points = np.concatenate([1 / power, sizes / power])
+    order = np.argsort(points, kind="stable")
+    # At its first point a size stops adding 1 a stratum and adds its power times s; at its second it adds its whole.
+    slope = np.cumsum(np.concatenate([times * power, -times * power])[order])
+    level = times.sum() + np.cumsum(np.concatenate([-times, times * sizes])[order])
+    reached = level + slope * points[order]
+    k = int(np.searchsorted(reached, target))
+    if k == 0:
+        return np.ones_like(sizes)
+    scale = (target - level[k - 1]) / slope[k - 1] if slope[k - 1] > 1e-12 else points[order][k]
+    return np.clip(scale * power, 1.0, sizes)
 
-    def share(scale: float) -> np.ndarray:
-        return np.clip(scale * power, 1.0, sizes)
 
-    low, high = 0.0, 1.0
-    while (share(high) * times).sum() < target:
-        high *= 2
-    for _ in range(80):
-        middle = (low + high) / 2
-        low, high = (low, middle) if (share(middle) * times).sum() >= target else (middle, high)
-    return share(high)
+def _marked(name: str) -> Column:
+    """A key that joins like any other: null is told apart by a mark in front, and the order of names stays."""
+    return F.when(F.col(name).isNull(), "0").otherwise(F.concat(F.lit("1"), F.col(name)))
+
+
+def _plain(name: str) -> Column:
+    return F.when(F.col(name) != "0", F.substr(F.col(name), F.lit(2)))
 
 
 def phases(group: pd.Series, bucket: pd.Series) -> pd.Series:
@@ -75,8 +107,11 @@ def phases(group: pd.Series, bucket: pd.Series) -> pd.Series:
 
 
 def downsample_plan(counts: DataFrame, group: str, bucket: str, keep_ratio: float, alpha: float = 0.5) -> DataFrame:
-    """(group, bucket, n, keep, phase) from the (group, bucket, n) of strata; groups and buckets are strings."""
-    strata = counts.select(group, bucket, "n")
+    """(group, bucket, n, keep, phase) from the (group, bucket, n) of strata; groups and buckets are strings.
+
+    Null is a group or bucket of its own.
+    """
+    strata = counts.select(_marked(group).alias(group), _marked(bucket).alias(bucket), "n")
     summed = strata.groupBy(group).agg(F.sum("n").alias("rows"), F.count("*").alias("strata"))
     found = [tuple(r) for r in summed.limit(MOST_GROUPS + 1).collect()]
     if len(found) > MOST_GROUPS:
@@ -91,7 +126,7 @@ def downsample_plan(counts: DataFrame, group: str, bucket: str, keep_ratio: floa
         return pd.DataFrame({group: part[group], "n": part["n"], "_share": share, "_target": part["_target"]})
 
     shares = sizes.groupBy(group).applyInPandas(fit, f"`{group}` string, n long, _share double, _target long")
-    shared = strata.join(shares, [group, "n"]).withColumn("_base", F.greatest(F.lit(1), F.least("n", F.floor("_share"))))
+    shared = strata.join(shares, [group, "n"]).withColumn("_base", F.greatest(F.lit(1), F.least("n", F.floor(F.col("_share") + 1e-9))))
     used = shared.groupBy(group).agg(F.sum("_base").alias("_used"))
     open_ = shared.where("_base < n").select(group, bucket, (F.col("_base") - F.col("_share")).alias("_part"), (-F.col("n")).alias("_less"))
     # Ties go to the last name, as descending order has it; descending strings are numbered from the end of the stratum.
@@ -101,14 +136,18 @@ def downsample_plan(counts: DataFrame, group: str, bucket: str, keep_ratio: floa
     full = shared.join(used, group).join(place, [group, bucket], "left")
     more = F.coalesce((F.col("_place") < F.col("_target") - F.col("_used")).cast("long"), F.lit(0))
     phase = F.pandas_udf(phases, "long")
-    return full.select(group, bucket, "n", (F.col("_base") + more).cast("long").alias("keep"), phase(group, bucket).alias("phase"))
+    g, b = _plain(group), _plain(bucket)
+    named = phase(F.coalesce(g, F.lit("")), F.coalesce(b, F.lit("")))
+    return full.select(g.alias(group), b.alias(bucket), "n", (F.col("_base") + more).cast("long").alias("keep"), named.alias("phase"))
 
 
 def downsample(df: DataFrame, group: str, bucket: str, order: list[str], keep_ratio: float, alpha: float = 0.5) -> DataFrame:
     """The rows of ``df`` that a plan keeps: within each stratum evenly spread in ``order``, which is free of ties.
 
-    Groups and buckets are strings without nulls.
+    Groups and buckets are strings; null is one of its own.
     """
     plan = downsample_plan(df.groupBy(group, bucket).agg(F.count("*").alias("n")), group, bucket, keep_ratio, alpha)
-    ranked = numbered(df, [group, bucket], order, "_k").join(plan.withColumnRenamed("n", "_n"), [group, bucket])
+    a, b = numbered(df, [group, bucket], order, "_k").alias("a"), plan.withColumnRenamed("n", "_n").alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (group, bucket)]
+    ranked = a.join(b, same).select("a.*", "b._n", "b.keep", "b.phase")
     return ranked.where(evenly_kept("_k", "keep", "_n", "phase")).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def kmers(text: Column, k: int, stride: int = 1) -> Column:
-    """The k-mers of a text, and a last one at its end if the stride misses it; none if the text is shorter."""
-    last = F.length(text) - k + 1
-    starts = F.when(last >= 1, F.array_union(F.sequence(F.lit(1), last, F.lit(stride)), F.array(last)))
-    return F.coalesce(F.transform(starts, lambda i: F.substring(text, i, F.lit(k))), F.array().cast("array<string>"))
+    """The k-mers of a text, and a last one at its end if the stride misses it; none if the text is shorter.
+
+    Characters are taken apart once, as looking for a place in a text would start from its beginning each time.
+    """
+
+    def of(chars: Column) -> Column:
+        last = F.size(chars) - k
+        starts = F.when(last >= 0, F.array_union(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last)))
+        return F.coalesce(
+            F.transform(starts, lambda i: F.concat(*[F.get(chars, i + n) for n in range(k)])), F.array().cast("array<string>")
+        )
+
+    return let(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1)), of)
 
 
 def windows(tokens: Column, context: int, stride: int) -> Column:

@@ -24,7 +24,7 @@ RULES = [
     matching.Rule("in phrase", ("in the", "in der")),
 ]
 SEED = 42
-# Weights of the parts of a candidate's score.
+#: Parameter: weights of the parts of the quick score.
 WEIGHTS = {"validity": 0.5, "length_score": 0.3, "variety": 0.2}
 
 
@@ -55,7 +55,7 @@ d AS (SELECT doc_id, CASE WHEN reason IS NULL AND first_pos < doc_id THEN 'dupli
 
 
 def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.normalised(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id", 200, 20_000, 0.25)
+    return clean.reasons(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id", 200, 20_000, 0.25)
 
 
 @query(REASONS + "SELECT coalesce(reason, 'kept') AS reason, count(*) AS rows FROM d GROUP BY 1")
@@ -69,9 +69,9 @@ def normalize_rows(spark, sf_dir):
     return _normalised(spark, sf_dir).select("doc_id", "reason")
 
 
-@query("SELECT doc_id, sha256(text) AS text_hash, min(doc_id) OVER (PARTITION BY text) AS duplicate_of FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, sha256(text) AS text_hash, min(doc_id) OVER (PARTITION BY text) AS duplicate_of FROM documents")
 def first_wins_dedupe(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("text_hash"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_hash"))
     return clean.first_of_each(docs, F.col("text_hash"), "doc_id").withColumnRenamed("first_pos", "duplicate_of")
 
 
@@ -196,12 +196,12 @@ def round_robin_shard(spark, sf_dir):
     return docs.groupBy(F.pmod("doc_id", F.lit(8)).alias("rank")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
-@query("""WITH b AS (SELECT item_id, lower(text) AS t FROM benchmark),
+@query("""WITH b AS (SELECT doc_id AS item_id, lower(text) AS t FROM documents),
 g AS (SELECT substr(t, i, 3) AS kmer, item_id * 1000000 + i AS place FROM (SELECT item_id, t, unnest(range(1, length(t) - 1)) AS i FROM b))
 SELECT kmer, count(*) AS n, min(place) AS first_at FROM g GROUP BY 1""")
 def kmer_counts(spark, sf_dir):
-    """3-mers of the benchmark, with their counts and first places."""
-    grams = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(tokens.kmers(F.lower("text"), 3)).alias("i", "kmer"))
+    """3-mers of all documents, with their counts and first places."""
+    grams = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.posexplode(tokens.kmers(F.lower("text"), 3)).alias("i", "kmer"))
     return grams.groupBy("kmer").agg(F.count("*").alias("n"), F.min(F.col("item_id") * 1_000_000 + F.col("i") + 1).alias("first_at"))
 
 
@@ -252,7 +252,7 @@ def _scores(spark, sf_dir):
         "doc_id",
         T.share_of(q, T.STANDARD).alias("validity"),
         F.when(n == 0, 0.0).when(n < 100, n / 100.0).when(n > 2000, 2000.0 / n).otherwise(1.0).alias("length_score"),
-        F.when(n == 0, 0.0).otherwise(F.size(F.array_distinct(F.split(q, ""))) / 21.0).alias("variety"),
+        (T.distinct_letters(q, T.PROTEIN) / 21.0).alias("variety"),
         T.longest_run(q, T.HYDROPHOBIC).alias("hydrophobic_run"),
     )
 
@@ -365,10 +365,12 @@ def smooth_median(spark, sf_dir):
     return daily.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(near, 6).alias("smooth"))
 
 
-@query("""SELECT coalesce(event_type, 'all') AS event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ROLLUP (event_type)""")
+@query("""SELECT CASE WHEN grouping(event_type) = 1 THEN 'all' ELSE event_type END AS event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ROLLUP (event_type)""")
 def group_and_total(spark, sf_dir):
-    rolled = table(spark, sf_dir, "events").rollup("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return rolled.select(F.coalesce("event_type", F.lit("all")).alias("event_type"), "n", "total")
+    """Counts by type and over all; a null type is a row of its own."""
+    sums = [F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.grouping("event_type").alias("whole")]
+    rolled = table(spark, sf_dir, "events").rollup("event_type").agg(*sums)
+    return rolled.select(F.when(F.col("whole") == 1, "all").otherwise(F.col("event_type")).alias("event_type"), "n", "total")
 
 
 @query("""WITH u AS (SELECT n_name AS name, n_regionkey AS v, 1 AS gen FROM nation UNION ALL SELECT r_name, r_regionkey + 100, 2 FROM region
