@@ -38,3 +38,16 @@ def systematic(df: DataFrame, strata: list[str], order: list[str], one_in: int,
 def shard(pos: Column, rank: int, world: int) -> Column:
     """True for the rows of one of ``world`` round-robin shards."""
     return F.pmod(pos, F.lit(world)) == rank
+
+
+def bounded_shuffle(df: DataFrame, pos: str, buffer: int, seed: int, name: str = "place") -> DataFrame:
+    """``df`` with ``name``, a new order: a row moves behind at most ``buffer`` - 1 rows that follow it.
+
+    Each row's delay is drawn from a hash of its whole-number position, so that a retry and another epoch's seed give the
+    same and another order; sort or deal by it. Ties go by the position, which is unique.
+    """
+    if buffer < 1:
+        raise ValueError("the buffer holds a row at least")
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(pos).cast("string")))
+    delay = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(buffer))
+    return df.withColumn(name, F.struct((F.col(pos) + delay).alias("at"), F.col(pos).alias("was")))

@@ -1 +1,3 @@
-"""Part of sparkloom."""
+"""The registered queries, by name in ``registry.QUERIES``."""
+
+from . import files, queries, records, scoring, states  # noqa: F401

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,10 +11,7 @@ from ..operators import clean, coevolution, matching, ordered, quota, sampling,
 from ..operators.storage import scratch_path
 from ..sources.sequences import hrefs
 from ..streaming import batches
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 RULES = [
     matching.Rule("articles", ("the", "der", "la")),
@@ -28,20 +23,6 @@ SEED = 42
 WEIGHTS = {"validity": 0.5, "length_score": 0.3, "variety": 0.2}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 NORMAL = r"regexp_replace(upper(regexp_replace(replace(coalesce(text, ''), 'ß', 'ss'), '\s+', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWYX]', 'X', 'g')"
 REASONS = f"""
 WITH s AS (SELECT doc_id, {NORMAL} AS sequence FROM documents),
@@ -78,7 +59,7 @@ def first_wins_dedupe(spark, sf_dir):
 @query("""WITH l AS (SELECT trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents)
 SELECT count(*) AS before, count(DISTINCT line) AS after, count(*) - count(DISTINCT line) AS removed FROM l WHERE line <> ''""")
 def line_dedupe_counts(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select(F.explode(F.transform(F.split("text", "\n"), F.trim)).alias("line")).where("line <> ''")
+    lines = table(spark, sf_dir, "documents").select(F.explode(F.transform(F.split("text", "\n"), lambda x: F.trim(x))).alias("line")).where("line <> ''")
     by_line = lines.groupBy(F.xxhash64("line").alias("a"), F.xxhash64(F.lit("b"), "line").alias("b")).agg(F.count("*").alias("n"))
     return by_line.agg(F.sum("n").alias("before"), F.count("*").alias("after")).withColumn("removed", F.expr("before - after"))
 

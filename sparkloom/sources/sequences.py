@@ -64,21 +64,6 @@ def feature_sequences(features: DataFrame, sequences: DataFrame) -> DataFrame:
     return joined.withColumn("sequence", join_segments(F.col("_whole"), part, F.col("strand"))).drop("_id", "_whole")
 
 
-def flat_file_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(accession, version, definition, organism, sequence) of ``//``-separated flat files; a cut-off tail goes."""
-    blocks = spark.read.option("lineSep", "\n//").text(path).where(F.col("value").contains("ORIGIN"))
-
-    def field(tag: str) -> Column:
-        raw = F.regexp_extract("value", rf"(?m)^ {{0,2}}{tag} +(.*(?:\n {{12}}.*)*)", 1)
-        return F.trim(F.regexp_replace(raw, r"\s+", " "))
-
-    residues = F.upper(F.regexp_replace(F.regexp_extract("value", r"(?s)\nORIGIN[^\n]*\n(.*)$", 1), "[^A-Za-z]", ""))
-    return blocks.select(
-        F.regexp_extract(field("ACCESSION"), r"^(\S+)", 1).alias("accession"), field("VERSION").alias("version"),
-        field("DEFINITION").alias("definition"), F.substring_index(field("ORGANISM"), " ", 2).alias("organism"), residues.alias("sequence"),
-    ).where("accession <> ''")
-
-
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value, payload, status) of JSON Lines: payload is a variant; status is empty, invalid, not_object or valid."""
     payload = F.try_parse_json("value")

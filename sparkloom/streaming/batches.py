@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.sampling import split_of
 
@@ -38,3 +39,25 @@ def run_to_end(rows: DataFrame, out: str, checkpoint: str) -> DataFrame:
     )
     query.awaitTermination()
     return rows.sparkSession.read.schema(rows.schema).parquet(out)
+
+
+def upsert_stream(rows: DataFrame, key: str, out: str, checkpoint: str) -> None:
+    """Append each batch to an index, with its number; a batch that is done again after a failure replaces itself.
+
+    Later batches win when the index is read; the checkpoint tells a restart which files are done.
+    """
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def read_upserts(spark: SparkSession, out: str, schema: StructType, key: str) -> DataFrame:
+    """The last row of each key over the batches of ``upsert_stream``; of rows of one batch the greatest."""
+    names = [f.name for f in schema]
+    found = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(out)
+    rest = F.struct(*[n for n in names if n != key])
+    last = found.groupBy(key).agg(F.max_by(rest, F.struct("batch", rest)).alias("_row"))
+    return last.select(key, "_row.*").select(names)
