@@ -68,19 +68,30 @@ def ranked(
     asked = queries.select(query, tokens("text").alias("t")).select(
         query, expanded(F.col("t"), synonyms or {}).alias("q_terms"), phrases(F.col("t")).alias("q_phrases"), F.length(F.array_join("t", " ")).alias("size")
     )
-    total = asked.agg(F.sum("size")).first()[0] or 0
-    blocks = int(total // BLOCK_CHARS) + 1
+    met = in_blocks(found, asked.drop("size"), query, F.length(F.array_join("q_phrases", " ")))
+    a, b, c, d = WEIGHTS
+    score = a * overlap(F.col("terms"), F.col("q_terms")) + b * phrase_score(F.col("q_phrases"), F.col("plain")) + c * F.col("quality") + d * F.col("special")
+    return best_of(met.select(query, key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score")), query, key, k)
+
+
+def in_blocks(rows: DataFrame, queries: DataFrame, query: str, size: Column, most: int = BLOCK_CHARS) -> DataFrame:
+    """Every row beside every query of a stated set, which is broadcast in blocks of ``size`` of about ``most`` each."""
+    blocks = int((queries.agg(F.sum(size)).first()[0] or 0) // most) + 1
     parts = None
     for n in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == n)
-        met = found.crossJoin(F.broadcast(block.drop("size")))  # a stated query set against all rows, in blocks
-        a, b, c, d = WEIGHTS
-        score = a * overlap(F.col("terms"), F.col("q_terms")) + b * phrase_score(F.col("q_phrases"), F.col("plain")) + c * F.col("quality") + d * F.col("special")
-        part = met.select(query, key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
+        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == n)
+        part = rows.join(F.broadcast(block), F.lit(True))
         parts = part if parts is None else parts.union(part)
-    # Spark keeps the k best of a query in each task before the shuffle, as the rank is bounded.
+    return parts
+
+
+def best_of(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    """(.., rank): the ``k`` rows of the highest ``score`` of each query, of equals the smallest key.
+
+    Spark keeps the k best of a query in each task before the shuffle, as the rank is bounded.
+    """
     place = F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), key))
-    return parts.withColumn("rank", place).where(F.col("rank") <= k)
+    return scored.withColumn("rank", place).where(F.col("rank") <= k)
 
 
 def best_skills(rows: DataFrame, text: str, key: str, asked: str, k: int = 4, least: int = 2) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import STANDARD
+from ..functions.text import STANDARD, let
 
 # The policies in the order in which examples take turns.
 POLICIES = ("random_span", "n_terminal_span", "c_terminal_span")
@@ -25,43 +25,61 @@ def span_examples(
     longest: int = 1024,
     mask: tuple[int, int] = (8, 64),
     flank: int = 64,
-    attempts: int = 8,
+    attempts: int = 32,
 ) -> DataFrame:
-    """Up to ``examples`` masked spans of each sequence of fitting length, policies in turn.
+    """Up to ``examples`` masked spans of each sequence of ``shortest`` to ``longest`` residues, policies in turn.
 
     ``key`` is unique. Columns: key, example, policy, mask_start, mask_end, left_flank, target, right_flank, partial.
-    An example takes the first of its attempts whose target has standard residues only and isn't found in the rest of
-    the sequence; an example without one, and one that repeats the span and policy of an earlier one, is left out.
+    An example takes the first of its attempts whose target has standard residues only, isn't found in the rest of the
+    sequence and isn't the span of an earlier example of its policy; an example without one is left out. All of it is
+    work on one row, so nothing is shuffled. Sequences of other lengths have no examples; ``span_skips`` counts them.
     """
-    q, n, at = F.col("_q"), F.length("_q"), F.col("_at")
-    fit = rows.select(F.col(key), F.upper(F.regexp_replace(sequence, r"(?U)\s+", "")).alias("_q"))
-    tries = (
-        fit.where(n.between(shortest, longest))
-        .withColumn("example", F.explode(F.sequence(F.lit(0), F.lit(examples - 1))))
-        .withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
-    )
+    q, n = F.col("_q"), F.length("_q")
+    fit = rows.select(F.col(key), F.upper(F.regexp_replace(sequence, r"(?U)\s+", "")).alias("_q")).where(n.between(shortest, longest))
     spread = F.lit(max(1, mask[1] - mask[0] + 1))
-    width = F.least(mask[0] + F.pmod(draw(F.col(key), F.col("example"), F.col("_try"), F.lit("n")), spread), n - 1).cast("int")
-    policy = F.element_at(F.array(*map(F.lit, POLICIES)), F.col("example") % len(POLICIES) + 1)
-    sized = tries.withColumn("_w", width).withColumn("policy", policy)
-    place = F.pmod(draw(F.col(key), F.col("example"), F.col("_try"), F.lit("at")), n - F.col("_w") + 1)
-    start = F.when(F.col("policy") == POLICIES[0], place).when(F.col("policy") == POLICIES[1], F.lit(0)).otherwise(n - F.col("_w"))
-    placed = sized.withColumn("_at", start.cast("int")).withColumn("target", F.substr(q, at + 1, F.col("_w")))
-    before, after = F.substr(q, F.lit(1), at), F.substr(q, at + F.col("_w") + 1)
-    good = placed.where(
-        ~F.col("target").rlike(f"[^{STANDARD}]") & ~F.contains(before, F.col("target")) & ~F.contains(after, F.col("target"))
-    )
-    # At most examples x attempts rows share a key; both steps are pre-aggregated.
-    first = good.groupBy(key, "example", "policy").agg(F.min_by(F.struct("_q", "_at", "_w", "target"), "_try").alias("s"))
-    spans = first.groupBy(key, "policy", "s._at", "s._w").agg(F.min("example").alias("example"), F.first("s._q").alias("_q"), F.first("s.target").alias("target"))
-    partial = F.concat(before, F.lit("<MASK_"), F.col("_w").cast("string"), F.lit(">"), after)
+    policy_of = lambda e: F.element_at(F.array(*map(F.lit, POLICIES)), e % len(POLICIES) + 1)
+
+    def attempt(e: Column, t: Column) -> Column:
+        width = F.least(mask[0] + F.pmod(draw(F.col(key), e, t, F.lit("n")), spread), n - 1).cast("int")
+
+        def placed(w: Column) -> Column:
+            free = F.pmod(draw(F.col(key), e, t, F.lit("at")), n - w + 1)
+            at = F.when(policy_of(e) == POLICIES[0], free).when(policy_of(e) == POLICIES[1], F.lit(0)).otherwise(n - w)
+            return F.struct(at.cast("int").alias("at"), w.alias("w"))
+
+        return let(width, placed)
+
+    def good(s: Column) -> Column:
+        target = F.substr(q, s["at"] + 1, s["w"])
+        before, after = F.substr(q, F.lit(1), s["at"]), F.substr(q, s["at"] + s["w"] + 1)
+        return ~target.rlike(f"[^{STANDARD}]") & ~F.contains(before, target) & ~F.contains(after, target)
+
+    def take(chosen: Column, e: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), lambda t: attempt(e, t))
+        used = lambda s: F.exists(chosen, lambda c: (c["policy"] == policy_of(e)) & (c["at"] == s["at"]) & (c["w"] == s["w"]))
+        first = F.try_element_at(F.filter(tries, lambda s: good(s) & ~used(s)), F.lit(1))
+        made = lambda s: F.struct(e.alias("example"), policy_of(e).alias("policy"), s["at"].alias("at"), s["w"].alias("w"))
+        return let(first, lambda s: F.when(s.isNull(), chosen).otherwise(F.array_append(chosen, made(s))))
+
+    none = F.array().cast("array<struct<example:int,policy:string,at:int,w:int>>")
+    spans = fit.select(key, "_q", F.explode(F.aggregate(F.sequence(F.lit(0), F.lit(examples - 1)), none, take)).alias("s")).select(key, "_q", "s.*")
+    at, end = F.col("at"), F.col("at") + F.col("w")
+    before, after = F.substr(q, F.lit(1), at), F.substr(q, end + 1)
+    partial = F.concat(before, F.lit("<MASK_"), F.col("w").cast("string"), F.lit(">"), after)
     return spans.select(
-        key, "example", "policy", at.alias("mask_start"), (at + F.col("_w")).alias("mask_end"),
-        F.when(at > flank, F.substr(before, at - flank + 1)).otherwise(before).alias("left_flank"), "target",
+        key, "example", "policy", at.alias("mask_start"), end.alias("mask_end"),
+        F.when(at > flank, F.substr(before, at - flank + 1)).otherwise(before).alias("left_flank"), F.substr(q, at + 1, F.col("w")).alias("target"),
         F.substr(after, F.lit(1), F.lit(flank)).alias("right_flank"), partial.alias("partial"),
     )
 
 
+def span_skips(rows: DataFrame, sequence: str, shortest: int = 64, longest: int = 1024) -> DataFrame:
+    """(reason, n): how many sequences are too_short, too_long, or fitting."""
+    n = F.length(F.regexp_replace(F.coalesce(sequence, F.lit("")), r"(?U)\s+", ""))
+    reason = F.when(n < shortest, "too_short").when(n > longest, "too_long").otherwise("fitting")
+    return rows.select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def span_faults(rows: DataFrame) -> DataFrame:
     """``rows`` of ``span_examples`` with ``faults``, the names of the invariants that a row breaks."""
     width, mark = F.col("mask_end") - F.col("mask_start"), F.lit(r"<MASK_(\d+)>")

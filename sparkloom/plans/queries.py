@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import clean, coevolution, matching, ordered, quota, sampling, spans, tokens
+from ..operators import clean, coevolution, matching, ordered, quota, retrieval, sampling, spans, tokens
 from ..operators.storage import scratch_path
 from ..sources.sequences import hrefs
 from ..streaming import batches
@@ -195,23 +195,23 @@ def pair_counts_top(spark, sf_dir):
     return counts.orderBy(F.desc("n"), "left_token", "right_token").limit(20)
 
 
-@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents WHERE text IS NOT NULL),
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents),
 s AS (SELECT doc_id, t, greatest(len(t) - 129, 0) AS last FROM w),
 x AS (SELECT DISTINCT doc_id, t, unnest(list_concat(range(0, last + 1, 64), [last])) AS st FROM s)
 SELECT doc_id, st::INT AS start, len(t[st + 1:st + 129])::INT AS n, md5(array_to_string(t[st + 1:st + 129], ' ')) AS tokens_md5 FROM x""")
 def token_windows(spark, sf_dir):
     """Training windows of 128 + 1 tokens at stride 64."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", T.words(F.col("text")).alias("t"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("t"))
     rows = docs.select("doc_id", F.explode(tokens.windows(F.col("t"), 128, 64)).alias("w"))
     return rows.select("doc_id", F.col("w.start").alias("start"), F.size("w.tokens").alias("n"), F.md5(F.array_join("w.tokens", " ")).alias("tokens_md5"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x)) AS ids FROM conversations WHERE text IS NOT NULL)
-SELECT conv_id, turn, least(len(ids), 64)::INT AS used, list_sum(ids[1:64])::BIGINT AS id_sum, greatest(0, least(len(ids), 64) - 5)::INT AS supervised FROM t WHERE len(ids) > 0""")
+@query("""WITH t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: length(x)) AS ids FROM conversations)
+SELECT conv_id, turn, least(len(ids), 64)::INT AS used, coalesce(list_sum(ids[1:64]), 0)::BIGINT AS id_sum, greatest(0, least(len(ids), 64) - 5)::INT AS supervised FROM t""")
 def pad_and_mask(spark, sf_dir):
     """Word lengths as ids, padded to 64; labels count from the fifth token on."""
-    ids = F.transform(T.words(F.col("text")), F.length)
-    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", ids.alias("ids")).where(F.size("ids") > 0)
+    ids = F.transform(T.words(F.coalesce("text", F.lit(""))), lambda x: F.length(x))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", ids.alias("ids"))
     used = F.least(F.size("ids"), F.lit(64))
     row = rows.select("conv_id", "turn", used.alias("used"), tokens.padded(F.col("ids"), 64, 0).alias("p"))
     labels = tokens.masked_labels(F.col("p"), F.lit(5), F.col("used"))
@@ -265,17 +265,18 @@ def weighted_score_rank(spark, sf_dir):
     return _scores(spark, sf_dir).select("doc_id", F.round(total, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
-@query("""WITH q AS (SELECT list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)),
+@query("""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS t FROM benchmark),
 d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS t FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(d.t) * len(q.t) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(d.t, q.t)) / sqrt(len(d.t)::DOUBLE * len(q.t)), 6) END AS score FROM d, q)
-SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 25""")
+s AS (SELECT item_id, doc_id, CASE WHEN len(d.t) * len(q.t) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(d.t, q.t)) / sqrt(len(d.t)::DOUBLE * len(q.t)) END AS score FROM d, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s) SELECT item_id, doc_id, round(score, 6) AS score FROM r WHERE r <= 25""")
 def lexical_rank(spark, sf_dir):
-    """The 25 documents that share most terms with the first benchmark item."""
-    first = table(spark, sf_dir, "benchmark").orderBy("item_id").first()
-    terms = F.array_distinct(T.words(F.lit(first["text"] if first else "")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.words(F.coalesce("text", F.lit("")))).alias("t"))
-    score = F.round(matching.overlap(F.col("t"), terms), 6)
-    return docs.select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(25)
+    """For each benchmark item the 25 documents that share most terms with it."""
+    terms = lambda rows, key, name: rows.select(key, F.array_distinct(T.words(F.coalesce("text", F.lit("")))).alias(name))
+    items = terms(table(spark, sf_dir, "benchmark"), "item_id", "q")
+    docs = terms(table(spark, sf_dir, "documents"), "doc_id", "t")
+    met = retrieval.in_blocks(docs, items, "item_id", F.length(F.array_join("q", " ")))
+    scored = met.select("item_id", "doc_id", matching.overlap(F.col("t"), F.col("q")).alias("score"))
+    return retrieval.best_of(scored, "item_id", "doc_id", 25).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
@@ -306,8 +307,8 @@ def profile_text(spark, sf_dir):
 FROM conversations WHERE text IS NOT NULL""".replace("\\\\", "\\"))
 def prompt_format(spark, sf_dir):
     role = F.concat(F.upper(F.substring("role", 1, 1)), F.substr("role", F.lit(2)))
-    prompt = F.concat(F.lit("### "), role, F.lit(":\n"), T.collapse(F.col("text")))
-    return table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", prompt.alias("prompt"))
+    prompt = F.concat(F.lit("### "), role, F.lit(":\n"), T.collapse(F.coalesce("text", F.lit(""))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", prompt.alias("prompt"))
 
 
 @query("""WITH c AS (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY 1, 2),
@@ -403,7 +404,7 @@ def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.concat(*columns).alias("s"))
 
 
-@query("""WITH m AS (SELECT row_number() OVER () AS r, l_returnflag || replace(l_linestatus, 'O', 'X') || translate(l_linenumber::VARCHAR, '1234567', 'ACDEFGH')
+MUTUAL = """WITH m AS (SELECT row_number() OVER () AS r, l_returnflag || replace(l_linestatus, 'O', 'X') || translate(l_linenumber::VARCHAR, '1234567', 'ACDEFGH')
 || substr('ACDEFGHIKLMN', month(l_shipdate)::INT, 1) || translate(lpad(l_quantity::INT::VARCHAR, 2, '0'), '0123456789', 'ACDEFGHIKL') AS s FROM lineitem),
 c AS (SELECT r, i::INT AS i, substr(s, i::INT + 1, 1) AS a FROM m, range(6) t(i)), t AS (SELECT count(*)::DOUBLE AS n FROM m),
 o AS (SELECT i, a, count(*) AS n FROM c GROUP BY 1, 2), j AS (SELECT x.i, y.i AS j, x.a, y.a AS b, count(*) AS n FROM c x JOIN c y ON x.r = y.r AND x.i < y.i GROUP BY ALL),
@@ -411,14 +412,18 @@ l AS (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWYX-', '')) AS a),
 g AS (SELECT x.i::INT AS i, y.j::INT AS j, p.a, q.a AS b FROM range(6) x(i), range(6) y(j), l p, l q WHERE x.i < y.j),
 v AS (SELECT g.i, g.j, (coalesce(j.n, 0) + 0.001::DOUBLE) / (t.n + 0.484::DOUBLE) AS p, (coalesce(u.n, 0) + 0.001::DOUBLE) / (t.n + 0.022::DOUBLE) AS pa,
 (coalesce(w.n, 0) + 0.001::DOUBLE) / (t.n + 0.022::DOUBLE) AS pb FROM g CROSS JOIN t LEFT JOIN j ON g.i = j.i AND g.j = j.j AND g.a = j.a AND g.b = j.b
-LEFT JOIN o u ON u.i = g.i AND u.a = g.a LEFT JOIN o w ON w.i = g.j AND w.a = g.b)
-SELECT i, j, round(sum(p * ln(p / (pa * pb))), 6) AS score FROM v GROUP BY 1, 2""")
+LEFT JOIN o u ON u.i = g.i AND u.a = g.a LEFT JOIN o w ON w.i = g.j AND w.a = g.b)"""
+
+
+@query(MUTUAL + " SELECT i, j, round(sum(p * ln(p / (pa * pb))), 6) AS score FROM v GROUP BY 1, 2")
 def mutual_information(spark, sf_dir):
     """Mutual information of six columns of letters made of line items."""
     return coevolution.mutual_information(_aligned(spark, sf_dir), "s").select("i", "j", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(MUTUAL + """, s AS (SELECT i, j, sum(p * ln(p / (pa * pb))) AS score FROM v GROUP BY 1, 2), b AS (SELECT i, score FROM s UNION ALL SELECT j, score FROM s),
+e AS (SELECT i, sum(score) / 6.0::DOUBLE AS e FROM b GROUP BY 1), w AS (SELECT 2 * sum(score) / 36.0::DOUBLE AS whole FROM s)
+SELECT s.i, s.j, round(score - x.e * y.e / whole, 6) AS score FROM s JOIN e x ON x.i = s.i JOIN e y ON y.i = s.j CROSS JOIN w ORDER BY score - x.e * y.e / whole DESC, s.i, s.j LIMIT 5""")
 def coevolving_pairs(spark, sf_dir):
     """The five pairs that are left highest by the average-product correction."""
     scores = coevolution.corrected(coevolution.mutual_information(_aligned(spark, sf_dir), "s"), 6)
@@ -445,10 +450,10 @@ def stream_split(spark, sf_dir):
     return batches.run_to_end(batches.split_stream(rows, "doc_id", 0.9, SEED), f"{to}/rows", f"{to}/state")
 
 
-@query("SELECT DISTINCT md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL")
+@query("SELECT DISTINCT md5(text) AS text_md5 FROM documents")
 def stream_dedupe(spark, sf_dir):
     """First-wins de-duplication as a stream over files."""
     path = f"{sf_dir}/documents.parquet"
-    rows = batches.file_stream(spark, path, spark.read.parquet(path).schema).where("text IS NOT NULL").select(F.md5("text").alias("text_md5"))
+    rows = batches.file_stream(spark, path, spark.read.parquet(path).schema).select(F.md5("text").alias("text_md5"))
     to = scratch_path(spark, "stream-dedupe")
     return batches.run_to_end(batches.first_seen(rows, ["text_md5"]), f"{to}/rows", f"{to}/state")

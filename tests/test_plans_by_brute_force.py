@@ -6,7 +6,7 @@ import numpy as np
 from conftest import DATA
 
 from sparkloom.operators import coevolution, quota, sampling, spans
-from sparkloom.plans.queries import QUERIES
+from sparkloom.plans.registry import QUERIES
 
 
 def test_downsampling(spark):

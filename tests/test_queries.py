@@ -1,7 +1,7 @@
 import pytest
 from conftest import DATA
 
-from sparkloom.plans.queries import QUERIES, SQL
+from sparkloom.plans.registry import QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", list(SQL))
