@@ -46,6 +46,9 @@ def matched(text: Column, rules: list[Rule]) -> Column:
     The text is brought into its matching form once for each row; the rules are a constant.
     """
 
+    if not rules:
+        return F.array().cast("array<struct<label:string,keywords:array<string>>>")
+
     def found(norm: Column) -> Column:
         hits = []
         for rule in rules:
@@ -65,6 +68,9 @@ def plain_words(keyword: str) -> str:
 def matched_labels(text: Column, rules: list[Rule]) -> Column:
     """Labels of the rules of which a keyword occurs as whole words, in order of the rules; the rules are a constant."""
 
+    if not rules:
+        return F.array().cast("array<string>")
+
     def fits(norm: Column) -> Column:
         return F.array_compact(F.array(*[
             F.when(reduce(or_, [norm.contains(f" {plain_words(w)} ") for w in r.keywords]), F.lit(r.label)) for r in rules

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import annotations, instructions
+from ..operators import annotations, artifacts, instructions
 from ..operators.matching import Rule
 from ..operators.storage import scratch_path
 from ..sources import flatfiles
@@ -281,3 +281,60 @@ def span_rows(spark, sf_dir):
     made = rows.select("doc_id", start.alias("a"), width.alias("w"), instructions.span_row(F.col("q"), start, width, F.lit("random_span"), F.lit("go on")).alias("s"))
     faults = instructions.span_row_faults(F.col("s.instruction"), F.col("s.input"), F.col("s.output"), F.col("a"), F.col("a") + F.col("w"), F.col("w"))
     return made.select("doc_id", "s.output", F.md5("s.input").alias("input_md5"), "s.leaks", F.array_join(faults, ",").alias("faults"))
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two archives of the customers: one with two versions of some records, one with other sequences for some."""
+    customer, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    name = F.when(key % 9 == 4, "shared").otherwise(F.col("c_name"))
+    row = lambda rows, version, described, sequence, metadata: rows.select(
+        F.lpad(key.cast("string"), 9, "0").alias("accession"), text("A", key.cast("string"), ".", version).alias("accession_version"),
+        described.alias("description"), F.lit("Genus").alias("organism"), F.upper(F.md5(sequence)).alias("sequence"), metadata.alias("metadata"),
+    )
+    left = customer.where(key % 3 != 0)
+    plain = F.create_map(F.lit("genome"), F.lit("plasmid"))
+    first = row(left, "1", F.lit("old"), F.lit("old"), plain)
+    later = row(left, "12", text("a ring of ", F.lower("c_mktsegment")), name, plain)
+    right = row(customer.where(key % 4 != 0), "3", F.lit("plain"), F.when(key % 10 == 1, "other").otherwise(name), F.create_map(F.lit("topology"), F.lit("linear")))
+    return artifacts.compiled(first.union(later), right, RULES, "made")
+
+
+ARCHIVES = """WITH l AS (SELECT * FROM customer WHERE c_custkey % 3 <> 0), r AS (SELECT * FROM customer WHERE c_custkey % 4 <> 0),
+m AS (SELECT coalesce(l.c_custkey, r.c_custkey) AS k, coalesce(l.c_name, r.c_name) AS c_name, CASE WHEN l.c_custkey IS NULL THEN 'right_only' WHEN r.c_custkey IS NULL THEN 'left_only' ELSE 'paired' END AS origin,
+coalesce(l.c_mktsegment, r.c_mktsegment) AS seg FROM l FULL JOIN r ON l.c_custkey = r.c_custkey),
+s AS (SELECT *, CASE WHEN k % 9 = 4 THEN 'shared' ELSE c_name END AS mine FROM m), t AS (SELECT *, CASE WHEN origin <> 'left_only' AND k % 10 = 1 THEN 'other' ELSE mine END AS seq FROM s),
+c AS (SELECT *, upper(md5(seq)) AS sequence, min(k) OVER (PARTITION BY seq) < k AS duplicate, origin = 'paired' AND k % 10 = 1 AS mismatch FROM t)"""
+
+
+@query(ARCHIVES + """ SELECT lpad(k::VARCHAR, 9, '0') AS accession, origin, CASE WHEN origin = 'left_only' THEN 'A' || k || '.12' ELSE 'A' || k || '.3' END AS accession_version, sequence, duplicate, mismatch AS sequence_mismatch,
+'task conditional sequence generation; labels ' || CASE WHEN origin = 'right_only' THEN 'linear molecule, protein sequence; label source structural metadata; description plain'
+ELSE 'metal ring; label source keyword rules; keywords ring; description a ring of ' || lower(seg) END || '; organism Genus; sequence type protein; source made' || CASE WHEN origin = 'right_only' THEN '' ELSE '; genome plasmid' END
+|| CASE WHEN origin = 'left_only' THEN '' ELSE '; topology linear' END AS profile FROM c""")
+def compiled_records(spark, sf_dir):
+    """One record for each accession of two archives, with profiles and duplicate sequences marked."""
+    return _archives(spark, sf_dir).select("accession", "origin", "accession_version", "sequence", "duplicate", "sequence_mismatch", "profile")
+
+
+@query(ARCHIVES + """ SELECT count(*) AS records, count(*) FILTER (WHERE origin = 'right_only') AS right_only, count(*) FILTER (WHERE origin = 'left_only') AS left_only, count(*) FILTER (WHERE origin = 'paired') AS paired,
+count(*) FILTER (WHERE mismatch) AS mismatches, count(*) FILTER (WHERE duplicate) AS duplicates, count(*) FILTER (WHERE NOT duplicate) AS kept FROM c""")
+def archive_summary(spark, sf_dir):
+    return artifacts.summary(_archives(spark, sf_dir))
+
+
+@query(ARCHIVES + " SELECT md5(string_agg(sequence, ',' ORDER BY k)) AS sequences_md5, count(*) AS n FROM c WHERE NOT duplicate")
+def written_archive(spark, sf_dir):
+    """The kept records as tagged text, read back in the order of its files."""
+    from ..sources.files import read_lines
+
+    path = scratch_path(spark, "train-text")
+    artifacts.write_train_text(_archives(spark, sf_dir).where("NOT duplicate"), path, 5)
+    back = read_lines(spark, path, "part-*").select("pos", instructions.parsed_line(F.col("line"))["sequence"].alias("s"))
+    # The digest of the whole is the fixture's check; one value of the table's size.
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"])
+    return back.agg(F.md5(F.array_join(whole, ",")).alias("sequences_md5"), F.count("*").alias("n"))
+
+
+@query(GENBANK + ", r AS (" + " UNION ALL ".join(f"SELECT '{r.label}' AS label FROM g WHERE {_rule_sql(r, 'text')}" for r in RULES) + ") SELECT label, count(*) AS n FROM r GROUP BY 1")
+def pairs_dataset(spark, sf_dir):
+    """Profile-sequence pairs written as a dataset, and how many there are of each label."""
+    return artifacts.pairs_dataset(annotations.feature_pairs(*_features(spark, sf_dir), RULES), scratch_path(spark, "pairs"))

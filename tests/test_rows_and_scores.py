@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import candidates, datasets, fused, incremental, instructions, metrics, retrieval, sampling, spans, storage
+from sparkloom.operators import artifacts, candidates, datasets, fused, incremental, instructions, metrics, retrieval, sampling, spans, storage
+from sparkloom.operators.matching import Rule
 from sparkloom.sources.sequences import read_json_lines
 
 
@@ -228,3 +229,52 @@ def test_natural_order_of_long_numbers(spark):
     names = ["x" + "9" * 30, "x1" + "0" * 30, "x007", "x7a", "x10"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert [r["n"] for r in df.orderBy(T.natural_key(F.col("n")), "n").collect()] == ["x007", "x7a", "x10", "x" + "9" * 30, "x1" + "0" * 30]
+
+
+def archive(spark, rows):
+    return spark.createDataFrame(rows, "accession string, accession_version string, description string, organism string, sequence string, metadata map<string,string>")
+
+
+def test_compiled_records(spark, tmp_path):
+    left = archive(spark, [("a", "a.2", "short", "O", "MK", {}), ("a", "a.10", "ring thing", "O", "MKV", {"genome": "plasmid"}), ("b", "b.1", "", "", "ML", {}), ("e", "e.1", "x", "", "", {})])
+    right = archive(spark, [("a", "a.10", "", "", "MKX", {"topology": "linear"}), ("c", "c.1", "one", "P", "ML", {})])
+    rows = artifacts.compiled(left, right, [Rule("metal ring", ("ring",))], "made")
+    found = {r["accession"]: r for r in rows.collect()}
+    assert set(found) == {"a", "b", "c"} and [found[k]["duplicate"] for k in "abc"] == [False, False, True]
+    assert found["a"]["sequence"] == "MKX" and found["a"]["sequence_mismatch"] and found["a"]["labels"] == ["metal ring"]
+    assert found["b"]["label_source"] == "structural metadata" and found["b"]["origin"] == "left_only"
+    row = artifacts.summary(rows).first()
+    assert (row["records"], row["paired"], row["left_only"], row["right_only"], row["mismatches"], row["duplicates"], row["kept"]) == (3, 1, 1, 1, 1, 1, 2)
+    assert tuple(artifacts.label_split(rows, 1).first()) == (1, 0)
+    assert {r["accession"] for r in artifacts.compiled(left, right, [], "made", most=1).collect()} == {"a"}
+    artifacts.write_json_lines(rows, f"{tmp_path}/lines")
+    artifacts.write_json_lines(rows, f"{tmp_path}/lines", append=True)
+    back = instructions.records(read_json_lines(spark, f"{tmp_path}/lines"), form="compact")
+    assert back.where("status = 'valid'").count() == 6
+    artifacts.write_train_text(rows, f"{tmp_path}/train", 2)
+    assert [instructions.PROFILE in r["value"] for r in spark.read.text(f"{tmp_path}/train").collect()] == [True] * 3
+    with pytest.raises(Exception, match="can't be tagged"):
+        artifacts.write_train_text(rows.withColumn("profile", F.lit("<|sep|>")), f"{tmp_path}/bad", 2)
+
+
+def test_span_json_lines(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "ACDEFGHIKLMNPQRSTVWY" * 4, "go"), (2, "MK", "go")], "k int, q string, asked string")
+    counts = artifacts.span_json_lines(rows, "k", "q", "asked", f"{tmp_path}/spans", mask=(22, 30)).collect()
+    assert sum(r["n"] for r in counts) >= 1 and all(22 <= r["mask_length"] <= 30 for r in counts)
+
+
+def test_jobs(spark, tmp_path, capsys):
+    from sparkloom.__main__ import main
+
+    (tmp_path / "a.txt").write_text("b\n\n a\nb\nc\n")
+    main(["dedupe-lines", str(tmp_path / "a.txt"), "--output", f"{tmp_path}/once", "--parts", "2"])
+    assert "".join(p.read_text() for p in sorted((tmp_path / "once").glob("part-*"))) == "b\na\nc\n"
+    rows = "".join(f'{{"metadata": {{"dataset_group": "g{k % 2}"}}, "product": "p{k % 3}", "n": {k}}}\n' for k in range(60))
+    (tmp_path / "b.jsonl").write_text(rows)
+    main(["downsample", str(tmp_path / "b.jsonl"), "--output", f"{tmp_path}/less", "--keep", "0.25", "--parts", "2"])
+    kept = "".join(p.read_text() for p in sorted((tmp_path / "less").glob("part-*"))).splitlines()
+    assert len(kept) == 15 and kept == [x for x in rows.splitlines() if x in kept]
+    main(["audit", str(tmp_path / "b.jsonl")])
+    assert "missing_both" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["concat", str(tmp_path / "a.txt")])
