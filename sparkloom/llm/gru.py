@@ -150,17 +150,25 @@ class Net:
                 h[ends[t]] = 0
         return states, saved
 
-    def outputs(self, hs: np.ndarray, targets: np.ndarray, grads: Model | None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log P of each target; with ``grads``, adds the loss's gradients and returns that of the states too."""
+    def outputs(
+        self, hs: np.ndarray, targets: np.ndarray, grads: Model | None, unknown: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log P of each target; with ``grads``, adds the loss's gradients and returns that of the states too.
+
+        With ``unknown``, the share of unknown words in each tail class, log P of an unknown word is returned instead.
+        """
         m, classes = self.m, CLASS_OF[targets]
         order = np.argsort(classes.astype(np.uint8), kind="stable")
         hs, inner = hs[order], targets[order]
         classes = classes[order]
         log_p = np.empty(len(hs), np.float32)
         back = np.empty_like(hs) if grads is not None else None
+        odd = np.empty(len(hs), np.float32) if unknown is not None else None
         for a in range(0, len(hs), ROWS):
             s = slice(a, a + ROWS)
-            self._softmax(hs[s], m["Wc"], classes[s], log_p[s], back[s] if back is not None else None, grads and grads["Wc"])
+            p, total = self._softmax(hs[s], m["Wc"], classes[s], log_p[s], back[s] if back is not None else None, grads and grads["Wc"])
+            if odd is not None:
+                odd[s] = np.log(p[:, BINS:] @ unknown / total)
         cuts = np.searchsorted(classes, np.arange(BINS + 1)).tolist()
         part = np.empty(len(hs), np.float32)
         more = np.empty_like(hs) if grads is not None else None
@@ -177,6 +185,10 @@ class Net:
                         back[s] += more[s]
         found = np.empty_like(log_p)
         found[order] = log_p
+        if odd is not None:
+            of_unknown = np.empty_like(odd)
+            of_unknown[order] = odd
+            return found, of_unknown
         if back is None:
             return found, None
         d_states = np.empty_like(back)
@@ -184,7 +196,8 @@ class Net:
         return found, d_states
 
     @staticmethod
-    def _softmax(hs, weights, targets, out, back, grads) -> None:
+    def _softmax(hs, weights, targets, out, back, grads) -> tuple[np.ndarray, np.ndarray]:
+        """Fills ``out`` with log P of the targets; gives exp of the logits, as far as no gradient is asked, and its sums."""
         p = hs @ weights.T
         rows = np.arange(len(hs))
         hit = p[rows, targets]
@@ -197,6 +210,7 @@ class Net:
             np.matmul(p, weights, out=back)
             back *= total
             grads += p.T @ (hs * total)
+        return p, total
 
     def backward(self, ids, ends, states, saved, d_states, grads: Model) -> None:
         m, (steps, n), H = self.m, ids.shape, HIDDEN
@@ -287,20 +301,29 @@ def train(flat: np.ndarray, texts: list[np.ndarray], rate: float) -> tuple[np.nd
     return flat, total
 
 
-def score(flat: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
-    """The natural log-likelihood of each whole document of symbols."""
+def score(
+    flat: np.ndarray, texts: list[np.ndarray], unknown: np.ndarray | None = None, at: list[np.ndarray] | None = None
+) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The natural log-likelihood of each whole document of symbols.
+
+    Also, for the places ``at`` of each document, what it gains if the word there, of a tail class, is an unknown one:
+    then any tail class counts, by its share ``unknown`` of such words.
+    """
     lengths = np.array([len(x) for x in texts], np.int64)
     if not len(lengths):
-        return np.zeros(0)
+        return np.zeros(0), []
     symbols, starts = np.concatenate(texts).astype(np.int32), np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(texts)), lengths)
     lanes, net, found = lanes_of(lengths, SCORE_LANES), Net(flat), np.zeros(len(texts))
-    table = net.inputs(np.arange(SYMBOLS))
+    table, shares = net.inputs(np.arange(SYMBOLS)), np.ones(TAILS, np.float32) if unknown is None else unknown.astype(np.float32)
+    gains = np.zeros(len(symbols), np.float32)
     h = np.zeros((len(lanes), HIDDEN), np.float32)
     for place, valid, ends in windows(symbols, starts, lengths, lanes, WINDOW):
         ids, h = symbols[place], h[: place.shape[1]]
         states, _ = net.forward(table[ids], ends, h, keep=False)
         ok = valid.reshape(-1)
-        log_p, _ = net.outputs(states.reshape(-1, HIDDEN + 1)[ok], ids.reshape(-1)[ok], None)
-        found += np.bincount(owner[place].reshape(-1)[ok], log_p, len(texts))
-    return found
+        log_p, of_unknown = net.outputs(states.reshape(-1, HIDDEN + 1)[ok], ids.reshape(-1)[ok], None, shares)
+        here = place.reshape(-1)[ok]
+        found += np.bincount(owner[here], log_p, len(texts))
+        gains[here] = of_unknown - log_p
+    return found, [gains[s + p] for s, p in zip(starts, at, strict=True)] if at is not None else []

@@ -9,14 +9,16 @@
    training document is learnt from once. Each shard trains from the round's model by truncated backpropagation over
    whole documents; the models are averaged, weighted by tokens, block by block of the parameters in Spark. The driver
    holds one model of 1.5 MB.
-4. Score: tasks run the network over whole documents, the state carried from window to window. Words beyond the head
-   meet their counts in a shuffle join, of which Spark splits skewed partitions.
+4. Score: tasks run the network over whole documents, the state carried from window to window, and tell what a word
+   beyond the head gains if it is unknown. These words meet their counts in a shuffle join, of which Spark splits skewed
+   partitions.
 
 The probability of a token is P(class | state) P(word | class, state) for the ``gru.SHORT`` most frequent words. All
 further words belong to tail classes by their last bytes; the network gives the class's probability, and within it
-words share by absolute discounting: (c - d) / N for a word of c occurrences, and d V / N for the class's one place for
-unknown words, with d = n1 / (n1 + 2 n2) from the tail words that occur once and twice. So the probabilities of all
-words and of one unknown word for each class sum to one, and the tail is exact whatever its size.
+words share by absolute discounting: (c - d) / N for a word of c occurrences, with d = n1 / (n1 + 2 n2) from the tail words
+that occur once and twice. What is left of each class, d V / N, is the unknown word's, which is one as in the base: its
+probability is the sum over the classes. So the probabilities of all words and of the unknown one sum to one, and the
+tail is exact whatever its size.
 
 Defined cases: a null text is empty and has its end token alone; an empty table gives an empty result; a text of any
 length is scored whole (only in training it's fed in segments of ``gru.SEGMENT`` tokens); null and repeated ids are rows
@@ -110,9 +112,9 @@ class Vocabulary:
         return min(gru.SHORT, len(self.words))
 
     @property
-    def log_unknown(self) -> np.ndarray:
-        """log10 P(unknown | tail class)."""
-        return np.log10(np.where(self.tail_n > 0, self.discount * self.tail_v / np.maximum(self.tail_n, 1), 1.0))
+    def unknown(self) -> np.ndarray:
+        """P(unknown | tail class); an empty class is all unknown."""
+        return np.where(self.tail_n > 0, self.discount * self.tail_v / np.maximum(self.tail_n, 1), 1.0)
 
     @property
     def symbol_counts(self) -> np.ndarray:
@@ -123,13 +125,13 @@ class Vocabulary:
     def tables(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """The head words, and in their order: symbol, log10(c + 1), and log10 of the share in the tail class.
 
-        Behind the head there is an unknown word of each tail class.
+        Behind the head there is a word of each tail class that's beyond the head; its share is known later.
         """
         rank, kinds = np.arange(len(self.words)), np.array([tail_class(w) for w in self.words], np.int64)
         tail = np.arange(gru.TAILS)
         symbol = np.concatenate([np.where(rank < self.short, rank, kinds + gru.SHORT), tail + gru.SHORT])
         share = np.log10(np.maximum(self.counts - self.discount, 1e-9) / np.maximum(self.tail_n[kinds], 1.0))
-        inner = np.concatenate([np.where(rank < self.short, 0.0, share), self.log_unknown])
+        inner = np.concatenate([np.where(rank < self.short, 0.0, share), np.zeros(gru.TAILS)])
         base = np.concatenate([np.log10(self.counts + 1.0), np.zeros(gru.TAILS)])
         return self.words, symbol.astype(np.uint16), base, inner
 
@@ -177,7 +179,7 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
 
 ENCODED = (
     "rid long, doc_id long, held_out boolean, h1 long, h2 long, n_tokens long, head_known long, head_log double, "
-    "inner double, symbols binary, tail array<binary>"
+    "inner double, symbols binary, tail array<binary>, tail_at array<int>"
 )
 
 
@@ -201,9 +203,9 @@ def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                     beyond = np.flatnonzero(at >= n_head)
                     rows.append((
                         len(words), len(words) - len(beyond), float(base[at].sum()), float(inner[at].sum()),
-                        symbol[at].tobytes(), [words[i] for i in beyond.tolist()],
+                        symbol[at].tobytes(), [words[i] for i in beyond.tolist()], beyond,
                     ))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
                 made = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c) for c in ("rid", "doc_id", "held_out", "h1", "h2")], *made],
@@ -269,33 +271,40 @@ def train_round(shards: DataFrame, flat: np.ndarray, rate: float) -> np.ndarray:
     return np.concatenate([parts[k] for k in range(BLOCKS)])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Row ids and symbols, in chunks of about ``CHUNK_TOKENS`` tokens."""
-    rids: list[int] = []
-    texts: list[np.ndarray] = []
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list]]:
+    """Row ids, symbols, words beyond the head and their places, in chunks of about ``CHUNK_TOKENS`` tokens."""
+    found: tuple[list, list, list, list] = ([], [], [], [])
     held = 0
     for batch in batches:
-        for rid, raw in zip(batch.column("rid"), batch.column("symbols"), strict=True):
-            rids.append(rid.as_py())
-            texts.append(np.frombuffer(raw.as_py(), np.uint16))
-            held += len(texts[-1])
+        for rid, raw, tail, at in zip(*[batch.column(c) for c in ("rid", "symbols", "tail", "tail_at")], strict=True):
+            text = np.frombuffer(raw.as_py(), np.uint16)
+            for part, value in zip(found, (rid.as_py(), text, tail, np.asarray(at.as_py(), np.int64)), strict=True):
+                part.append(value)
+            held += len(text)
             if held >= CHUNK_TOKENS:
-                yield rids, texts
-                rids, texts, held = [], [], 0
-    if rids:
-        yield rids, texts
+                yield found
+                found, held = ([], [], [], []), 0
+    if found[0]:
+        yield found
 
 
-def network_scores(encoded: DataFrame, flat: np.ndarray) -> DataFrame:
-    """(rid, network): log10 probability of each document's symbols."""
-    shipped = encoded.sparkSession.sparkContext.broadcast(flat)
+def network_scores(encoded: DataFrame, flat: np.ndarray, unknown: np.ndarray) -> DataFrame:
+    """(rid, network, tail, gain): log10 probability of each document's symbols, and what words beyond the head gain as
+    unknown ones."""
+    shipped = encoded.sparkSession.sparkContext.broadcast((flat, unknown))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rids, texts in _chunks(batches):
-            found = gru.score(shipped.value, texts) / math.log(10)
-            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(found)], names=["rid", "network"])
+        model, shares = shipped.value
+        for rids, texts, tails, places in _chunks(batches):
+            found, gains = gru.score(model, texts, shares, places)
+            columns = [
+                pa.array(rids, pa.int64()), pa.array(found / math.log(10)), pa.array([t.as_py() for t in tails], pa.list_(pa.binary())),
+                pa.array([g / math.log(10) for g in gains], pa.list_(pa.float64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "network", "tail", "gain"])
 
-    return encoded.select("rid", "symbols").mapInArrow(run, "rid long, network double")
+    rows = encoded.select("rid", "symbols", "tail", "tail_at")
+    return rows.mapInArrow(run, "rid long, network double, tail array<binary>, gain array<double>")
 
 
 def held_out(key: Column) -> Column:
@@ -332,22 +341,22 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = HE
 def scores_of(fitted: Fitted) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, network_score) of the encoded rows."""
     vocab, encoded = fitted.vocab, fitted.encoded
-    # A word beyond the head is taken for unknown at first; where the join finds it, its own share takes that place.
-    seen = np.maximum(vocab.discount * vocab.tail_v, 1e-9).tolist()
-    unknown = F.element_at(F.array(*map(F.lit, seen)), F.col("kind") + 1)
+    scored = stored(network_scores(encoded, fitted.flat, vocab.unknown), "lm-scored")
+    of_class = F.element_at(F.array(*map(F.lit, np.maximum(vocab.tail_n, 1.0).tolist())), F.col("kind") + 1)
     tail = (
-        encoded.select("rid", F.explode("tail").alias("word"))
-        .join(fitted.counts, "word")
+        scored.select("rid", F.explode(F.arrays_zip("tail", "gain")).alias("t"))
+        .select("rid", F.col("t.tail").alias("word"), "t.gain")
+        .join(fitted.counts, "word", "left")
         .groupBy("rid")
         .agg(
             F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("tail_log"),
-            F.sum(F.log10((F.col("c") - F.lit(vocab.discount)) / unknown)).alias("tail_inner"),
-            F.count("*").alias("tail_known"),
+            F.sum(F.coalesce(F.log10((F.col("c") - F.lit(vocab.discount)) / of_class), "gain")).alias("tail_inner"),
+            F.count("c").alias("tail_known"),
         )
     )
     joined = (
         encoded.select("rid", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "inner")
-        .join(network_scores(encoded, fitted.flat), "rid")
+        .join(scored.select("rid", "network"), "rid")
         .join(tail, "rid", "left")
     )
     zero = lambda c: F.coalesce(c, F.lit(0.0))

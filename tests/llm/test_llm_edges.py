@@ -312,12 +312,18 @@ def test_model_is_a_distribution_and_carries_state():
     rng = np.random.default_rng(0)
     flat = gru.initial(rng.integers(1, 99, gru.SYMBOLS).astype(float)) + rng.normal(0, 0.05, gru.SIZE).astype(np.float32)
     texts = [rng.integers(0, gru.SYMBOLS, n).astype(np.uint16) for n in (1, 5, 40, 333)]
-    together = gru.score(flat, texts)
-    assert np.allclose(together, [gru.score(flat, [t])[0] for t in texts], rtol=1e-4)
+    together, _ = gru.score(flat, texts)
+    assert np.allclose(together, [gru.score(flat, [t])[0][0] for t in texts], rtol=1e-4)
     start = np.array([3, 7, 11], np.uint16)
-    base = gru.score(flat, [start])[0]
-    each = gru.score(flat, [np.append(start, s).astype(np.uint16) for s in range(gru.SYMBOLS)])
-    assert abs(np.exp(each - base).sum() - 1) < 1e-3
+    base = gru.score(flat, [start])[0][0]
+    shares = rng.random(gru.TAILS)
+    rows = [np.append(start, s).astype(np.uint16) for s in range(gru.SYMBOLS)]
+    each, gains = gru.score(flat, rows, shares, [np.array([3])] * len(rows))
+    p = np.exp(each - base)
+    assert abs(p.sum() - 1) < 1e-3
+    # An unknown word has its share of every tail class, whichever its own is.
+    tails = p[gru.SHORT :]
+    assert np.allclose(tails * np.exp([g[0] for g in gains[gru.SHORT :]]), tails @ shares, rtol=1e-3)
 
 
 def test_training_learns_across_windows():
@@ -328,7 +334,7 @@ def test_training_learns_across_windows():
     for _ in range(4):
         flat, n = gru.train(flat, texts, 0.02)
     assert n == 20_000
-    seen = [gru.score(flat, [np.array(t, np.uint16)])[0] for t in ([0, 9, 9, 9, 0], [0, 9, 9, 9, 1])]
+    seen = [gru.score(flat, [np.array(t, np.uint16)])[0][0] for t in ([0, 9, 9, 9, 0], [0, 9, 9, 9, 1])]
     assert seen[0] > seen[1] + 1
 
 

@@ -116,15 +116,19 @@ def test_links_of_dense_fingerprints(spark, small):
     assert got == want
 
 
-def plain_network_score(flat, symbols):
-    """log10 P of a document's symbols, token by token in double precision, from the parameters alone."""
+def plain_network_score(flat, symbols, unknown, shares):
+    """log10 P of a document's symbols, token by token in double precision, from the parameters alone.
+
+    An unknown word's P is the sum over the tail classes of their P times their ``shares`` of such words.
+    """
     m = {k: v.astype(np.float64) for k, v in gru.unpack(flat).items()}
     h, total, H = np.zeros(gru.HIDDEN), 0.0, gru.HIDDEN
-    for s in symbols.tolist():
+    for s, odd in zip(symbols.tolist(), unknown, strict=True):
         state = np.append(h, 1.0)
-        logits = m["Wc"] @ state
+        p = np.exp(m["Wc"] @ state)
+        p /= p.sum()
         c = int(gru.CLASS_OF[s])
-        total += logits[c] - np.log(np.exp(logits).sum())
+        total += np.log(p[gru.BINS :] @ shares if odd else p[c])
         if s < gru.SHORT:
             low, high = gru.EDGES[c], gru.EDGES[c + 1]
             logits = m["W2"][low:high] @ state
@@ -181,11 +185,9 @@ def test_language_model(spark, documents):
         assert r["n_known"] == sum(w in counts for w in ws)
         assert math.isclose(r["base_score"], sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in ws), rel_tol=1e-9)
         symbols = np.array([rank[w] if w in rank else gru.SHORT + kind(w) for w in ws])
-        inner = 0.0
-        for w in ws:
-            if w not in rank and tail_n[kind(w)]:
-                inner += math.log10(((counts[w] - d) if w in counts else d * tail_v[kind(w)]) / tail_n[kind(w)])
-        want = plain_network_score(fitted.flat, symbols) + inner
+        inner = sum(math.log10((counts[w] - d) / tail_n[kind(w)]) for w in ws if w in counts and w not in rank)
+        shares = np.array([d * tail_v[k] / tail_n[k] if tail_n[k] else 1.0 for k in range(gru.TAILS)])
+        want = plain_network_score(fitted.flat, symbols, [w not in counts for w in ws], shares) + inner
         assert math.isclose(r["score"], want, rel_tol=2e-4), r["doc_id"]
     away = [r for r in rows if r["held_out"]]
     mean = sum(r["score"] for r in away) / sum(r["n_tokens"] for r in away)
