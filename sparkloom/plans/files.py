@@ -164,3 +164,11 @@ def resumed_upserts(spark, sf_dir):
         batches.upsert_stream(rows, "doc_id", f"{to}/index", f"{to}/state")
     index = batches.read_upserts(spark, f"{to}/index", docs.schema, "doc_id")
     return index.groupBy("source").agg(F.count("*").alias("n"), F.max("n_chars").alias("longest"))
+
+
+@query("""WITH r AS (SELECT translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ ', '') AS r FROM documents WHERE text IS NOT NULL), l AS (SELECT unnest(string_split(r, '')) AS letter FROM r WHERE r <> '')
+SELECT letter, count(*) AS n FROM l GROUP BY 1""")
+def missing_letters(spark, sf_dir):
+    """Characters of documents that plain letters and spaces don't cover."""
+    known = "".join(map(chr, range(97, 123))) + "".join(map(chr, range(65, 91))) + " "
+    return files.missing_letters(table(spark, sf_dir, "documents"), "text", known)

@@ -101,3 +101,48 @@ def fasta_text(accession: Column, description: Column, sequence: Column, width:
 def json_line(*columns: str) -> Column:
     """The row's columns as one JSON object; nulls are left out."""
     return F.to_json(F.struct(*columns))
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The fields of a JSON manifest of several lines as one row."""
+    return spark.read.json(path, multiLine=True)
+
+
+def scoped_root(spark: SparkSession, root: str, output: str) -> str:
+    """``root/NAME`` if that folder exists, where NAME is the last part of the output path; else ``root``."""
+    below = f"{root.rstrip('/')}/{output.rstrip('/').rsplit('/', 1)[-1]}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(below)
+    return below if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path) else root
+
+
+def best_file(files: DataFrame, *preferred: str) -> str | None:
+    """The path of the file whose name has most of the ``preferred`` parts, in order of their weight; then the newest."""
+    name = F.element_at(F.split("path", "/"), -1)
+    marks = [F.contains(F.lower("path"), F.lit(p.lower())) for p in preferred]
+    found = files.agg(F.max_by("path", F.struct(*[m.alias(f"m{k}") for k, m in enumerate(marks)], "modified", name.alias("name"))).alias("path"))
+    return found.first()["path"]
+
+
+def missing_letters(rows: DataFrame, text: str, known: str) -> DataFrame:
+    """(letter, n): characters of the texts that a vocabulary lacks, with their counts.
+
+    Texts are reduced to what is not known before characters are taken apart.
+    """
+    rest = F.translate(F.coalesce(text, F.lit("")), known, "")
+    letters = rows.select(F.explode(F.regexp_extract_all(rest, F.lit("(?s)(.)"), F.lit(1))).alias("letter"))
+    return letters.groupBy("letter").agg(F.count("*").alias("n"))
+
+
+def expected_rows(rows: DataFrame, n: int) -> DataFrame:
+    """The rows, if there are as many as a manifest says; another number is an error."""
+    found = rows.count()
+    if found != n:
+        raise ValueError(f"{found} rows, but {n} are expected")
+    return rows
+
+
+def append_metrics(rows: DataFrame, path: str) -> None:
+    """Append metric rows as JSON Lines; numbers that aren't finite are left out."""
+    kinds = dict(rows.dtypes)
+    plain = [F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in rows.columns]
+    rows.select(F.to_json(F.struct(*plain)).alias("value")).write.mode("append").text(path)

@@ -160,3 +160,21 @@ def test_plain_files(spark, tmp_path):
     assert spark.range(1).select(F.size(fields).alias("n"), body.alias("b")).first() == (0, "no fields")
     with pytest.raises(Exception, match="lacks its tags"):
         files.checked_corpus(files.train_parts(spark, str(tmp_path)), ("<|protein|>",)).collect()
+
+
+def test_manifests_scopes_and_metrics(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{\n "records": 3,\n "name": "x"\n}\n')
+    assert files.read_manifest(spark, str(tmp_path / "m.json")).first()["records"] == 3
+    (tmp_path / "in" / "plants").mkdir(parents=True)
+    assert files.scoped_root(spark, str(tmp_path / "in"), "/out/plants").endswith("in/plants") and files.scoped_root(spark, str(tmp_path / "in"), "/out/x") == str(tmp_path / "in")
+    for name in ("a_unrelaxed.pdb", "b_relaxed.pdb", "c.pdb"):
+        (tmp_path / name).write_text("x")
+    assert files.best_file(files.listing(spark, str(tmp_path), "*.pdb"), "_relaxed").endswith("b_relaxed.pdb")
+    rows = spark.createDataFrame([(1, 2.5), (2, float("nan")), (3, float("inf"))], "step long, loss double")
+    files.append_metrics(rows, f"{tmp_path}/log")
+    files.append_metrics(rows, f"{tmp_path}/log")
+    back = spark.read.json(f"{tmp_path}/log", schema="step long, loss double")
+    assert back.count() == 6 and back.where("loss IS NOT NULL").count() == 2
+    assert files.expected_rows(rows, 3).count() == 3
+    with pytest.raises(ValueError, match="expected"):
+        files.expected_rows(rows, 4)
