@@ -72,6 +72,20 @@ def test_clashing_columns_pass_through(odd):
         assert all(r["ids"] == r["quality"] == r["_t"] == "mine" for r in out.select(*odd.columns).collect())
 
 
+def test_clashing_columns_pass_through_stages(spark, odd):
+    text = " ".join(f"word{k}." for k in range(60))
+    rows = docs(spark, (1, text, "a"), (1, text + " other words", "b"))
+    for work in (WORK["keep_clean"], WORK["round_trip"], WORK["keep_one"], *WORK_ON_DOCS.values()):
+        for r in work(rows).collect():
+            assert r["ids"] == r["quality"] == r["_t"] == "mine"
+    assert WORK["keep_clean"](rows).count() == 2
+    named = odd.select("doc_id", "text", *[F.lit("mine").alias(c) for c in ("score", "h1", "rid", "tail", "kind")])
+    assert lm.score_documents(named).count() == 7
+    pages = spark.createDataFrame([(1, "http://a.org/x", "mine", "mine", 5)], "page_id long, url string, url_verdict string, _canonical string, block long")
+    (row,) = urls.judge_urls(pages, spark.createDataFrame([("a.org/x",)], "url string")).collect()
+    assert (row["url_verdict"], row["_canonical"], row["block"], row["url_verdict_"]["verdict"]) == ("mine", "mine", 5, "block")
+
+
 def test_simhash_cases(odd):
     found = [(r["id"], r["fp"], r["component_id"]) for r in simhash.near_duplicates(odd).collect()]
     by_id = {i: (fp, c) for i, fp, c in found}
