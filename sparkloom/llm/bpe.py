@@ -20,6 +20,7 @@ vocabulary lacks fail to decode; further columns pass through, and new ones take
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from array import array
 from collections.abc import Callable, Iterator
@@ -40,7 +41,7 @@ PART, PART_OVERLAP = 262_144, 8_192
 #: The pattern looks two characters beyond a boundary, and beyond white space as far as that goes.
 MARGIN = 3
 NEVER = 1 << 62
-CACHE = 150_000
+CACHE = 100_000
 #: Rows that a task holds as ids or decoded bytes at a time, so that its memory doesn't follow the size of Arrow batches.
 ROWS = 128
 
@@ -289,11 +290,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, keep_te
     ``keep_text`` false leaves out the text, which then needn't come back from the Python workers.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
-    out, key = free_name(docs, "ids"), free_name(docs, "_key")
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    is_long = F.length(whole) > PART
-
-    at = docs.columns.index(text)
+    out, at = free_name(docs, "ids"), docs.columns.index(text)
     kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
     names = [*(docs.columns[i] for i in kept), out]
     fields = [docs.schema[i] for i in kept]
@@ -305,12 +302,22 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, keep_te
             ids = pa.array([encoder.encode(x.as_py() or "") for x in batch.column(at)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), ids], names=names)
 
-    near = docs.where(~is_long).mapInArrow(run, schema)
-    far = docs.where(is_long).withColumn(key, F.sha2(whole, 256))
-    distinct = far.groupBy(F.col(key).alias("key")).agg(F.first(F.col(f"`{text}`")).alias("text"))
+    near = docs.where(~is_long(text)).mapInArrow(run, schema)
+    return near.unionByName(_encode_long(docs, text, ranks, out, [docs.columns[i] for i in kept]))
+
+
+def is_long(text: str) -> Column:
+    """Whether a text is dealt to several tasks."""
+    return F.coalesce(F.length(F.col(f"`{text}`")) > PART, F.lit(False))
+
+
+def _encode_long(docs: DataFrame, text: str, ranks, out: str, kept: list[str]) -> DataFrame:
+    """The rows of long texts, with the columns ``kept`` and ``out``; parts of equal texts are encoded once."""
+    key, own = free_name(docs, "_key"), F.col(f"`{text}`")
+    far = docs.where(is_long(text)).withColumn(key, F.sha2(own, 256))
+    distinct = far.groupBy(F.col(key).alias("key")).agg(F.first(own).alias("text"))
     coded = encode_parts(distinct, ranks).select(F.col("key").alias(key), F.col("ids").alias(out))
-    rest = far.select(key, *[F.col(f"`{docs.columns[i]}`") for i in kept])
-    return near.unionByName(rest.join(coded, key).drop(key))
+    return far.select(key, *[F.col(f"`{c}`") for c in kept]).join(coded, key).drop(key)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -342,18 +349,36 @@ def id_list(ids: Column) -> Column:
     )
 
 
-def round_trip(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, ids_sha256 and decoded_sha256 for the text of each."""
-    encoded = encode(docs, text, keep_text=False)
-    ids = encoded.columns[-1]
-    done = decode(encoded, ids)
-    digests = {
-        "n_tokens": (F.octet_length(F.col(ids)) / 4).cast("long"),
-        "ids_sha256": F.sha2(F.col(ids), 256),
-        "decoded_sha256": F.sha2(F.col(done.columns[-1]), 256),
-    }
+def round_trip(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """``docs`` with n_tokens, ids_sha256 and decoded_sha256 for the text of each, in place of the text.
+
+    A task encodes a text and decodes its ids at once, so that neither goes through the JVM. Ids of texts that several
+    tasks share are put together first.
+    """
     own = [c for c in docs.columns if c != text]
-    return done.select(*[F.col(f"`{c}`") for c in own], *[v.alias(free_name(docs, k)) for k, v in digests.items()])
+    names = [free_name(docs, x) for x in ("n_tokens", "ids_sha256", "decoded_sha256")]
+    ranks, at = docs.sparkSession.sparkContext.broadcast(load_ranks(path)), docs.columns.index(text)
+    kinds = dict(zip(names, ("bigint", "string", "string"), strict=True))
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own] + [f"`{c}` {k}" for c, k in kinds.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, raw = Encoder(ranks.value), {i: b for b, i in ranks.value.items()}
+        for batch in _few(batches):
+            rows = []
+            for x in batch.column(at):
+                ids = encoder.encode(x.as_py() or "")
+                back = b"".join(map(raw.__getitem__, array("I", ids)))
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
+            made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+            rest = [k for k in range(len(batch.schema)) if k != at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), *made], names=[*own, *names])
+
+    near = docs.where(~is_long(text)).mapInArrow(run, schema)
+    ids = free_name(docs, "ids")
+    done = decode(_encode_long(docs, text, ranks, ids, own), ids, path=path)
+    digests = ((F.octet_length(F.col(ids)) / 4).cast("long"), F.sha2(F.col(ids), 256), F.sha2(F.col(done.columns[-1]), 256))
+    far = done.select(*[F.col(f"`{c}`") for c in own], *[d.alias(n) for d, n in zip(digests, names, strict=True)])
+    return near.unionByName(far)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
