@@ -19,13 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SHORT = 10_000
-BINS = 64
-TAILS = 32
+SHORT = 6_000
+BINS = 48
+TAILS = 24
 SYMBOLS = SHORT + TAILS
 CLASSES = BINS + TAILS
-HIDDEN = 19
-EMBED = 14
+HIDDEN = 12
+EMBED = 10
 WINDOW = 32
 #: In training, a document of more tokens is fed in segments of so many, lest one lane run on alone.
 SEGMENT = 16_384

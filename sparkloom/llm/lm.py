@@ -8,7 +8,7 @@
    on how the table is laid out. There are ``ROUNDS`` rounds, each over another share of the shards, so that every
    training document is learnt from once. Each shard trains from the round's model by truncated backpropagation over
    whole documents; the models are averaged, weighted by tokens, block by block of the parameters in Spark. The driver
-   holds one model of 1.5 MB.
+   holds one model of 0.6 MB.
 4. Score: tasks run the network over whole documents, the state carried from window to window, and tell what a word
    beyond the head gains if it is unknown. These words meet their counts in a shuffle join, of which Spark splits skewed
    partitions.
