@@ -41,3 +41,19 @@ def running_minimum(df: DataFrame, group: list[str], order: list[str], value: st
     a, b = dealt.withColumn("_here", F.min(value).over(here)).alias("a"), starts.alias("b")
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("_pid", *group)]
     return a.join(b, on).select(*[F.col(f"a.{c}") for c in df.columns], F.least("_here", "_before").alias(name))
+
+
+def running_sums(df: DataFrame, group: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
+    """``df`` with sums over the earlier rows of the group, zero for the first: ``values`` names a column for each sum.
+
+    ``order`` must be free of ties, but for rows that may change places.
+    """
+    dealt = dealt_by_range(df, group, order)
+    before = W.partitionBy(*group).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    sums = dealt.groupBy("_pid", *group).agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in values.items()])
+    starts = sums.select("_pid", *group, *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in values])
+    here = W.partitionBy("_pid", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    summed = dealt.withColumns({f"_here_{n}": F.coalesce(F.sum(v).over(here), F.lit(0)) for n, v in values.items()})
+    a, b = summed.alias("a"), starts.alias("b")
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("_pid", *group)]
+    return a.join(b, on).select(*[F.col(f"a.{c}") for c in df.columns], *[(F.col(f"_before_{n}") + F.col(f"_here_{n}")).alias(n) for n in values])
