@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, lines, lm, quality, revisits, sharding, simhash, urls
+from . import bpe, chat, decontam, fim, lines, lm, manifest, mixing, quality, revisits, sharding, simhash, urls
 
 QUERIES = {
     "op1_shard_lookup": sharding.op1_shard_lookup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_url_filter": urls.op9_url_filter,
     "op10_line_quality": quality.op10_line_quality,
+    "op11_merkle_manifest": manifest.op11_merkle_manifest,
+    "op12_source_mix": mixing.op12_source_mix,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 
 SQL = {
@@ -23,4 +26,7 @@ SQL = {
     "op6_warc_revisits": revisits.SQL,
     "op9_url_filter": urls.SQL,
     "op10_line_quality": quality.SQL,
+    "op11_merkle_manifest": manifest.SQL,
+    "op12_source_mix": mixing.SQL,
+    "op13_fill_in_middle": fim.SQL,
 }
