@@ -1,7 +1,7 @@
 """Lexical retrieval: expanded terms, overlap and phrase scores, and the best rows of each query.
 
-Queries are a stated set; they go out in blocks of bounded size and meet all rows, whose best are kept in each task
-before they are shuffled.
+Rows are found by postings of the terms that are asked for, rarest terms first; bounds on what a row can still reach keep
+postings of common terms and looks into texts few.
 """
 
 from __future__ import annotations
@@ -11,12 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import STANDARD, let, share_of, words
-from .matching import overlap
+from .storage import stored
 
 # Weights of lexical overlap, phrases, sequence quality and metadata.
 WEIGHTS = (0.52, 0.18, 0.18, 0.12)
-#: Characters of queries that are broadcast at a time.
-BLOCK_CHARS = 1_000_000
 
 
 def expanded(terms: Column, synonyms: dict[str, tuple[str, ...]]) -> Column:
@@ -49,6 +47,72 @@ def filled_share(*values: Column) -> Column:
     return filled / F.lit(float(len(values)))
 
 
+def asked_postings(queries: DataFrame, rows: DataFrame, query: str, key: str, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The terms of the queries and, of the rows, the postings of these terms alone.
+
+    Both inputs have an array ``terms`` of distinct terms. The first result is (query, term, nq, rank), with rank 1 for the
+    term that the fewest rows hold; the second is (term, key, n, ..carried), stored.
+    """
+    asked = queries.select(query, F.size("terms").alias("nq"), F.explode("terms").alias("term"))
+    each = rows.select(key, *carried, F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    held = stored(each.join(asked.select("term").distinct(), "term", "left_semi"), "postings")
+    count = held.groupBy("term").agg(F.count("*").alias("df"))
+    place = W.partitionBy(query).orderBy("df", "term")
+    before = F.coalesce(F.sum("df").over(place.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    met = asked.join(count, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    return stored(met.select(query, "term", "nq", F.row_number().over(place).alias("rank"), before.alias("before")), "asked"), held
+
+
+def shared_terms(pairs: DataFrame, asked: DataFrame, held: DataFrame, query: str, key: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(query, key, n, nq, ..carried, shared) of pairs: how many of its terms a row shares with a query."""
+    met = pairs.join(held, key).join(asked.select(query, "term", "nq"), [query, "term"])
+    return met.groupBy(query, key, "n", "nq", *carried).agg(F.count("*").alias("shared"))
+
+
+def met_by(asked: DataFrame, held: DataFrame, query: str, key: str) -> DataFrame:
+    """The pairs of a query and a row that holds a term of ``asked``."""
+    return asked.join(held, "term").select(query, key).distinct()
+
+
+def sharing_at_least(asked: DataFrame, held: DataFrame, least: DataFrame, query: str, key: str) -> DataFrame:
+    """The pairs whose overlap may reach ``least`` (query, bound).
+
+    To reach it, a row of n terms must share ``m = bound * sqrt(nq * n)`` terms, hence one of the ``nq - m + 1`` rarest of the
+    query: the postings of common terms are read for short rows only, and for queries without a bound.
+    """
+    m = F.greatest(F.lit(1), F.ceil(F.col("bound") * F.sqrt((F.col("nq") * F.col("n")).cast("double")) - 1e-9))
+    bounded = asked.join(least, query, "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+    return bounded.join(held, "term").where(F.col("rank") <= F.col("nq") - m + 1).select(query, key).distinct()
+
+
+def _overlap() -> Column:
+    return F.col("shared") / F.sqrt((F.col("n") * F.col("nq")).cast("double"))
+
+
+def _kth(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    """(query, bound): the k-th best score so far, where there are so many."""
+    return best_of(scored, query, key, k).where(F.col("rank") == k).select(query, F.col("score").alias("bound"))
+
+
+def best_overlaps(queries: DataFrame, rows: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    """(query, key, score, rank): the ``k`` rows that overlap most with each query, of equals the smallest key.
+
+    Both have an array ``terms``. A query's rarest terms find rows for a first bound; rows that may exceed it are then found by
+    the terms that they can't all lack. Rows that share nothing fill up by their key.
+    """
+    asked, held = asked_postings(queries, rows, query, key)
+    scored = lambda pairs: shared_terms(pairs, asked, held, query, key).select(query, key, _overlap().alias("score"))
+    bound = _kth(scored(met_by(asked.where(F.col("before") < k), held, query, key)), query, key, k)
+    found = scored(sharing_at_least(asked, held, bound, query, key))
+    # Of the 2k smallest keys at least k are left where fewer than k rows share a term.
+    first = [r[0] for r in rows.select(key).orderBy(F.asc_nulls_first(key)).limit(2 * k).collect()]
+    if first:
+        kind = rows.schema[key].dataType.simpleString()
+        none = queries.select(query, F.explode(F.array(*map(F.lit, first)).cast(f"array<{kind}>")).alias(key), F.lit(0.0).alias("score"))
+        found = found.unionByName(none).groupBy(query, key).agg(F.max("score").alias("score"))
+    return best_of(found, query, key, k)
+
+
 def ranked(
     queries: DataFrame, rows: DataFrame, query: str, key: str, k: int, sequence: str | None = None, filled: tuple[str, ...] = (),
     synonyms: dict[str, tuple[str, ...]] | None = None,
@@ -56,33 +120,64 @@ def ranked(
     """(query, key, score, rank): the ``k`` best rows of each query, of equals the smallest key.
 
     Both have a column ``text``. The score weighs the overlap of terms, the share of the query's phrases in the text, the
-    share of standard residues in ``sequence`` and the share of ``filled`` columns that aren't blank. What is shuffled for a
-    query are the ``k`` best rows of each task.
+    share of standard residues in ``sequence`` and the share of ``filled`` columns that aren't blank. Terms are looked up in
+    postings; a row's phrases are looked at only if the rest of its score leaves it a chance.
     """
-    tokens = lambda c: words(F.coalesce(F.col(c), F.lit("")))
+    a, b, c, d = WEIGHTS
+    tokens = lambda x: words(F.coalesce(F.col(x), F.lit("")))
     quality = share_of(F.col(sequence), STANDARD) if sequence else F.lit(0.0)
     special = filled_share(*map(F.col, filled)) if filled else F.lit(0.0)
-    found = rows.select(key, tokens("text").alias("t"), quality.alias("quality"), special.alias("special")).select(
-        key, F.array_distinct("t").alias("terms"), F.array_join("t", " ").alias("plain"), "quality", "special"
+    plain = rows.select(F.col(key), tokens("text").alias("t"), (c * quality + d * special).alias("static"))
+    plain = stored(plain.select(key, F.array_distinct("t").alias("terms"), F.array_join("t", " ").alias("plain"), "static"), "plain")
+    asks = queries.select(query, tokens("text").alias("t")).select(
+        query, expanded(F.col("t"), synonyms or {}).alias("terms"), phrases(F.col("t")).alias("q_phrases"), F.col("t")
     )
-    asked = queries.select(query, tokens("text").alias("t")).select(
-        query, expanded(F.col("t"), synonyms or {}).alias("q_terms"), phrases(F.col("t")).alias("q_phrases"), F.length(F.array_join("t", " ")).alias("size")
+    asked, held = asked_postings(asks, plain, query, key, ("static",))
+    partial = (a * _overlap() + F.col("static")).alias("score")
+
+    # Whatever a query shares, rows that aren't among the k best by the rest can only rank by what they share.
+    best = plain.select(key, "static").orderBy(F.desc("static"), F.asc_nulls_first(key)).limit(k).collect()
+    if not best:
+        return asks.where(F.lit(False)).select(query, F.lit(None).cast(rows.schema[key].dataType).alias(key), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    kind = f"array<struct<{key}:{rows.schema[key].dataType.simpleString()},score:double>>"
+    some = F.array(*[F.struct(F.lit(r[0]), F.lit(r[1])) for r in best]).cast(kind)
+    static = asks.select(query, F.explode(some).alias("s")).select(query, f"s.{key}", "s.score")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = shared_terms(pairs, asked, held, query, key, ("static",)).select(query, key, partial).unionByName(static)
+        return both.groupBy(query, key).agg(F.max("score").alias("score"))
+
+    bound = _kth(scored(met_by(asked.where(F.col("before") < k), held, query, key)), query, key, k)
+    need = bound.select(query, F.greatest(F.lit(0.0), (F.col("bound") - b - best[0]["static"]) / a).alias("bound"))
+    parts = stored(scored(sharing_at_least(asked, held, need, query, key)), "partial-scores")
+    chance = parts.join(_kth(parts, query, key, k), query, "left").where(F.coalesce(F.col("score") + b >= F.col("bound") - 1e-9, F.lit(True)))
+
+    def whole(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(plain.select(key, "plain"), key).join(asks.select(query, "q_phrases"), query)
+        score = F.col("score") + b * phrase_score(F.col("q_phrases"), F.col("plain"))
+        return met.select(query, key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
+
+    final = stored(best_of(whole(chance), query, key, k), "best")
+    # A phrase of two tokens may lie across the ends of longer ones, in a row that shares no whole term.
+    pairs_of = F.transform(F.filter("q_phrases", lambda p: F.size(F.split(p, " ")) == 2), _edge)
+    open_to = asks.join(_kth(final, query, key, k), query, "left").where(
+        (F.size(pairs_of) > 0)
+        & F.coalesce(b * F.size(pairs_of) / F.size("q_phrases") + best[0]["static"] >= F.col("bound") - 1e-9, F.lit(True))
     )
-    met = in_blocks(found, asked.drop("size"), query, F.length(F.array_join("q_phrases", " ")))
-    a, b, c, d = WEIGHTS
-    score = a * overlap(F.col("terms"), F.col("q_terms")) + b * phrase_score(F.col("q_phrases"), F.col("plain")) + c * F.col("quality") + d * F.col("special")
-    return best_of(met.select(query, key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score")), query, key, k)
-
-
-def in_blocks(rows: DataFrame, queries: DataFrame, query: str, size: Column, most: int = BLOCK_CHARS) -> DataFrame:
-    """Every row beside every query of a stated set, which is broadcast in blocks of ``size`` of about ``most`` each."""
-    blocks = int((queries.agg(F.sum(size)).first()[0] or 0) // most) + 1
-    parts = None
-    for n in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == n)
-        part = rows.join(F.broadcast(block), F.lit(True))
-        parts = part if parts is None else parts.union(part)
-    return parts
+    wanted = stored(open_to.select(query, F.explode(F.array_distinct(pairs_of)).alias("edge")), "edges")
+    if wanted.isEmpty():
+        return final
+    own = F.transform(F.sequence(F.lit(0), F.size("terms") - 2), lambda i: _edge(F.array_join(F.slice("t", i + 1, 2), " ")))
+    edges = plain.withColumn("t", F.split("plain", " ")).withColumn("terms", F.col("t"))
+    edges = edges.where(F.size("t") > 1).select(key, "static", F.explode(F.array_distinct(own)).alias("edge"))
+    more = wanted.join(edges, "edge").select(query, key, F.col("static").alias("score")).distinct()
+    more = more.join(parts.select(query, key), [query, key], "left_anti")
+    return best_of(final.drop("rank").unionByName(whole(more)), query, key, k)
+
+
+def _edge(phrase: Column) -> Column:
+    """The last character of a phrase's first token and the first of its second."""
+    return F.regexp_extract(phrase, "(. .)", 1)
 
 
 def best_of(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:

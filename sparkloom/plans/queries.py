@@ -271,12 +271,9 @@ s AS (SELECT item_id, doc_id, CASE WHEN len(d.t) * len(q.t) = 0 THEN 0.0::DOUBLE
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s) SELECT item_id, doc_id, round(score, 6) AS score FROM r WHERE r <= 25""")
 def lexical_rank(spark, sf_dir):
     """For each benchmark item the 25 documents that share most terms with it."""
-    terms = lambda rows, key, name: rows.select(key, F.array_distinct(T.words(F.coalesce("text", F.lit("")))).alias(name))
-    items = terms(table(spark, sf_dir, "benchmark"), "item_id", "q")
-    docs = terms(table(spark, sf_dir, "documents"), "doc_id", "t")
-    met = retrieval.in_blocks(docs, items, "item_id", F.length(F.array_join("q", " ")))
-    scored = met.select("item_id", "doc_id", matching.overlap(F.col("t"), F.col("q")).alias("score"))
-    return retrieval.best_of(scored, "item_id", "doc_id", 25).select("item_id", "doc_id", F.round("score", 6).alias("score"))
+    terms = lambda name, key: table(spark, sf_dir, name).select(key, F.array_distinct(T.words(F.coalesce("text", F.lit("")))).alias("terms"))
+    best = retrieval.best_overlaps(terms("benchmark", "item_id"), terms("documents", "doc_id"), "item_id", "doc_id", 25)
+    return best.select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
