@@ -101,7 +101,7 @@ def trees(nodes: DataFrame, group: list[str], height: int = HEIGHT) -> tuple[Dat
             break
         below = roots.select(*group, F.col("block").alias("k"), F.col("root").alias("digest"))
     subroots = roots.select(*group, F.col("root").alias("subroot"))
-    upper = subroots.withColumns({"block": F.lit(0).cast("long"), "path": F.array().cast("array<string>")})
+    upper = roots.select(*group, "block", F.array().cast("array<string>").alias("path"), F.col("root").alias("subroot"))
     for depth, level in reversed(list(enumerate(levels))):
         a, b = level.alias("a"), upper.alias("b")
         on = [F.col("a.block") == F.col("b.block")] + [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group]
@@ -142,7 +142,8 @@ def manifest(df: DataFrame, leaf: Column, group: str, order: str, height: int =
         *[F.col(f"`{c}`").alias(o) for c, o in zip(df.columns, own, strict=True)], F.col(f"`{group}`").alias("part"),
         F.col(f"`{order}`").alias("at"), leaf.alias("digest"), F.monotonically_increasing_id().alias("place"),
     )
-    leaves = numbered(rows, ["part"], ["at", "digest", "place"]).drop("at", "place").withColumn("leaf", F.col("digest"))
+    # Stored, since dealing out by ranges reads its input twice: a leaf is hashed once.
+    leaves = numbered(stored(rows, "manifest-leaves"), ["part"], ["at", "digest", "place"]).drop("at", "place").withColumn("leaf", F.col("digest"))
     paths, subroots = trees(leaves, ["part"], height)
     ranked = numbered(subroots, [], ["part"]).select("k", "part", F.col("subroot").alias("digest"))
     tops, root = trees(ranked, [], height)
