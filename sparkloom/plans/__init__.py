@@ -1,3 +1,3 @@
 """The registered queries, by name in ``registry.QUERIES``."""
 
-from . import files, queries, records, scoring, states  # noqa: F401
+from . import files, queries, records, scoring, states, streams  # noqa: F401
