@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,9 +64,9 @@ def validated(rows: DataFrame, limits: Limits = Limits(), sequence: str = "seque
     """
     q = compact(F.col(sequence))
 
-    def of(q: Column) -> Column:
-        n, none = F.length(q), q == ""
-        validity, x = share_of(q, PROTEIN), share_of(q, "X")
+    def of(m: Column) -> Column:
+        n, none = m["n"], m["n"] == 0
+        validity, x = m["validity"], m["x"]
         length = F.when(none, 0.0).otherwise(length_score(n, limits.min_length, limits.max_length))
         ambiguity = F.when(none, 0.0).otherwise(1 - x)
         there = F.coalesce(F.col("has_prediction"), F.lit(False))
@@ -92,7 +96,9 @@ def validated(rows: DataFrame, limits: Limits = Limits(), sequence: str = "seque
 
         return let(F.array_compact(F.array(*reasons)), judged)
 
-    return rows.withColumn("validation", let(q, of))
+    # What is read of the whole text is read once.
+    measures = lambda q: F.struct(F.length(q).alias("n"), share_of(q, PROTEIN).alias("validity"), share_of(q, "X").alias("x"))
+    return rows.withColumn("validation", let(let(q, measures), of))
 
 
 def weighted_score(
@@ -145,7 +151,7 @@ def reject_reasons(text: Column, shortest: int = 100, longest: int = 220, ends:
 
     def of(q: Column) -> Column:
         n = F.length(q)
-        counts = [n - F.length(F.translate(q, letter, "")) for letter in STANDARD]
+        counts = [n - F.length(F.replace(q, F.lit(letter), F.lit(""))) for letter in STANDARD]
         return F.concat(
             F.array_compact(F.array(
                 F.when(q.rlike(f"[^{STANDARD}]") | (q == ""), "alphabet"), F.when(~n.between(shortest, longest), "length"),
@@ -230,38 +236,83 @@ def distance_matrix(points: Column) -> Column:
     return let(points, lambda p: F.transform(p, lambda a: F.transform(p, lambda b: F.sqrt(square(a, b)))))
 
 
-def flank_score(start: Column, end: Column, n: Column, flank: int) -> Column:
-    """The mean of the shares of both flanks that the sequence has."""
-    if not flank:
-        return F.lit(1.0)
-    share = lambda room: F.least(room, F.lit(flank)) / F.lit(float(flank))
-    return (share(start) + share(n - end)) / 2
+def equal_windows(codes: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` codes a number that equal windows share: ranks of windows of doubled length."""
+    rank, size = np.unique(codes, return_inverse=True)[1].astype(np.int64), 1
+    while size < width:
+        step = min(size, width - size)
+        pairs = rank[: len(rank) - step] * (int(rank.max(initial=0)) + 1) + rank[step:]
+        rank, size = np.unique(pairs, return_inverse=True)[1].astype(np.int64), size + step
+    return rank
+
+
+def best_span(sequence: str, width: int, flank: int) -> tuple[int, float] | None:
+    """Start and score of the best span of a sequence, of equals the first; None if there's none.
+
+    Time is in proportion to length and width, but for the sort that finds equal windows.
+    """
+    codes = np.frombuffer(sequence.encode("utf-32-le"), np.uint32).astype(np.int64)
+    n = len(codes)
+    if n < width:
+        return None
+    starts = np.arange(n - width + 1)
+    whole = lambda flags: np.concatenate([[0], np.cumsum(flags)])
+    inside = lambda flags, low, high: (c := whole(flags))[high] - c[low]
+    letters = [codes == ord(x) for x in STANDARD]
+    standard = np.logical_or.reduce(letters)
+    good = inside(standard, starts, starts + width) == width
+    # Again elsewhere: the first or the last equal window lies a width away or more.
+    same = equal_windows(codes, width)
+    first, last = np.full(same.max() + 1, n), np.full(same.max() + 1, -1)
+    np.minimum.at(first, same, starts)
+    np.maximum.at(last, same, starts)
+    good &= (first[same] > starts - width) & (last[same] < starts + width)
+    # Again across the seam of both sides: k characters before the span and width - k behind it.
+    for k in range(1, width):
+        at = starts[(starts >= k) & (starts + 2 * width - k <= n)]
+        before = inside(codes[: n - k] == codes[k:], at - k, at) == k
+        d = width - k
+        behind = inside(codes[: n - d] == codes[d:], at + k, at + width) == d
+        good[at[before & behind]] = False
+    starts = starts[good]
+    if not len(starts):
+        return None
+    variety = sum((inside(x, starts, starts + width) > 0).astype(np.int64) for x in letters) / float(min(20, width))
+    change = np.concatenate([[True], codes[1:] != codes[:-1]])
+    since = np.arange(n) - np.maximum.accumulate(np.where(change, np.arange(n), 0)) + 1
+    run = np.zeros(len(starts), np.int64)
+    for k in range(width):
+        run = np.maximum(run, np.minimum(since[starts + k], k + 1))
+    penalty = np.minimum(0.35, run / width * 0.7)
+    shares = 1.0 if not flank else (np.minimum(starts, flank) / float(flank) + np.minimum(n - starts - width, flank) / float(flank)) / 2
+    central = 1.0 if n <= width else np.clip(1 - np.abs(starts + width / 2 - n / 2) / (n / 2), 0, 1)
+    a, b, c = SPAN_WEIGHTS
+    score = np.clip(a * np.clip(variety, 0, 1) + b * shares + c * central - penalty, 0, 1)
+    at = int(np.argmax(score))
+    return int(starts[at]), float(score[at])
 
 
 def best_spans(rows: DataFrame, key: str, sequence: str, width: int, flank: int = 64) -> DataFrame:
     """(key, start, end, score): the best span of ``width`` residues of each sequence, of equals the first.
 
     A span has standard residues alone and doesn't occur in the rest, the two sides joined. Its score weighs the
-    variety of residues, the flanks that are there and how central it is, less a penalty for runs. Each sequence's spans
-    are a row's work, and the best is a pre-aggregated maximum; sequences without a span have no row.
+    variety of residues, the flanks that are there and how central it is, less a penalty for runs. A sequence's spans are
+    found in its own row, without a copy for each; sequences without a span have no row.
     """
     if width <= 0:
         raise ValueError("width must be positive")
-    q = F.col("_q")
-    fit = rows.select(key, compact(F.col(sequence)).alias("_q")).where(F.length(q) >= width)
-    spans = fit.select(key, "_q", F.explode(F.sequence(F.lit(0), F.length("_q") - width)).alias("start"))
-    spans = spans.withColumn("span", F.substr(q, F.col("start") + 1, F.lit(width)))
-    rest = F.concat(F.substr(q, F.lit(1), F.col("start")), F.substr(q, F.col("start") + width + 1))
-    good = spans.where(~F.col("span").rlike(f"[^{STANDARD}]")).where(~F.contains(rest, F.col("span")))
-    n, end = F.length(q), F.col("start") + width
-    letters = sum((F.contains(F.col("span"), F.lit(x)).cast("int") for x in STANDARD), F.lit(0))
-    variety = clamped(letters / F.lit(float(min(20, width))))
-    middle = F.abs(F.col("start") + width / 2 - n / 2) / (n / 2)
-    central = F.when(n <= width, 1.0).otherwise(clamped(1 - middle))
-    a, b, c = SPAN_WEIGHTS
-    score = clamped(a * variety + b * flank_score(F.col("start"), end, n, flank) + c * central - repeat_penalty(F.col("span")))
-    best = good.select(key, "start", score.alias("score")).groupBy(key).agg(F.max(F.struct("score", (-F.col("start")).alias("back"))).alias("m"))
-    return best.select(key, (-F.col("m.back")).alias("start"), (width - F.col("m.back")).alias("end"), F.col("m.score").alias("score"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [best_span(q.as_py(), width, flank) or (None, None) for q in batch.column(1)]
+            starts = pa.array([f[0] for f in found], pa.int32())
+            made = [batch.column(0), starts, pc.add(starts, width).cast(pa.int32()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(made, names=["key", "start", "end", "score"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    fit = rows.select(key, compact(F.col(sequence)).alias("_q"))
+    found = fit.mapInArrow(run, f"key {kind}, start int, end int, score double").where("start IS NOT NULL")
+    return found.select(F.col("key").alias(key), "start", "end", "score")
 
 
 def best_record(rows: DataFrame, key: str, order: str, sequence: str, mask_end: int) -> DataFrame:
@@ -271,5 +322,3 @@ def best_record(rows: DataFrame, key: str, order: str, sequence: str, mask_end:
     rank = F.struct(q.rlike(f"[^{STANDARD}]").alias("odd"), F.col(order).alias("at"))
     rest = [c for c in rows.columns if c != key]
     return fit.groupBy(key).agg(F.min_by(F.struct(*rest), rank).alias("_row")).select(key, "_row.*")
-
-

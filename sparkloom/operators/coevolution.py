@@ -22,8 +22,6 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     k = len(ALIGNED)
     for batch in batches:
         rows = [x.as_py().encode("ascii", "replace") for x in batch.column(0)]
-        if len({len(r) for r in rows}) > 1:
-            raise ValueError("aligned sequences must be of one length")
         coded = place[np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)]
         for i in range(coded.shape[1] - 1):
             rest = coded.shape[1] - i - 1
@@ -43,8 +41,12 @@ def mutual_information(rows: DataFrame, sequence: str, pseudocount: float = 1e-3
     """
     k = len(ALIGNED)
     upper = F.upper(F.regexp_replace(sequence, r"\s+", ""))
+    letters = rows.select(upper.alias("s")).where(F.length("s") > 0)
+    shortest, longest = letters.agg(F.min(F.length("s")), F.max(F.length("s"))).first()
+    if shortest != longest:
+        raise ValueError(f"aligned sequences must be of one length; there are {shortest} and {longest}")
     joint = (
-        rows.select(upper.alias("s")).where(F.length("s") > 0)
+        letters
         .mapInArrow(_pair_counts, "i long, j long, a long, b long, c long")
         .groupBy(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "a", "b").agg(F.sum("c").alias("c"))
     )
@@ -98,3 +100,15 @@ def corrected(scores: DataFrame, length: int) -> DataFrame:
     joined = scores.join(a, "i").join(b, "j").join(F.broadcast(whole), F.lit(True))
     less = F.when(F.col("all") == 0, F.col("score")).otherwise(F.col("score") - F.col("mi") * F.col("mj") / F.col("all"))
     return joined.select("i", "j", less.alias("score"))
+
+
+def top_pairs(scores: DataFrame, k: int = 32, separation: int = 5) -> DataFrame:
+    """The ``k`` highest (i, j, score) of columns that lie ``separation`` or more apart, of equals the first."""
+    if k <= 0 or separation < 0:
+        raise ValueError("k must be positive and the separation not negative")
+    return scores.where(F.col("j") - F.col("i") >= separation).orderBy(F.desc("score"), "i", "j").limit(k)
+
+
+def contact_constraints(pairs: DataFrame, max_distance: float = 8.0) -> DataFrame:
+    """(i, j, min_distance, max_distance, score): pairs as limits on the distances of a structure's points."""
+    return pairs.select("i", "j", F.lit(None).cast("double").alias("min_distance"), F.lit(max_distance).alias("max_distance"), "score")

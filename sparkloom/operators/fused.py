@@ -149,11 +149,14 @@ def top_p(logits: Column, p: float) -> Column:
     def of(probabilities: Column) -> Column:
         ranked = F.array_sort(F.transform(probabilities, lambda x, i: F.struct((-x).alias("less"), i.alias("i"))))
 
-        def kept(r: Column) -> Column:
+        def add(s: Column, x: Column) -> Column:
             # An id stays if the probabilities before it don't reach p.
-            before = lambda n: F.aggregate(F.slice(r, 1, n), F.lit(0.0), lambda a, x: a - x["less"])
-            ids = F.transform(F.filter(F.transform(r, lambda x, n: F.struct(x["i"].alias("i"), (before(n) < p).alias("in"))), lambda x: x["in"]), lambda x: x["i"])
-            return let(ids, lambda k: F.transform(logits, lambda x, i: F.when(F.array_contains(k, i), x).otherwise(F.lit(LOW))))
+            return F.struct((s["upto"] - x["less"]).alias("upto"), (s["n"] + (s["upto"] < p).cast("int")).alias("n"))
+
+        def kept(r: Column) -> Column:
+            count = F.aggregate(r, F.struct(F.lit(0.0).alias("upto"), F.lit(0).alias("n")), add)["n"]
+            stays = lambda last: F.transform(probabilities, lambda x, i: F.struct((-x).alias("less"), i.alias("i")) <= last)
+            return let(let(F.get(r, count - 1), stays), lambda k: F.zip_with(logits, k, lambda x, y: F.when(y, x).otherwise(F.lit(LOW))))
 
         return let(ranked, kept)
 

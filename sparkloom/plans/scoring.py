@@ -14,7 +14,7 @@ from .registry import query, table
 LIMITS = candidates.Limits(min_length=200, max_length=4000, max_x_fraction=0.1, min_confidence=0.3, min_plddt=40.0, min_triangle_consistency=0.6)
 
 CANDIDATES = rf"""WITH s AS (SELECT doc_id, upper(regexp_replace(replace(coalesce(text, ''), 'ß', 'ss'), '\s+', '', 'g')) AS q, CASE WHEN doc_id % 5 <> 0 THEN (doc_id % 10) / 10.0::DOUBLE END AS confidence,
-(doc_id % 101)::DOUBLE AS plddt, doc_id % 4 <> 3 AS has_prediction, CASE WHEN doc_id % 3 <> 0 THEN (doc_id % 7) / 6.0::DOUBLE END AS geometry FROM (SELECT doc_id, substr(text, 1, 5000) AS text FROM documents)),
+(doc_id % 101)::DOUBLE AS plddt, doc_id % 4 <> 3 AS has_prediction, CASE WHEN doc_id % 3 <> 0 THEN (doc_id % 7) / 6.0::DOUBLE END AS geometry FROM documents),
 n AS (SELECT *, length(q) AS n, length(regexp_replace(q, '[^{T.PROTEIN}]', '', 'g')) AS good, length(q) - length(replace(q, 'X', '')) AS x FROM s),
 p AS (SELECT *, CASE WHEN n = 0 THEN 0::DOUBLE ELSE good / n::DOUBLE END AS validity, CASE WHEN n = 0 THEN 0::DOUBLE WHEN n < 200 THEN n / 200.0::DOUBLE WHEN n > 4000 THEN 4000.0::DOUBLE / n ELSE 1::DOUBLE END AS length_score,
 CASE WHEN n = 0 THEN 0::DOUBLE ELSE 1 - x / n::DOUBLE END AS ambiguity,
@@ -24,7 +24,7 @@ CASE WHEN has_prediction THEN CASE WHEN coalesce(confidence, plddt) > 1 THEN lea
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
-        "doc_id", F.substring("text", 1, 5000).alias("sequence"), F.when(i % 5 != 0, (i % 10) / 10.0).alias("confidence"), (i % 101).cast("double").alias("plddt"),
+        "doc_id", F.col("text").alias("sequence"), F.when(i % 5 != 0, (i % 10) / 10.0).alias("confidence"), (i % 101).cast("double").alias("plddt"),
         F.lit(None).cast("double").alias("ptm"), F.lit(None).cast("double").alias("iptm"), (i % 4 != 3).alias("has_prediction"), F.when(i % 3 != 0, (i % 7) / 6.0).alias("geometry"),
     )
 
@@ -52,20 +52,20 @@ def ranked_candidates(spark, sf_dir):
 RUNS = "|".join(f"{x}+" for x in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
-@query(rf"""WITH s AS (SELECT doc_id, substr(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', '', 'g')), 1, 150) AS q FROM documents),
+@query(rf"""WITH s AS (SELECT doc_id, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', '', 'g')) AS q FROM documents),
 c AS (SELECT *, length(q) AS n, coalesce(list_max(list_transform(regexp_extract_all(q, '{RUNS}'), lambda z: length(z))), 0) AS run, coalesce(list_max(list_transform(regexp_extract_all(q, '[AILMFWVY]+'), lambda z: length(z))), 0) AS hydro,
 list_max(list_transform(string_split('{T.STANDARD}', ''), lambda z: length(q) - length(replace(q, z, '')))) AS most, substr(q, 1, 30) AS a, right(q, 30) AS b FROM s)
 SELECT doc_id, array_to_string(list_filter([CASE WHEN q = '' OR regexp_matches(q, '[^{T.STANDARD}]') THEN 'alphabet' END, CASE WHEN n NOT BETWEEN 100 AND 220 THEN 'length' END, CASE WHEN run > 12 THEN 'single_residue_run' END,
 CASE WHEN q <> '' AND most > 0.35::DOUBLE * n THEN 'residue_share' END, CASE WHEN hydro > 10 THEN 'hydrophobic_run' END, CASE WHEN n > 0 AND length(regexp_replace(a, '[^AILMFWVY]', '', 'g')) / length(a)::DOUBLE >= 0.4::DOUBLE THEN 'hydrophobic_start' END,
 CASE WHEN n > 0 AND length(regexp_replace(b, '[^AILMFWVY]', '', 'g')) / length(b)::DOUBLE >= 0.4::DOUBLE THEN 'hydrophobic_end' END], lambda z: z IS NOT NULL), ',') AS reasons FROM c""")
 def reject_reasons(spark, sf_dir):
-    """All that speaks against the first 150 letters of each document as a sequence."""
-    letters = F.substring(F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", "")), 1, 150)
+    """All that speaks against the letters of each document as a sequence."""
+    letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", ""))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(candidates.reject_reasons(letters), ",").alias("reasons"))
 
 
-CHAINS = """WITH e AS (SELECT label AS chain, row_number() OVER (PARTITION BY label ORDER BY vec_id)::INT - 1 AS i, list_transform(embedding[1:3], lambda z: z::DOUBLE * 4) AS xyz FROM embeddings),
-q AS (SELECT chain, i, i + 1 + i % 3 AS j FROM e WHERE i < 40), d AS (SELECT q.chain, q.i, q.j, sqrt(list_sum(list_transform(list_zip(a.xyz, b.xyz), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance
+CHAINS = """WITH e AS (SELECT label AS chain, row_number() OVER (PARTITION BY label ORDER BY vec_id)::INT - 1 AS i, list_transform(embedding, lambda z: z::DOUBLE) AS xyz FROM embeddings),
+q AS (SELECT chain, i, i + 1 + i % 3 AS j FROM e), d AS (SELECT q.chain, q.i, q.j, sqrt(list_sum(list_transform(list_zip(a.xyz, b.xyz), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance
 FROM q JOIN e a ON a.chain = q.chain AND a.i = q.i LEFT JOIN e b ON b.chain = q.chain AND b.i = q.j)"""
 
 
@@ -74,41 +74,41 @@ def _contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.ordered import numbered
 
     points = numbered(table(spark, sf_dir, "embeddings").select(F.col("label").alias("chain"), "vec_id", "embedding"), ["chain"], ["vec_id"], "i")
-    xyz = F.transform(F.slice("embedding", 1, 3), lambda z: z.cast("double") * 4)
+    xyz = F.transform("embedding", lambda z: z.cast("double"))
     points = points.select("chain", F.col("i").cast("int").alias("i"), xyz.alias("xyz"))
-    pairs = points.where("i < 40").select("chain", "i", (F.col("i") + 1 + F.col("i") % 3).alias("j"))
+    pairs = points.select("chain", "i", (F.col("i") + 1 + F.col("i") % 3).alias("j"))
     return candidates.distances(points, pairs, "chain")
 
 
 @query(CHAINS + """, r AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY i, j) AS rank FROM d WHERE distance IS NOT NULL)
-SELECT chain, count(*) AS selected, round(count(*) FILTER (WHERE distance <= 2) / count(*)::DOUBLE, 6) AS precision FROM r WHERE rank <= 10 GROUP BY 1""")
+SELECT chain, count(*) AS selected, round(count(*) FILTER (WHERE distance <= 1.4::DOUBLE) / count(*)::DOUBLE, 6) AS precision FROM r WHERE rank <= 10 GROUP BY 1""")
 def contact_precision(spark, sf_dir):
     """How many of the first ten asked pairs of each chain are in contact."""
-    place = F.row_number().over(W.partitionBy("chain").orderBy("i", "j"))  # forty pairs a chain
+    place = F.row_number().over(W.partitionBy("chain").orderBy("i", "j"))  # the ten first of a chain are kept in each task
     ranked = _contacts(spark, sf_dir).where("distance IS NOT NULL").withColumn("rank", place)
-    return candidates.contact_precision(ranked, "chain", 10, 2.0).select("chain", "selected", F.round("precision", 6).alias("precision"))
+    return candidates.contact_precision(ranked, "chain", 10, 1.4).select("chain", "selected", F.round("precision", 6).alias("precision"))
 
 
-@query(CHAINS + """ SELECT chain, i, j, CASE WHEN distance IS NULL THEN 'constraint_index_out_of_bounds(' || i || ',' || j || ')' WHEN distance > 2.5 OR (i % 2 = 0 AND distance < 1.0) THEN 'contact_violated(' || i || ',' || j || ',dist=' || printf('%.2f', distance) || ')' END AS reason FROM d""")
+@query(CHAINS + """ SELECT chain, i, j, CASE WHEN distance IS NULL THEN 'constraint_index_out_of_bounds(' || i || ',' || j || ')' WHEN distance > 1.45::DOUBLE OR (i % 2 = 0 AND distance < 1.3::DOUBLE) THEN 'contact_violated(' || i || ',' || j || ',dist=' || printf('%.2f', distance) || ')' END AS reason FROM d""")
 def contact_constraints(spark, sf_dir):
     """Limits on distances of pairs, and why they don't hold."""
-    limits = _contacts(spark, sf_dir).withColumns({"max_distance": F.lit(2.5), "min_distance": F.when(F.col("i") % 2 == 0, 1.0)})
+    limits = _contacts(spark, sf_dir).withColumns({"max_distance": F.lit(1.45), "min_distance": F.when(F.col("i") % 2 == 0, 1.3)})
     return candidates.constraint_results(limits).select("chain", "i", "j", "reason")
 
 
-@query("""WITH p AS (SELECT vec_id, unnest(range(0, 6))::INT AS k, embedding FROM embeddings), x AS (SELECT vec_id, k, list_transform(embedding[(3 * k + 1)::INT:(3 * k + 3)::INT], lambda z: z::DOUBLE) AS xyz FROM p),
+@query("""WITH p AS (SELECT vec_id, unnest(range(0, 16))::INT AS k, embedding FROM embeddings), x AS (SELECT vec_id, k, list_transform(embedding[(4 * k + 1)::INT:(4 * k + 4)::INT], lambda z: z::DOUBLE) AS xyz FROM p),
 d AS (SELECT a.vec_id, a.k AS i, b.k AS j, CASE WHEN a.k = 0 AND b.k = 3 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END * sqrt(list_sum(list_transform(list_zip(a.xyz, b.xyz), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM x a JOIN x b USING (vec_id)),
 t AS (SELECT u.vec_id, u.d AS ij, v.d AS ik, w.d AS jk FROM d u JOIN d v ON u.vec_id = v.vec_id AND u.i = v.i AND u.i < u.j AND u.j < v.j JOIN d w ON w.vec_id = u.vec_id AND w.i = u.j AND w.j = v.j)
 SELECT vec_id, round(1 - sum((ij + ik + 1e-6::DOUBLE < jk)::INT + (ij + jk + 1e-6::DOUBLE < ik)::INT + (ik + jk + 1e-6::DOUBLE < ij)::INT) / (3 * count(*))::DOUBLE, 6) AS consistency FROM t GROUP BY 1""")
 def triangle_scores(spark, sf_dir):
-    """Triangle consistency of six points of each vector; one entry of the matrix is stretched, so that it can fail."""
+    """Triangle consistency of each vector as sixteen points; one entry of the matrix is stretched, so that it can fail."""
     rows = table(spark, sf_dir, "embeddings")
-    points = F.array(*[F.transform(F.slice("embedding", 3 * k + 1, 3), lambda z: z.cast("double")) for k in range(6)])
+    points = F.array(*[F.transform(F.slice("embedding", 4 * k + 1, 4), lambda z: z.cast("double")) for k in range(16)])
     stretched = F.transform(candidates.distance_matrix(points), lambda r, i: F.transform(r, lambda v, j: F.when((i == 0) & (j == 3), v * 3).otherwise(v)))
     return rows.select("vec_id", F.round(candidates.triangle_consistency(stretched), 6).alias("consistency"))
 
 
-@query(rf"""WITH s AS (SELECT doc_id, substr(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', '', 'g')), 1, 120) AS q FROM documents),
+@query(rf"""WITH s AS (SELECT doc_id, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', '', 'g')) AS q FROM documents),
 c AS (SELECT doc_id, q, length(q) AS n, unnest(range(0, length(q) - 11))::INT AS st FROM s WHERE length(q) >= 12),
 g AS (SELECT *, substr(q, st + 1, 12) AS span FROM c WHERE NOT regexp_matches(substr(q, st + 1, 12), '[^{T.STANDARD}]') AND NOT contains(substr(q, 1, st) || substr(q, st + 13), substr(q, st + 1, 12))),
 v AS (SELECT *, len(list_distinct(string_split(span, ''))) / 12.0::DOUBLE AS variety, (least(20, st) / 20.0::DOUBLE + least(20, n - st - 12) / 20.0::DOUBLE) / 2 AS flank,
@@ -116,8 +116,8 @@ CASE WHEN n <= 12 THEN 1::DOUBLE ELSE 1 - abs(st + 6 - n / 2.0::DOUBLE) / (n / 2
 w AS (SELECT *, greatest(0, least(1, 0.42::DOUBLE * variety + 0.34::DOUBLE * flank + 0.24::DOUBLE * central - penalty)) AS score FROM v)
 SELECT doc_id, round(max(score), 6) AS score, count(*) > 0 AS found FROM w GROUP BY 1""")
 def best_spans(spark, sf_dir):
-    """The score of the best span of twelve residues in the first 120 letters of each document."""
-    letters = F.substring(F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", "")), 1, 120)
+    """The score of the best span of twelve residues in the letters of each document."""
+    letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", ""))
     rows = table(spark, sf_dir, "documents").select("doc_id", letters.alias("q"))
     found = candidates.best_spans(rows, "doc_id", "q", 12, 20)
     return found.select("doc_id", F.round("score", 6).alias("score"), (F.col("end") - F.col("start") == 12).alias("found"))
@@ -185,7 +185,7 @@ def fused_rows(spark, sf_dir):
     )
 
 
-LOGITS = """WITH x AS (SELECT vec_id, unnest(range(0, 16))::INT AS i, unnest(embedding[1:16])::DOUBLE * 10 AS l FROM embeddings),
+LOGITS = """WITH x AS (SELECT vec_id, unnest(range(0, len(embedding)))::INT AS i, unnest(embedding)::DOUBLE * 10 AS l FROM embeddings),
 p AS (SELECT vec_id, i, CASE WHEN i % 4 = vec_id % 4 THEN CASE WHEN l > 0 THEN l / 1.2::DOUBLE ELSE l * 1.2::DOUBLE END ELSE l END AS l FROM x),
 k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY l DESC, i) AS r FROM p), t AS (SELECT * FROM k WHERE r <= 8),
 e AS (SELECT *, exp(l - max(l) OVER (PARTITION BY vec_id)) AS e FROM t), q AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS q FROM e),
@@ -193,8 +193,8 @@ c AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY vec_id ORDER BY r ROWS BETWEE
 
 
 def _logits() -> tuple[Column, Column]:
-    logits = F.transform(F.slice("embedding", 1, 16), lambda z: z.cast("double") * 10)
-    seen = F.filter(F.sequence(F.lit(0), F.lit(15)), lambda i: i % 4 == F.col("vec_id") % 4)
+    logits = F.transform("embedding", lambda z: z.cast("double") * 10)
+    seen = F.filter(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: i % 4 == F.col("vec_id") % 4)
     return logits, seen
 
 

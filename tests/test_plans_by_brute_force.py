@@ -1,11 +1,14 @@
 import hashlib
+import itertools
 import math
+import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from conftest import DATA
 
-from sparkloom.operators import coevolution, quota, sampling, spans
+from sparkloom.operators import candidates, coevolution, quota, sampling, spans
 from sparkloom.plans.registry import QUERIES
 
 
@@ -82,3 +85,47 @@ def test_coevolution(spark):
     assert len(got) == 6 and all(math.isclose(v, full[p], rel_tol=1e-9, abs_tol=1e-12) for p, v in got.items())
     less = full - np.outer(full.mean(1), full.mean(0)) / full.mean()
     assert all(math.isclose(r["score"], less[r["i"], r["j"]], rel_tol=1e-9, abs_tol=1e-12) for r in coevolution.corrected(found, 4).collect())
+
+
+def plain_span(q, width, flank):
+    best = None
+    for at in range(len(q) - width + 1):
+        span, n = q[at : at + width], len(q)
+        if any(x not in "ACDEFGHIKLMNPQRSTVWY" for x in span) or span in q[:at] + q[at + width :]:
+            continue
+        run = max(len(list(g)) for _, g in itertools.groupby(span))
+        sides = (min(flank, at) / flank + min(flank, n - at - width) / flank) / 2
+        central = 1.0 if n <= width else max(0, 1 - abs(at + width / 2 - n / 2) / (n / 2))
+        score = 0.42 * min(1, len(set(span)) / min(20, width)) + 0.34 * sides + 0.24 * central - min(0.35, run / width * 0.7)
+        if best is None or max(0, min(1, score)) > best[1]:
+            best = (at, max(0, min(1, score)))
+    return best
+
+
+def test_best_span_of_repetitive_texts():
+    rng = random.Random(2)
+    for _ in range(600):
+        q = "".join(rng.choice(["A", "AC", "D", "X", "ACA", "𝔸"]) for _ in range(rng.randrange(1, 26)))
+        width = rng.randrange(1, 9)
+        want, got = plain_span(q, width, 4), candidates.best_span(q, width, 4)
+        assert (want is None) == (got is None), (q, width)
+        if want:
+            assert math.isclose(want[1], got[1], abs_tol=1e-9) and (want[0] == got[0] or math.isclose(plain_span(q, width, 4)[1], got[1])), (q, width)
+
+
+def test_alignments_of_several_lengths_are_refused(spark):
+    rows = spark.createDataFrame([("ACD",), ("ACDE",)], "s string").repartition(2)
+    with pytest.raises(ValueError, match="one length"):
+        coevolution.mutual_information(rows, "s")
+
+
+def test_constraints_from_an_alignment(spark):
+    rows = spark.createDataFrame([("AACAA",), ("CCDAC",), ("AADCA",), ("CCCCC",)], "s string")
+    scores = coevolution.corrected(coevolution.mutual_information(rows, "s"), 5)
+    all_pairs = {(r["i"], r["j"]): r["score"] for r in scores.collect()}
+    made = coevolution.contact_constraints(coevolution.top_pairs(scores, 3, 3)).collect()
+    want = sorted((p for p in all_pairs if p[1] - p[0] >= 3), key=lambda p: (-all_pairs[p], p))[:3]
+    assert [(r["i"], r["j"]) for r in made] == want and all(r["max_distance"] == 8.0 and r["min_distance"] is None for r in made)
+    for k, apart in ((0, 1), (1, -1)):
+        with pytest.raises(ValueError, match="positive"):
+            coevolution.top_pairs(scores, k, apart)
