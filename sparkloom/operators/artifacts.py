@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import accession_version
@@ -49,12 +49,42 @@ def compiled(left: DataFrame, right: DataFrame, rules: list[Rule], source: str,
 
 
 def write_train_text(rows: DataFrame, path: str, parts: int, append: bool = False) -> None:
-    """Tagged lines in order of accessions, the order of the part files' names; records that can't be tagged fail the job."""
+    """Tagged lines in order of accessions; records that can't be tagged fail the job.
+
+    Each call writes a folder ``batch=00000000``, ``batch=00000001``, .. below ``path``; ``train_text`` reads them in order.
+    A batch that a failure has left without ``_SUCCESS`` is written anew.
+    """
     bad = F.raise_error(F.concat(F.lit("a field can't be tagged: "), F.col("accession"))).cast("string")
     line = F.when(instructions.field_faults(F.col("profile")) | instructions.field_faults(F.col("sequence")), bad)
     made = rows.select("accession", line.otherwise(instructions.train_line(F.col("profile"), F.col("sequence"))).alias("line"))
     ordered = made.repartitionByRange(parts, "accession").sortWithinPartitions("accession")
-    ordered.select("line").write.mode("append" if append else "errorifexists").text(path)
+    done = complete_batches(rows.sparkSession, path)
+    if done and not append:
+        raise FileExistsError(path)
+    ordered.select("line").write.mode("overwrite").text(f"{path}/batch={len(done):08d}")
+
+
+def complete_batches(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders of whole batches, in order."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(root)] if system.exists(root) else []
+    whole = lambda n: system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
+    return sorted(n for n in names if n.startswith("batch=") and whole(n))
+
+
+def train_text(spark: SparkSession, path: str) -> DataFrame:
+    """(line, pos) of what ``write_train_text`` wrote: ``pos`` orders the lines by batches, and by accessions within."""
+    done = complete_batches(spark, path)
+    if not done:
+        return spark.createDataFrame([], "line string, pos struct<batch:string,file:string,block:bigint,n:bigint>")
+    rows = spark.read.text([f"{path}/{n}" for n in done])
+    file = F.col("_metadata.file_path")
+    pos = F.struct(
+        F.element_at(F.split(file, "/"), -2).alias("batch"), F.element_at(F.split(file, "/"), -1).alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"),
+    )
+    return rows.select(F.col("value").alias("line"), pos.alias("pos"))
 
 
 def write_json_lines(rows: DataFrame, path: str, append: bool = False) -> None:

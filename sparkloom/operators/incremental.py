@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_accession
@@ -62,3 +62,32 @@ def stale(manifest: dict, parameters: dict, plan: DataFrame) -> bool:
     if manifest.get("signature") != signature(parameters) or not manifest.get("complete"):
         return True
     return bool(plan.where(F.col("action").isin("new", "updated")).take(1))
+
+
+def stale_reasons(spark: SparkSession, manifest: dict, index: DataFrame | None, asked: DataFrame, key: str, plan: DataFrame, wanted: dict) -> list[str]:
+    """Why a dataset must be made anew; empty if it needn't.
+
+    ``wanted`` has the values that its manifest should have: storage_mode, sequence_type, vocab_size, normalization and
+    duplicate_accession_count. Besides these count: no manifest or index, an unfinished one, keys to fetch, other keys than
+    those asked for, and artifacts (``manifest["artifacts"]``, paths) that aren't there.
+    """
+    if not manifest or index is None or index.isEmpty():
+        return ["no_state"]
+    reasons = [] if manifest.get("is_complete") else ["incomplete"]
+    if plan.where(F.col("action").isin("new", "updated")).take(1):
+        reasons.append("keys_to_fetch")
+    found = dict(manifest) | {"duplicate_accession_count": int(manifest.get("duplicate_accession_count") or 0)}
+    reasons += [name for name, value in wanted.items() if found.get(name) != value]
+    if manifest.get("keys_digest") != keys_digest(asked, key):
+        reasons.append("other_keys")
+    jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(p) for p in manifest.get("artifacts") or ()]
+    if not paths or not all(p.getFileSystem(settings).exists(p) for p in paths):
+        reasons.append("artifacts_missing")
+    return reasons
+
+
+def keys_digest(asked: DataFrame, key: str) -> str:
+    """A digest of a set of keys, whatever their order: its size and sums of two hashes."""
+    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), key).cast("decimal(38,0)"))
+    return signature({"keys": list(map(str, asked.agg(F.count(key), wide(1), wide(2)).first()))})

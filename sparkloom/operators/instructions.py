@@ -69,8 +69,9 @@ def records(rows: DataFrame, form: str = "alpaca", sequence_type: str = "protein
 
 
 def required(found: DataFrame) -> DataFrame:
-    """The valid rows; any other row but an empty one fails the job with its status and its beginning."""
-    fault = F.concat(F.lit("instruction row is "), F.col("status"), F.lit(": "), F.substring("value", 1, 80))
+    """The valid rows; any other row but an empty one fails the job with its status, its beginning and, if known, its place."""
+    at = [F.lit(" at "), F.col("place")] if "place" in found.columns else []
+    fault = F.concat(F.lit("instruction row is "), F.col("status"), *at, F.lit(": "), F.substring("value", 1, 80))
     ok = F.when(F.col("status") != "valid", F.raise_error(fault).cast("boolean")).otherwise(True)
     return found.where("status <> 'empty'").where(ok)
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import datasets, metrics, sampling, tokens
+from ..operators.ordered import running_sums
 from ..operators.storage import scratch_path
-from ..sources import files, sequences
+from ..sources import archives, files, sequences
 from ..streaming import batches
 from .records import text, written
 from .registry import query, table
@@ -40,18 +41,40 @@ def archive_bundles(spark, sf_dir):
     )
 
 
-@query("SELECT sum(octet_length(encode(p_name || ' ' || p_partkey)) + 1)::BIGINT AS bytes, count(*) AS lines, md5(string_agg(p_name || ' ' || p_partkey || chr(10), '' ORDER BY p_partkey)) AS whole_md5 FROM part")
+@query("""SELECT row_number() OVER (ORDER BY p_partkey) AS line_number, p_name || ' ' || p_partkey AS line, sum(octet_length(encode(p_name || ' ' || p_partkey)) + 1) OVER (ORDER BY p_partkey)::BIGINT AS bytes_so_far FROM part""")
 def concatenated_parts(spark, sf_dir):
-    """Text parts in natural order of their names, written as one in order; the files' contents follow one another."""
+    """Text parts in natural order of their names, written as one in order, and read back: the files' contents follow one another."""
     rows = table(spark, sf_dir, "part").select("p_partkey", text(F.col("p_name"), " ", F.col("p_partkey").cast("string")).alias("line"))
     folder, out = scratch_path(spark, "parts"), scratch_path(spark, "whole")
     rows.repartitionByRange(12, "p_partkey").sortWithinPartitions("p_partkey").select("line").write.text(folder)
     files.write_in_order(files.read_lines(spark, folder, "part-*"), out, 4)
-    back = files.read_lines(spark, out, "part-*")
-    totals = files.text_totals(back)
-    # The digest of the whole text is the fixture's check; one value of the table's size.
-    whole = back.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("w"))
-    return totals.join(whole.select(F.md5("w").alias("whole_md5")), F.lit(True)).select("bytes", "lines", "whole_md5")
+    back = files.read_lines(spark, out, "part-*").select("line", "pos", (F.octet_length("line") + 1).cast("long").alias("n"), F.lit(1).cast("long").alias("one"))
+    found = running_sums(back, [], ["pos"], {"before": "n", "k": "one"})
+    return found.select((F.col("k") + 1).alias("line_number"), "line", (F.col("before") + F.col("n")).alias("bytes_so_far"))
+
+
+@query("SELECT p_partkey, p_partkey % 7 AS part, row_number() OVER (PARTITION BY p_partkey % 7 ORDER BY p_partkey) AS line_number FROM part")
+def line_numbers(spark, sf_dir):
+    """The number of each line in its file, where files lie in several splits."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 7).alias("part"))
+    folder = scratch_path(spark, "numbered")
+    rows.repartition(7, "part").sortWithinPartitions("part", "p_partkey").select(F.col("p_partkey").cast("string").alias("line"), "part").write.partitionBy("part").text(folder)
+    found = files.numbered_lines(spark, folder)
+    part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("long")
+    return found.select(F.col("line").cast("long").alias("p_partkey"), part.alias("part"), "line_number")
+
+
+@query("""SELECT doc_id, md5(trim(regexp_replace(replace(coalesce(text, ''), chr(13), ''), '\\s+', ' ', 'g'), ' ')) AS text_md5 FROM documents""".replace("\\\\", "\\"))
+def archive_blocks(spark, sf_dir):
+    """Documents as records of gzip archives that ``//`` lines end, read by the source for damaged archives."""
+    rows = table(spark, sf_dir, "documents").select(
+        text("ID ", F.col("doc_id").cast("string"), "\n", T.collapse(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(""))), "\n//").alias("value")
+    )
+    folder = scratch_path(spark, "archives")
+    rows.write.option("compression", "gzip").text(folder)
+    found = archives.blocks(archives.read_archives(spark, folder, "part-*.gz", "block"))
+    body = F.regexp_replace("block", r"^ID \d+\n?", "")
+    return found.select(F.regexp_extract("block", r"^ID (\d+)", 1).cast("long").alias("doc_id"), F.md5(body).alias("text_md5"))
 
 
 @query("SELECT 'acc' || c_custkey AS accession, c_name AS sequence FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 6 <> 1")
@@ -154,14 +177,14 @@ def streamed_windows(spark, sf_dir):
 
 @query("""SELECT source, count(*) AS n, max(n_chars) AS longest FROM documents GROUP BY 1""")
 def resumed_upserts(spark, sf_dir):
-    """A raw index kept by a stream that is stopped after a batch and goes on from its checkpoint."""
+    """A raw index kept by a stream that stops in its third batch and goes on from its checkpoint."""
     path, to = f"{sf_dir}/documents.parquet", scratch_path(spark, "stream-index")
     feed = scratch_path(spark, "feed")
     docs = spark.read.parquet(path).select("doc_id", "source", "n_chars")
     docs.repartition(4, "doc_id").write.parquet(feed)
-    for _ in range(2):  # the second run finds what the first has left
+    for upto in (2, None):  # the second run finds what the first has left
         rows = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(feed)
-        batches.upsert_stream(rows, "doc_id", f"{to}/index", f"{to}/state")
+        batches.upsert_stream(rows, "doc_id", f"{to}/index", f"{to}/state", upto)
     index = batches.read_upserts(spark, f"{to}/index", docs.schema, "doc_id")
     return index.groupBy("source").agg(F.count("*").alias("n"), F.max("n_chars").alias("longest"))
 

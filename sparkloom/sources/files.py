@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
@@ -15,9 +16,9 @@ def read_delimited(spark: SparkSession, path: str, separator: str = ",") -> Data
     return rows.select(*[F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c.strip()) for c in named])
 
 
-def tolerant(spark: SparkSession) -> None:
-    """From now on the readable part of a damaged archive is read instead of failing the job."""
-    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
+def tolerant(spark: SparkSession) -> DataFrameReader:
+    """A reader that takes the readable part of damaged files; the session's other reads still fail on them."""
+    return spark.read.option("ignoreCorruptFiles", "true")
 
 
 def listing(spark: SparkSession, root: str, pattern: str) -> DataFrame:
@@ -44,6 +45,25 @@ def read_lines(spark: SparkSession, path: str | list[str], pattern: str | None =
     return rows.select(F.col("value").alias("line"), "file", F.struct(natural_key(name).alias("name"), "file", "block", "n").alias("pos"))
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
+    """(line, file, line_number): lines of text files with their numbers in their file, from 1, as editors count.
+
+    A file may lie in many splits: a line's number in its split, plus the lines of the splits before. What is gathered
+    is a row for each split.
+    """
+    lines = read_lines(spark, path, pattern).select("line", "file", "pos.block", "pos.n")
+    splits = lines.groupBy("file", "block").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
+    earlier = F.sum("lines").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    starts = splits.select("file", "block", "first", F.coalesce(earlier, F.lit(0)).alias("before"))
+    number = F.col("before") + F.col("n") - F.col("first") + 1
+    return lines.join(starts, ["file", "block"]).select("line", "file", number.alias("line_number"))
+
+
+def source_place() -> Column:
+    """``path:line`` of ``numbered_lines``, without the scheme of local paths."""
+    return F.concat(F.regexp_replace("file", "^file:/*/", "/"), F.lit(":"), F.col("line_number").cast("string"))
+
+
 def train_parts(spark: SparkSession, folder: str) -> DataFrame:
     """The lines of ``train_part_*.txt`` in natural order, or of ``train.txt`` if there are none."""
     parts = listing(spark, folder, "train_part_*.txt")
@@ -77,7 +97,11 @@ def read_json_object(spark: SparkSession, path: str) -> DataFrame:
 
 
 def front_matter(text: Column) -> tuple[Column, Column]:
-    """(fields, body) of a text that begins with ``key: value`` lines between ``---`` lines; no fields without them."""
+    """(fields, body) of a text that begins with ``key: value`` lines between ``---`` lines; no fields without them.
+
+    Of equal keys the last counts; line ends may be of either kind.
+    """
+    text = F.replace(text, F.lit("\r\n"), F.lit("\n"))
     head = F.regexp_extract(text, r"(?s)^---\s*\n(.*?)\n---\s*(?:\n|$)", 1)
     body = F.regexp_replace(text, r"(?s)^---\s*\n.*?\n---\s*(?:\n|$)", "")
     # A value of ``|`` is the indented lines that follow, joined by line ends.
@@ -89,7 +113,9 @@ def front_matter(text: Column) -> tuple[Column, Column]:
         plain = F.regexp_replace(rest, "^[\"']|[\"']$", "")
         return F.struct(F.substring_index(x, ":", 1).alias("key"), F.when(rest.startswith("|"), inner).otherwise(plain).alias("value"))
 
-    return F.map_from_entries(F.transform(block, entry)), F.regexp_replace(body, r"^\s+|\s+$", "")
+    entries = F.transform(block, entry)
+    later = lambda e, i: F.filter(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["key"] == e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: F.size(later(e, i)) == 0)), F.regexp_replace(body, r"^\s+|\s+$", "")
 
 
 def fasta_text(accession: Column, description: Column, sequence: Column, width: int = 80) -> Column:

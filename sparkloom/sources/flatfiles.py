@@ -6,6 +6,8 @@ reader's rows have ``pos``, the place of the record, by which first and last of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +46,8 @@ def flat_records(spark: SparkSession, path: str) -> DataFrame:
 def complete_records(spark: SparkSession, path: str) -> DataFrame:
     """As ``flat_records``, without the tail of a file that no ``//`` line ends, as a truncated archive leaves it.
 
-    What follows a file's last ``//`` is its last block: blank where the file is whole. Set
-    ``spark.sql.files.ignoreCorruptFiles`` to keep what can be read of a damaged archive.
+    What follows a file's last ``//`` is its last block: blank where the file is whole. Of damaged archives
+    ``archives.read_archives`` reads what can be read.
     """
     blocks = _blocks(spark, path)
     file = F.col("pos.file_path")
@@ -146,24 +148,32 @@ def features(block: Column) -> Column:
     return F.filter(found, lambda f: F.size(f["segments"]) > 0)
 
 
-def read_genbank(spark: SparkSession, path: str) -> DataFrame:
-    """(accession, organism, sequence, features, pos) of GenBank records; those without accession and version go."""
+#: Whence readers take (block, pos) of the records of a path.
+Records = Callable[[SparkSession, str], DataFrame]
+
+
+def read_genbank(spark: SparkSession, path: str, records: Records = flat_records) -> DataFrame:
+    """(accession, organism, sequence, features, pos) of GenBank records; those without accession and version go.
+
+    As in the other readers, ``records`` tells whether a tail that no ``//`` ends is a record: ``flat_records`` or
+    ``complete_records``.
+    """
     b = F.col("block")
     given = lambda tag: F.nullif(first_line(b, tag), F.lit(""))
     accession = F.regexp_extract(F.coalesce(given("ACCESSION"), given("VERSION")), r"^(\S+)", 1)
-    rows = flat_records(spark, path).select(
+    rows = records(spark, path).select(
         accession.alias("accession"), F.coalesce(given("ORGANISM"), given("SOURCE"), F.lit("")).alias("organism"),
         origin(b).alias("sequence"), features(b).alias("features"), "pos",
     )
     return rows.where("accession <> ''")
 
 
-def read_flat_entries(spark: SparkSession, path: str) -> DataFrame:
+def read_flat_entries(spark: SparkSession, path: str, records: Records = flat_records) -> DataFrame:
     """(accession, description, organism, version) of DDBJ-style records; the last record of an accession counts."""
     b = F.col("block")
     word = lambda tag: F.regexp_extract(field(b, tag), r"^(\S+)", 1)
     organism = F.regexp_extract(b, r"(?m)^  ORGANISM +(.*(?:\n {12}.*)*)", 1)
-    rows = flat_records(spark, path).select(
+    rows = records(spark, path).select(
         word("ACCESSION").alias("accession"), field(b, "DEFINITION").alias("description"),
         F.coalesce(F.nullif(F.trim(F.regexp_replace(organism, r"\s+", " ")), F.lit("")), field(b, "SOURCE")).alias("organism"),
         F.nullif(word("VERSION"), F.lit("")).alias("version"), "pos",
@@ -171,7 +181,7 @@ def read_flat_entries(spark: SparkSession, path: str) -> DataFrame:
     return best_of_each(rows.where("accession <> ''"), ["accession"], F.col("pos")).drop("pos")
 
 
-def read_embl_coding(spark: SparkSession, path: str) -> DataFrame:
+def read_embl_coding(spark: SparkSession, path: str, records: Records = flat_records) -> DataFrame:
     """(accession, description, organism, protein_id, parent_accession, translation, sequence_version, pos).
 
     Records of EMBL coding entries; those without a translation go. A numeric version follows the accession.
@@ -183,7 +193,7 @@ def read_embl_coding(spark: SparkSession, path: str) -> DataFrame:
     suffix = F.trim(F.substr(version, F.lit(4)))
     ft = F.array_join(F.transform(F.regexp_extract_all(b, F.lit(r"(?m)^FT(.*)$"), F.lit(1)), lambda x: F.rtrim(F.substr(x, F.lit(20)))), "\n")
     quoted = lambda name: F.regexp_extract("ft", rf'/{name}="([^"]+)"', 1)
-    rows = flat_records(spark, path).select(
+    rows = records(spark, path).select(
         F.get(parts, F.lit(0)).alias("accession"), values("DE").alias("description"), values("OS").alias("organism"),
         F.nullif(F.trim(F.try_element_at(F.filter(F.transform(F.regexp_extract_all(b, F.lit(r"(?m)^PA(.*)$"), F.lit(1)), lambda x: F.trim(x)), lambda x: x != ""), F.lit(-1))), F.lit("")).alias("parent_accession"),
         F.when(suffix.rlike(r"^\d+$"), F.concat(F.get(parts, F.lit(0)), F.lit("."), suffix)).otherwise(F.nullif(suffix, F.lit(""))).alias("sequence_version"),
@@ -211,11 +221,11 @@ def tracked_qualifiers(found: Column) -> Column:
     return F.transform_values(let(kept, grouped), lambda _, v: F.array_distinct(v))
 
 
-def read_genpept(spark: SparkSession, path: str, source_name: str = "refseq") -> DataFrame:
+def read_genpept(spark: SparkSession, path: str, source_name: str = "refseq", records: Records = complete_records) -> DataFrame:
     """(accession, accession_version, description, organism, sequence, metadata, pos) of protein records.
 
     ``metadata`` has the record's fields and tracked qualifiers that aren't blank, and the folder and the name of its
-    file without endings, by which archives of one bundle are paired.
+    file without endings, by which archives of one bundle are paired. The tail of a truncated archive is no record.
     """
     b, file = F.col("block"), F.col("pos.file_path")
     # Qualifiers come with any location; for a protein they are ranges of residues.
@@ -234,7 +244,7 @@ def read_genpept(spark: SparkSession, path: str, source_name: str = "refseq") ->
     own = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in fields.items()])
     more = F.transform(F.map_entries(qualifiers), lambda e: F.struct(e["key"].alias("key"), F.array_join(e["value"], "; ").alias("value")))
     metadata = F.map_from_entries(F.filter(F.concat(own, more), lambda e: F.coalesce(F.trim(e["value"]) != "", F.lit(False))))
-    rows = flat_records(spark, path).select(
+    rows = records(spark, path).select(
         canonical_accession(version).alias("accession"), version.alias("accession_version"), field(b, "DEFINITION").alias("described"),
         plain(organism).alias("organism"), origin(b).alias("sequence"), metadata.alias("metadata"), "pos",
     ).where("accession_version <> ''")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_accession, header_organism, join_segments, upper_residues
+from .files import numbered_lines, source_place
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -64,14 +65,20 @@ def feature_sequences(features: DataFrame, sequences: DataFrame) -> DataFrame:
     return joined.withColumn("sequence", join_segments(F.col("_whole"), part, F.col("strand"))).drop("_id", "_whole")
 
 
-def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, payload, status) of JSON Lines: payload is a variant; status is empty, invalid, not_object or valid."""
+def read_json_lines(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """(value, payload, status) of JSON Lines: payload is a variant; status is empty, invalid, not_object or valid.
+
+    With ``numbered`` each row also has ``place``, its path and line number.
+    """
     payload = F.try_parse_json("value")
     kind = F.schema_of_variant(payload)
     status = (
         F.when(F.trim("value") == "", "empty").when(payload.isNull(), "invalid").when(~kind.startswith("OBJECT"), "not_object")
     ).otherwise("valid")
-    return spark.read.text(path).select("value", payload.alias("payload"), status.alias("status"))
+    if not numbered:
+        return spark.read.text(path).select("value", payload.alias("payload"), status.alias("status"))
+    lines = numbered_lines(spark, path).select(F.col("line").alias("value"), source_place().alias("place"))
+    return lines.select("value", payload.alias("payload"), status.alias("status"), "place")
 
 
 def hrefs(html: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -41,17 +42,25 @@ def run_to_end(rows: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(out)
 
 
-def upsert_stream(rows: DataFrame, key: str, out: str, checkpoint: str) -> None:
+def upsert_stream(rows: DataFrame, key: str, out: str, checkpoint: str, upto: int | None = None) -> None:
     """Append each batch to an index, with its number; a batch that is done again after a failure replaces itself.
 
-    Later batches win when the index is read; the checkpoint tells a restart which files are done.
+    Later batches win when the index is read; the checkpoint tells a restart which files are done. With ``upto`` the
+    stream breaks off inside the batch of that number, when its rows are written but the batch isn't done.
     """
+    stop = f"stopped in batch {upto}"
 
     def append(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if number == upto:
+            raise InterruptedError(stop)
 
     query = rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if upto is None or stop not in str(e):
+            raise
 
 
 def read_upserts(spark: SparkSession, out: str, schema: StructType, key: str) -> DataFrame:
