@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import HYDROPHOBIC, PROTEIN, STANDARD, let, longest_run, share_of
 from .instructions import compact
+from .kmers import equal_windows
 
 # Weights of the six parts of a candidate's score.
 WEIGHTS = {
@@ -236,16 +237,6 @@ def distance_matrix(points: Column) -> Column:
     return let(points, lambda p: F.transform(p, lambda a: F.transform(p, lambda b: F.sqrt(square(a, b)))))
 
 
-def equal_windows(codes: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` codes a number that equal windows share: ranks of windows of doubled length."""
-    rank, size = np.unique(codes, return_inverse=True)[1].astype(np.int64), 1
-    while size < width:
-        step = min(size, width - size)
-        pairs = rank[: len(rank) - step] * (int(rank.max(initial=0)) + 1) + rank[step:]
-        rank, size = np.unique(pairs, return_inverse=True)[1].astype(np.int64), size + step
-    return rank
-
-
 def best_span(sequence: str, width: int, flank: int) -> tuple[int, float] | None:
     """Start and score of the best span of a sequence, of equals the first; None if there's none.
 

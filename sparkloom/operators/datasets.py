@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import errno
-import os
 import time
 import uuid
 from collections.abc import Callable
 from hashlib import sha256
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import free_name
 from .clean import best_of_each
+from .storage import renamed
 
 CATALOG = "source string, dataset string, snapshot string, records long, storage string, merge string, saved_at long"
 
@@ -77,28 +75,6 @@ class DatasetStore:
     def _system(self):
         return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _renamed(self, old: str, new: str) -> bool:
-        """Rename a folder of files to a name that isn't taken; False if it is."""
-        # Full names, as a context may have another default file system than the path's.
-        full = [self._system().makeQualified(self._path(below)) for below in (old, new)]
-        if full[0].toUri().getScheme() == "file":  # Hadoop's local rename looks first and then moves
-            try:
-                os.rename(*[p.toUri().getPath() for p in full])
-            except OSError as e:
-                if e.errno in (errno.ENOTEMPTY, errno.EEXIST):
-                    return False
-                raise
-            return True
-        gateway, jvm = self.spark.sparkContext._gateway, self.spark.sparkContext._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(full[0].toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        try:
-            context.rename(*full, gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" in e.java_exception.getClass().getName():
-                return False
-            raise
-        return True
-
     def _catalogs(self) -> list[str]:
         """The versions of the catalog in order."""
         system, folder = self._system(), self._path("catalog")
@@ -122,7 +98,7 @@ class DatasetStore:
             # A row for each dataset: small, so one file.
             change(self._version(last)).coalesce(1).write.parquet(f"{self.root}/{aside}")
             number = int(last.split("-")[0]) + 1 if last else 0
-            if self._renamed(aside, f"catalog/{number:08d}"):
+            if renamed(self.spark, f"{self.root}/{aside}", f"{self.root}/catalog/{number:08d}"):
                 return
             self._system().delete(self._path(aside), True)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import free_name, let
+from .kmers import kmer_state, numbered_kmers
 from .tokens import kmers
 
 # The first ids.
@@ -21,12 +22,12 @@ def kmer_vocabulary(rows: DataFrame, sequence: str, order: str, k: int, stride:
     First places are pre-aggregated minima. Numbers are dealt out over a sort of the distinct k-mers, of which there are
     at most 22 to the power of k for residues; ``most`` bounds them.
     """
-    from .ordered import numbered
-
-    each = rows.select(F.col(order).alias("row"), F.posexplode(kmers(F.col(sequence), k, stride)).alias("at", "kmer"))
-    first = each.groupBy("kmer").agg(F.min(F.struct("row", "at")).alias("first"))
-    ranked = numbered(first.select("kmer", "first.row", "first.at", F.lit(0).alias("whole")), ["whole"], ["row", "at"], "id")
-    found = ranked.select("kmer", (F.col("id") + SPECIALS).cast("int").alias("id"))
+    if stride == 1:
+        state = kmer_state(rows, order, sequence, k)
+    else:
+        each = rows.select(F.col(order).alias("row"), F.posexplode(kmers(F.col(sequence), k, stride)).alias("at", "kmer"))
+        state = each.groupBy("kmer").agg(F.min(F.struct("row", "at")).alias("first")).select("kmer", "first.row", "first.at")
+    found = numbered_kmers(state, SPECIALS)
     return found.where(F.col("id") < SPECIALS + most) if most else found
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import clean, coevolution, matching, ordered, quota, retrieval, sampling, spans, tokens
+from ..operators import clean, coevolution, kmers, matching, ordered, quota, retrieval, sampling, spans, tokens
 from ..operators.storage import scratch_path
 from ..sources.sequences import hrefs
 from ..streaming import batches
@@ -182,8 +182,8 @@ g AS (SELECT substr(t, i, 3) AS kmer, item_id * 1000000 + i AS place FROM (SELEC
 SELECT kmer, count(*) AS n, min(place) AS first_at FROM g GROUP BY 1""")
 def kmer_counts(spark, sf_dir):
     """3-mers of all documents, with their counts and first places."""
-    grams = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.posexplode(tokens.kmers(F.lower("text"), 3)).alias("i", "kmer"))
-    return grams.groupBy("kmer").agg(F.count("*").alias("n"), F.min(F.col("item_id") * 1_000_000 + F.col("i") + 1).alias("first_at"))
+    state = kmers.kmer_state(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t")), "doc_id", "t", 3)
+    return state.select("kmer", "n", (F.col("row") * 1_000_000 + F.col("at") + 1).alias("first_at"))
 
 
 @query("""WITH c AS (SELECT string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import stream
+from ..operators import kmers, padding, stream
+from ..operators.storage import scratch_path
 from .registry import query, table
 
 
@@ -29,3 +30,27 @@ def buffered_order(spark, sf_dir):
 
 
 query()(buffered_order)
+
+
+@query("""WITH t AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'))::INT AS length FROM documents), r AS (SELECT *, (row_number() OVER (ORDER BY length, doc_id) - 1) // 32 AS batch FROM t)
+SELECT doc_id, batch::BIGINT AS batch, length, max(length) OVER (PARTITION BY batch)::INT AS width, (max(length) OVER (PARTITION BY batch) - length)::INT AS pads FROM r""")
+def length_batches(spark, sf_dir):
+    """Word lengths of documents as rows of ids, in batches of 32 rows of like length, written with their manifest."""
+    ids = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-z]+)"), F.lit(1)), lambda w: F.length(w))
+    made = padding.padded_batches(table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")), "doc_id", "ids", 32)
+    path = scratch_path(spark, "batches")
+    padding.write_batches(made, path, 0)
+    rows, _ = padding.read_batches(spark, path)
+    return rows.select("doc_id", "batch", "length", "width", F.size(F.filter("attention_mask", lambda x: x == 0)).alias("pads"))
+
+
+@query("""WITH g AS (SELECT substr(t, i, 2) AS kmer, item * 1000000 + i AS place FROM (SELECT doc_id AS item, upper(coalesce(text, '')) AS t, unnest(range(1, length(coalesce(text, '')))) AS i FROM documents)),
+f AS (SELECT kmer, count(*) AS n, min(place) AS first FROM g GROUP BY 1) SELECT kmer, n, (4 + row_number() OVER (ORDER BY first) - 1)::INT AS id FROM f""")
+def merged_vocabulary(spark, sf_dir):
+    """2-mers of all documents, counted in four batches whose states are merged one after the other."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.upper("text").alias("t"))
+    state = None
+    for k in range(4):
+        more = kmers.kmer_state(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == k), "doc_id", "t", 2)
+        state = more if state is None else kmers.merged(state, more)
+    return state.select("kmer", "n").join(kmers.numbered_kmers(state, 4), "kmer").select("kmer", "n", "id")
