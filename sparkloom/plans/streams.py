@@ -44,11 +44,11 @@ def length_batches(spark, sf_dir):
     return rows.select("doc_id", "batch", "length", "width", F.size(F.filter("attention_mask", lambda x: x == 0)).alias("pads"))
 
 
-@query("""WITH g AS (SELECT substr(t, i, 2) AS kmer, item * 1000000 + i AS place FROM (SELECT doc_id AS item, upper(coalesce(text, '')) AS t, unnest(range(1, length(coalesce(text, '')))) AS i FROM documents)),
+@query("""WITH g AS (SELECT substr(t, i, 2) AS kmer, item * 1000000 + i AS place FROM (SELECT doc_id AS item, lower(coalesce(text, '')) AS t, unnest(range(1, length(coalesce(text, '')))) AS i FROM documents)),
 f AS (SELECT kmer, count(*) AS n, min(place) AS first FROM g GROUP BY 1) SELECT kmer, n, (4 + row_number() OVER (ORDER BY first) - 1)::INT AS id FROM f""")
 def merged_vocabulary(spark, sf_dir):
     """2-mers of all documents, counted in four batches whose states are merged one after the other."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.upper("text").alias("t"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
     state = None
     for k in range(4):
         more = kmers.kmer_state(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == k), "doc_id", "t", 2)
