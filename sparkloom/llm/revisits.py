@@ -49,10 +49,30 @@ def _tag(headers: Column) -> Column:
     return F.nullif(F.regexp_replace(F.trim(headers["etag"]), "^W/", ""), F.lit(""))
 
 
+#: The months of HTTP dates.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_TIME = r"(\d{1,2}:\d{2}:\d{2})"
+#: The three forms of an HTTP date, and which groups are day, month, year and time.
+DATES = (
+    (rf"^(?:[a-z]+,? )?(\d{{1,2}}) ([a-z]{{3}})[a-z]* (\d{{4}}) {_TIME} (?:gmt|utc|z|[+-]0000)$", (1, 2, 3, 4)),
+    (rf"^(?:[a-z]+,? )?(\d{{1,2}})-([a-z]{{3}})[a-z]*-(\d{{2}}|\d{{4}}) {_TIME} (?:gmt|utc|z|[+-]0000)$", (1, 2, 3, 4)),
+    (rf"^(?:[a-z]+,? )?([a-z]{{3}})[a-z]* (\d{{1,2}}) {_TIME} (?:(?:gmt|utc) )?(\d{{4}})$", (2, 1, 4, 3)),
+)
+
+
 def _date(headers: Column) -> Column:
-    """The Last-Modified date in one form: lower case, single spaces, without the weekday, and UTC as GMT."""
+    """The Last-Modified instant as ``yyyy-mm-dd hh:mm:ss``, from any of the three forms of an HTTP date; of any other text
+    its lower case in single spaces. Years of two digits from 70 on are of the twentieth century."""
     plain = F.lower(F.trim(F.regexp_replace(headers["last-modified"], r"\s+", " ")))
-    return F.nullif(F.regexp_replace(F.regexp_replace(plain, "^[a-z]+, ?", ""), " utc$", " gmt"), F.lit(""))
+
+    def instant(text: Column, pattern: str, places: tuple[int, int, int, int]) -> Column:
+        day, month, year, time = (F.regexp_extract(text, pattern, k) for k in places)
+        number = F.array_position(F.array(*map(F.lit, MONTHS)), month)
+        whole = F.when(F.length(year) == 4, year).when(year >= "70", F.concat(F.lit("19"), year)).otherwise(F.concat(F.lit("20"), year))
+        two = lambda x: F.lpad(x.cast("string"), 2, "0")
+        return F.when(text.rlike(pattern) & (number > 0), F.concat(whole, F.lit("-"), two(number), F.lit("-"), two(day), F.lit(" "), F.lpad(time, 8, "0")))
+
+    return let(plain, lambda x: F.coalesce(*[instant(x, *form) for form in DATES], F.nullif(x, F.lit(""))))
 
 
 def merged_headers(stored: Column, sent: Column) -> Column:
@@ -61,6 +81,10 @@ def merged_headers(stored: Column, sent: Column) -> Column:
     return F.map_concat(F.map_filter(stored, lambda k, _: ~F.map_contains_key(fresh, k)), fresh)
 
 
+#: Bytes of headers that partitions bring along from earlier ones, up to which they are broadcast.
+BROUGHT_BYTES = 32 << 20
+
+
 def latest_responses(captures: DataFrame) -> DataFrame:
     """Revisits with ``earlier``, the latest earlier response as (captured, record_id, headers), or null.
 
@@ -82,14 +106,17 @@ def latest_responses(captures: DataFrame) -> DataFrame:
         .groupBy("key", F.col("pid").alias("from"))
         .agg(F.max(place).alias("at"), F.max_by("headers", place).alias("headers"))
     )
-    brought = (
-        tails.join(F.broadcast(first), "key")
-        .where("from < pid")
-        .groupBy("pid", "key")
-        .agg(F.max("at").alias("at"), F.max_by("headers", "at").alias("headers"))
-        .select("pid", "key", F.struct("at.captured", "at.record_id", "headers").alias("far"))
+    # For each partition the last of the tails before it: a key has a row for each partition that it spans, twice at most.
+    row = W.partitionBy("key").orderBy("pid", "tail").rowsBetween(W.unboundedPreceding, -1)
+    marks = first.select("key", "pid", F.lit(0).alias("tail"))
+    marks = tails.select("key", F.col("from").alias("pid"), F.lit(1).alias("tail"), "at", "headers").unionByName(marks, allowMissingColumns=True)
+    held = F.when(F.col("tail") == 1, F.struct("at.captured", "at.record_id", "headers"))
+    brought = checkpointed(
+        marks.withColumn("far", F.last(held, ignorenulls=True).over(row)).where((F.col("tail") == 0) & F.col("far").isNotNull()).select("pid", "key", "far")
     )
-    found = near.join(F.broadcast(brought), ["pid", "key"], "left")
+    # Headers may be of any length: only so many bytes of them are broadcast.
+    size = brought.agg(F.sum(F.octet_length(F.to_json("far.headers")) + F.octet_length("key"))).first()[0] or 0
+    found = near.join(F.broadcast(brought) if size <= BROUGHT_BYTES else brought, ["pid", "key"], "left")
     return found.select("key", "captured", "record_id", "headers", F.coalesce("near", "far").alias("earlier"))
 
 
