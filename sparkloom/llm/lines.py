@@ -25,6 +25,11 @@ MAX_RATIO = 0.02
 MIN_PAGES = 5
 
 
+def _named(column: str) -> Column:
+    """A column by its whole name, which may hold dots."""
+    return F.col(f"`{column}`")
+
+
 def _line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
 
@@ -40,11 +45,11 @@ def host_line_ratios(
 
     With ``distinct`` the copies of a text on a host are one page, in the counts and in the total.
     """
-    site = F.coalesce(F.col(host).cast("string"), F.lit(""))
-    full = F.array_distinct(F.filter(_lines(F.col(text)), lambda x: x.rlike(WORD)))
+    site = F.coalesce(_named(host).cast("string"), F.lit(""))
+    full = F.array_distinct(F.filter(_lines(_named(text)), lambda x: x.rlike(WORD)))
     if distinct:
         # What is shuffled is a text's line keys, and copies in a task are one row before that.
-        copy = F.struct(F.xxhash64(F.col(text)).alias("a"), F.xxhash64(F.lit("text"), F.col(text)).alias("b"))
+        copy = F.struct(F.xxhash64(_named(text)).alias("a"), F.xxhash64(F.lit("text"), _named(text)).alias("b"))
         keyed = docs.select(site.alias("host"), copy.alias("copy"), F.transform(full, _line_key).alias("lines"))
         pages = keyed.groupBy("host", "copy").agg(F.first("lines").alias("lines"))
         found = pages.select("host", F.explode("lines").alias("line"))
@@ -66,11 +71,11 @@ def drop_site_boilerplate(
     distinct: bool = False,
 ) -> DataFrame:
     """``docs`` with ``text`` cleaned, and a struct column ``line_dedup`` of n_lines, n_dropped and dropped_chars."""
-    site = F.coalesce(F.col(host).cast("string"), F.lit(""))
+    site = F.coalesce(_named(host).cast("string"), F.lit(""))
     page = F.struct(
-        F.xxhash64(F.col(key), site, F.col(text)).alias("p"), F.xxhash64(F.col(text), site, F.lit("page"), F.col(key)).alias("q")
+        F.xxhash64(_named(key), site, _named(text)).alias("p"), F.xxhash64(_named(text), site, F.lit("page"), _named(key)).alias("q")
     )
-    full = F.filter(_lines(F.col(text)), lambda x: x.rlike(WORD))
+    full = F.filter(_lines(_named(text)), lambda x: x.rlike(WORD))
     flagged = (
         host_line_ratios(docs, host, text, min_pages, distinct)
         .where(F.col("pages") > max_ratio * F.col("host_pages"))
@@ -86,9 +91,9 @@ def drop_site_boilerplate(
     at, ours, out = (free_name(docs, x) for x in ("_page", "_bad", "line_dedup"))
     joined = docs.withColumn(at, page).join(bad.select(F.col("page").alias(at), F.col("bad").alias(ours)), at, "left")
     dropped = lambda x: F.coalesce(F.array_contains(F.col(ours), _line_key(x)), F.lit(False)) & x.rlike(WORD)
-    lines = _lines(F.col(text))
+    lines = _lines(_named(text))
     gone = F.when(F.col(ours).isNotNull(), F.filter(lines, dropped)).otherwise(F.array().cast("array<string>"))
-    left = F.when(F.col(ours).isNotNull(), F.array_join(F.filter(lines, lambda x: ~dropped(x)), "\n")).otherwise(F.col(text))
+    left = F.when(F.col(ours).isNotNull(), F.array_join(F.filter(lines, lambda x: ~dropped(x)), "\n")).otherwise(_named(text))
     n_lines = F.size(F.filter(lines, lambda x: x.rlike(WORD)))
     joined = joined.withColumn(
         out,

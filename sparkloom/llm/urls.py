@@ -108,7 +108,7 @@ def judge_urls(
     rules: tuple = RULES,
     blocks: int | None = None,
 ) -> DataFrame:
-    """``pages`` with a struct column ``url_verdict``: host, path, rule, verdict, canonical, possible and listed.
+    """``pages`` with a struct column ``url_verdict``: host, path, rule, verdict, canonical and listed.
 
     ``listed`` has a column ``url`` of canonical URLs; ``blocks`` overrides the filter's size, which is counted else.
     """
