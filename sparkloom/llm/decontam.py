@@ -148,7 +148,7 @@ class Matcher:
 
 def item_blocks(items: DataFrame, key: str = "item_id", text: str = "text", chars: int = BLOCK_CHARS) -> Iterator[list]:
     """The items in blocks of about ``chars`` characters, one at a time on the driver."""
-    rows = items.select(F.col(f"`{key}`").cast("long").alias("item"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    rows = items.select(F.col(f"`{key}`").try_cast("long").alias("item"), F.col(f"`{text}`").alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = total // chars + 1
     for k in range(n):
@@ -162,7 +162,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     Places are characters of the normalised text, the passage's start and the place behind its end.
     """
     context = docs.sparkSession.sparkContext
-    narrow = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    narrow = docs.select(F.col(f"`{key}`").try_cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     found = None
     for block in item_blocks(items):
         shipped = context.broadcast(block)
