@@ -27,8 +27,6 @@ CLASSES = BINS + TAILS
 HIDDEN = 12
 EMBED = 10
 WINDOW = 32
-#: In training, a document of more tokens is fed in segments of so many, lest one lane run on alone.
-SEGMENT = 16_384
 #: Lanes of a training shard: one for so many tokens, within limits.
 TOKENS_PER_LANE, LEAST_LANES, MOST_LANES = 8_192, 16, 1_024
 SCORE_LANES = 1_024
@@ -274,7 +272,6 @@ class Adam:
 
 def train(flat: np.ndarray, texts: list[np.ndarray], rate: float) -> tuple[np.ndarray, int]:
     """The model after one pass of Adam over documents of symbols, and the number of tokens."""
-    texts = [x[a : a + SEGMENT] for x in texts for a in range(0, len(x), SEGMENT)]
     lengths = np.array([len(x) for x in texts], np.int64)
     total = int(lengths.sum())
     if not total:

@@ -21,8 +21,8 @@ probability is the sum over the classes. So the probabilities of all words and o
 tail is exact whatever its size.
 
 Defined cases: a null text is empty and has its end token alone; an empty table gives an empty result; a text of any
-length is scored whole (only in training it's fed in segments of ``gru.SEGMENT`` tokens); null and repeated ids are rows
-each (a null id is never held out); without training documents every word is unknown; further columns, whatever their
+length is learnt from and scored whole; null and repeated ids are rows each (a null id is never held out), and an id that
+is no whole number comes back as null; words of equal counts are ranked by their bytes; without training documents every word is unknown; further columns, whatever their
 names, don't matter: the operator returns its own.
 """
 
@@ -54,6 +54,8 @@ SHARD_TOKENS = 8_000_000
 FLUSH_WORDS = 400_000
 CHUNK_TOKENS = 2_000_000
 BLOCKS, SLOTS = 32, 64
+#: Copies of a training document that a task makes at a time.
+COPIES = 256
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 FOLD = bytes.maketrans(UPPER, LOWER)
@@ -219,11 +221,17 @@ def training_shards(encoded: DataFrame, tokens: int, shard_tokens: int = SHARD_T
     """(round, shard, h1, h2, nth, symbols) of the training documents; shards hold about so many tokens.
 
     Copies of a row are told apart by their number among its copies, so that many of them spread over the shards; they
-    are counted first, in each task, and one of them is shuffled.
+    are counted first, in each task, and one of them is shuffled. More than ``COPIES`` of them are dealt out in runs of so
+    many before they are made.
     """
     per_round = math.ceil(tokens / ROUNDS / shard_tokens) or 1
     each = encoded.where("NOT held_out").groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.first("symbols").alias("symbols"))
-    each = each.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    each = stored(each, "lm-distinct")
+    few = each.where(F.col("copies") <= COPIES).withColumn("run", F.lit(0).cast("long"))
+    many = each.where(F.col("copies") > COPIES).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}"))))
+    runs = few.unionByName(many.repartition("h1", "h2", "run"))
+    first = F.col("run") * COPIES + 1
+    each = runs.withColumn("nth", F.explode(F.sequence(first, F.least("copies", first + COPIES - 1))))
     place = F.pmod(F.xxhash64(F.lit("shard"), "h1", "h2", "nth"), F.lit(ROUNDS * per_round))
     return each.select(
         (place % ROUNDS).cast("int").alias("round"), F.floor(place / ROUNDS).cast("int").alias("shard"), "h1", "h2", "nth", "symbols"
@@ -325,7 +333,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = HE
     """Counts, encodes and trains; learns from the rows that aren't held out."""
     k, t = F.col(f"`{key}`"), F.col(f"`{text}`")
     rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"), k.cast("long").alias("doc_id"), held_out(k).alias("held_out"),
+        F.monotonically_increasing_id().alias("rid"), k.try_cast("long").alias("doc_id"), held_out(k).alias("held_out"),
         F.xxhash64(k, t).alias("h1"), F.xxhash64(F.lit("row"), t, k).alias("h2"), t.alias("text"),
     )
     counts = stored(word_counts(rows.where("NOT held_out").select("text")), "word-counts")

@@ -296,6 +296,53 @@ def test_hot_url_spans_partitions(spark):
     assert counts == {"no_response": 3, "resolved": n - 4}
 
 
+def test_dates_of_all_forms_are_one_instant(spark):
+    same = [
+        "Sun, 06 Nov 1994 08:49:37 GMT", "Sunday, 06-Nov-94 08:49:37 GMT", "Sun Nov  6 08:49:37 1994", "Sun, 6 Nov 1994 8:49:37 UTC", "6 nov 1994 08:49:37 +0000",
+    ]
+    others = ["Sun, 06 Nov 1994 08:49:38 GMT", "Sunday, 06-Nov-05 08:49:37 GMT", "no date", "Sun, 06 Foo 1994 08:49:37 GMT", "", None]
+    rows = spark.createDataFrame([(k, {"last-modified": x}) for k, x in enumerate(same + others)], "k int, h map<string,string>")
+    got = [r["d"] for r in rows.select("k", revisits._date(F.col("h")).alias("d")).orderBy("k").collect()]
+    assert got[:5] == ["1994-11-06 08:49:37"] * 5 and got[5:] == ["1994-11-06 08:49:38", "2005-11-06 08:49:37", "no date", "sun, 06 foo 1994 08:49:37 gmt", None, None]
+
+
+@pytest.mark.parametrize("most", [0, 1 << 30])
+def test_headers_brought_along_partitions(spark, monkeypatch, most):
+    monkeypatch.setattr(revisits, "BROUGHT_BYTES", most)
+    n = 3000
+    df = spark.range(n).select(
+        F.col("id").alias("record_id"), F.lit("http://hot.org/a").alias("url"), F.timestamp_seconds("id").alias("captured"),
+        F.when(F.col("id") % 1000 == 5, 200).otherwise(304).alias("status"), F.create_map(F.lit("etag"), (F.col("id") / 1000).cast("int").cast("string")).alias("headers"), F.lit(None).cast("string").alias("body"),
+    )
+    for r in revisits.resolve_revisits(df).collect():
+        i = r["record_id"]
+        want = None if i < 5 else (i - 5) // 1000 * 1000 + 5
+        assert r["response_id"] == want and r["reason"] == ("no_response" if want is None else "resolved" if want // 1000 == i // 1000 else "validator_mismatch")
+
+
+def test_text_ids_and_dotted_names(spark):
+    text = "a passage of the benchmark that is long enough to be matched by edits"
+    rows = spark.createDataFrame([("x7", text), ("8", "other words")], "doc_id string, text string")
+    items = spark.createDataFrame([("i1", text)], "item_id string, text string")
+    assert [(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.benchmark_hits(rows, items).collect()] == [(None, None, 0)]
+    assert [r["doc_id"] for r in decontam.drop_contaminated(rows, items).collect()] == ["8"]
+    scored = {r["doc_id"]: r["n_tokens"] for r in lm.score_documents(rows).collect()}
+    assert scored == {None: 15, 8: 3}
+    dotted = spark.createDataFrame([(f"d{i}", "menu\nown " + str(i), "h") for i in range(9)], "`doc.id` string, `page.text` string, `site.host` string")
+    out = lines.drop_site_boilerplate(dotted, "site.host", "page.text", "doc.id").collect()
+    assert sorted(r["page.text"] for r in out) == [f"own {i}" for i in range(9)]
+
+
+def test_copies_are_dealt_out_before_they_are_made(spark, monkeypatch):
+    monkeypatch.setattr(lm, "COPIES", 10)
+    rows = spark.createDataFrame([(i, False, 1, 2, bytearray(b"ab")) for i in range(95)] + [(99, False, 3, 4, bytearray(b"cd"))], "rid long, held_out boolean, h1 long, h2 long, symbols binary")
+    made = lm.training_shards(rows, 100)
+    found = made.collect()
+    assert sorted(r["nth"] for r in found if r["h1"] == 1) == list(range(1, 96)) and sum(r["h1"] == 3 for r in found) == 1
+    assert made.where("h1 = 1").select(F.spark_partition_id()).distinct().count() > 2
+    assert len({(r["round"], r["shard"]) for r in found}) == lm.ROUNDS
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     flat = gru.initial(rng.integers(1, 99, gru.SYMBOLS).astype(float)) + rng.normal(0, 0.05, gru.SIZE).astype(np.float32)
