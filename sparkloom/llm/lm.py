@@ -229,7 +229,9 @@ def training_shards(encoded: DataFrame, tokens: int, shard_tokens: int = SHARD_T
     each = stored(each, "lm-distinct")
     few = each.where(F.col("copies") <= COPIES).withColumn("run", F.lit(0).cast("long"))
     many = each.where(F.col("copies") > COPIES).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}"))))
-    runs = few.unionByName(many.repartition("h1", "h2", "run"))
+    # With a number of partitions, as adaptive execution would join runs by their size before copies are made.
+    n = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = few.unionByName(many.repartition(n, "h1", "h2", "run"))
     first = F.col("run") * COPIES + 1
     each = runs.withColumn("nth", F.explode(F.sequence(first, F.least("copies", first + COPIES - 1))))
     place = F.pmod(F.xxhash64(F.lit("shard"), "h1", "h2", "nth"), F.lit(ROUNDS * per_round))
