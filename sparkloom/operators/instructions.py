@@ -180,11 +180,22 @@ def span_row(sequence: Column, start: Column, length: Column, policy: Column, in
     return F.struct(asked.alias("instruction"), given.alias("input"), output.alias("output"), leaks.alias("leaks"))
 
 
-def span_row_faults(instruction: Column, given: Column, output: Column, start: Column, end: Column, length: Column) -> Column:
-    """Names of the invariants that a span row breaks."""
+def span_row_faults(
+    instruction: Column, given: Column, output: Column, start: Column, end: Column, length: Column, original: Column | None = None
+) -> Column:
+    """Names of the invariants that a span row breaks, against its ``original`` sequence too if that's given and not null."""
     marks = F.regexp_extract_all(given, F.lit(r"<MASK_(\d+)>"), F.lit(1))
     left, right, partial = (F.coalesce(input_field(given, k), F.lit("")) for k in ("left_flank", "right_flank", "partial_sequence"))
 
+    def of_original(whole: Column) -> dict[str, Column]:
+        given_too = lambda fault: original.isNotNull() & fault
+        return {
+            "outside_original": given_too(~((start >= 0) & (start < end) & (end <= F.length(whole)))),
+            "original_output": given_too(F.substr(whole, start + 1, end - start) != output),
+            "original_left": given_too(~F.endswith(F.substr(whole, F.lit(1), start), left)),
+            "original_right": given_too(~F.startswith(F.substr(whole, end + 1), right)),
+        }
+
     def of(found: Column) -> Column:
         checks = {
             "instruction": F.trim(instruction) == "", "input": F.trim(given) == "", "output": F.trim(output) == "",
@@ -193,6 +204,8 @@ def span_row_faults(instruction: Column, given: Column, output: Column, start: C
             "partial": partial != F.concat(left, F.lit("<MASK_"), length.cast("string"), F.lit(">"), right),
             "leak": F.contains(F.concat(instruction, F.lit("; input "), given), output),
         }
+        if original is not None:
+            checks |= of_original(compact(original))
         return F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(True)), F.lit(k)) for k, v in checks.items()]))
 
     return let(marks, of)

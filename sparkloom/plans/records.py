@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import annotations, artifacts, instructions
 from ..operators.matching import Rule
 from ..operators.ordered import numbered
-from ..operators.storage import scratch_path
+from ..operators.storage import scratch_path, stored
 from ..sources import flatfiles
 from ..sources.sequences import read_json_lines
 from .registry import query, table
@@ -72,7 +72,8 @@ def genbank_features(spark, sf_dir):
 
 
 def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = flatfiles.read_genbank(spark, _genbank(spark, sf_dir))
+    # Parsed once, and stored: features and sequences are two readings of it.
+    found = stored(flatfiles.read_genbank(spark, _genbank(spark, sf_dir)), "genbank")
     features = found.select(F.col("accession").alias("sequence_id"), "pos", F.posexplode("features").alias("n", "f"))
     features = features.select("sequence_id", F.struct("pos", "n").alias("pos"), "f.*")
     return features, found.select(F.col("accession").alias("sequence_id"), "organism", "sequence")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import kmers, padding, stream
+from ..operators import kmers, padding, stream, vocabulary
 from ..operators.storage import scratch_path
 from .registry import query, table
 
@@ -54,3 +54,17 @@ def merged_vocabulary(spark, sf_dir):
         more = kmers.kmer_state(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == k), "doc_id", "t", 2)
         state = more if state is None else kmers.merged(state, more)
     return state.select("kmer", "n").join(kmers.numbered_kmers(state, 4), "kmer").select("kmer", "n", "id")
+
+
+#: Parameter: letters and words of a vocabulary that is given.
+GIVEN = vocabulary.Vocabulary.of("abcdefghijklmnopqrstuvwxyz .,", ("the ", "and ", "ing", "ion", "en ", "er ", "de ", "es ", "st", "th"))
+
+
+@query("""SELECT doc_id, md5(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z.,]+', ' ', 'g'))) AS decoded_md5, TRUE AS fewer FROM documents""")
+def coded_documents(spark, sf_dir):
+    """Documents as ids of a given vocabulary with merges, and decoded again."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z.,]+", " "))
+    rows = table(spark, sf_dir, "documents").select("doc_id", plain.alias("t"))
+    coded = rows.select("doc_id", F.length("t").alias("n"), vocabulary.encoded(F.col("t"), GIVEN, bos=True, eos=True).alias("ids"))
+    back = vocabulary.decoded(F.col("ids"), GIVEN, skip_special=True)
+    return coded.select("doc_id", F.md5(back).alias("decoded_md5"), (F.size("ids") <= F.col("n") + 2).alias("fewer"))
