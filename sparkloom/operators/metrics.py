@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+from .storage import stored
+
 
 def lenient_number(text: Column, kind: str = "double") -> Column:
     """A number from text; ``nan``, ``none`` and blank are NaN (0 for whole numbers), as is what is no number."""
@@ -61,26 +63,33 @@ def token_accuracy(rows: DataFrame, predicted: str, labels: str, loss: str, igno
 def smoothed(rows: DataFrame, series: str, order: str, value: str, median: int = 21, mean: int = 7) -> DataFrame:
     """``rows`` (series, order, value) with ``smooth``: a centred moving median, then a centred moving mean.
 
-    Windows that reach over an end are filled up with the value there. A series has a row for each step at most, so one
-    task can take it; sum up longer ones by step first.
+    Windows that reach over an end are filled up with the value there; ``order`` is unique within a series. Steps are
+    numbered over ranges, and each meets the steps of its window by their numbers, so a series of any length is spread
+    over tasks.
     """
+    n = rows.groupBy(series).agg(F.count("*").cast("long").alias("_n"))
+    k = numbered(rows.select(series, order, F.col(value).cast("double").alias("_v")), [series], [order], "_k")
+    a, b = k.alias("a"), n.alias("b")
+    steps = stored(a.join(b, F.col(f"a.{series}").eqNullSafe(F.col(f"b.{series}"))).select(F.col(f"a.{series}").alias("_s"), order, "_k", "_n", "_v"), "steps")
 
-    def window(source: DataFrame, name: str, width: int, out: str, of) -> DataFrame:
+    def window(source: DataFrame, width: int, of) -> DataFrame:
+        """(_s, _k, _n, _v) with the value that ``of`` makes of each window's values, in order."""
         half = width // 2
-        all_ = W.partitionBy(series).orderBy(order)
-        near = all_.rowsBetween(-half, half)
-        whole = W.partitionBy(series).orderBy(order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        k, n = F.row_number().over(all_) - 1, F.count("*").over(W.partitionBy(series))
-        missing = lambda c: F.greatest(F.lit(0), F.lit(half) - c).cast("int")
-        made = source.withColumns({
-            "_v": F.collect_list(name).over(near), "_a": missing(k), "_b": missing(n - 1 - k), "_first": F.first(name).over(whole), "_last": F.last(name).over(whole),
-        })
-        filled = F.concat(F.array_repeat("_first", F.col("_a")), F.col("_v"), F.array_repeat("_last", F.col("_b")))
-        return made.withColumn(out, of(filled)).drop("_v", "_a", "_b", "_first", "_last")
-
-    middle = window(rows, value, median, "_median", lambda v: F.get(F.array_sort(v), F.lit(median // 2)))
-    done = window(middle, "_median", mean, "smooth", lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / mean)
-    return done.drop("_median")
+        offsets = F.explode(F.sequence(F.lit(-half), F.lit(half)))
+        asked = source.select("_s", "_k", "_n", offsets.alias("_o"))
+        asked = asked.select("*", F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.col("_k") + F.col("_o"))).alias("_at"))
+        held = source.select(F.col("_s").alias("_t"), F.col("_k").alias("_j"), "_v")
+        met = asked.join(held, F.col("_s").eqNullSafe(F.col("_t")) & (F.col("_at") == F.col("_j")))
+        gathered = met.groupBy("_s", "_k", "_n").agg(F.array_sort(F.collect_list(F.struct("_o", "_v"))).alias("w"))
+        return gathered.select("_s", "_k", "_n", of(F.transform("w", lambda x: x["_v"])).alias("_v"))
+
+    middle = window(steps.drop(order), median, lambda v: F.get(F.array_sort(v), F.lit(median // 2)))
+    done = window(middle, mean, lambda v: F.aggregate(v, F.lit(0.0), lambda x, y: x + y) / mean)
+    c, d = steps.select("_s", order, "_k").alias("c"), done.alias("d")
+    smooth = c.join(d, F.col("c._s").eqNullSafe(F.col("d._s")) & (F.col("c._k") == F.col("d._k"))).select("c._s", f"c.{order}", F.col("d._v").alias("smooth"))
+    e, f = rows.alias("e"), smooth.alias("f")
+    on = F.col(f"e.{series}").eqNullSafe(F.col("f._s")) & F.col(f"e.{order}").eqNullSafe(F.col(f"f.{order}"))
+    return e.join(f, on).select(*[F.col(f"e.{x}") for x in rows.columns], "smooth")
 
 
 def steps_for(budget: Column, per_step: Column, least: int, most: int) -> Column:

@@ -87,7 +87,8 @@ def raw_index_rows(spark, sf_dir):
     objects = rows.groupBy(F.expr("c_custkey div 10").alias("g")).agg(F.array_join(F.collect_list(text('"acc', key, '": ', entry)), ", ").alias("e"))
     folder = scratch_path(spark, "index")
     objects.select(text("{", F.col("e"), "}").alias("value"), "g").repartition(8, "g").write.partitionBy("g").text(folder)
-    return files.read_json_object(spark, folder).select(F.col("key").alias("accession"), F.expr("variant_get(value, '$.sequence', 'string')").alias("sequence"))
+    found = archives.read_objects(spark, folder, "part-*")
+    return found.select(F.col("key").alias("accession"), F.get_json_object("value", "$.sequence").alias("sequence"))
 
 
 @query("SELECT n_nationkey, n_name AS title, 'one' || chr(10) || 'two ' || n_nationkey AS notes, 'Body of ' || n_name AS body FROM nation")
@@ -162,13 +163,13 @@ def catalog_lines(spark, sf_dir):
     return rows.select("s_suppkey", datasets.catalog_csv(rows).alias("line"))
 
 
-@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents WHERE text IS NOT NULL),
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents),
 s AS (SELECT doc_id, t, greatest(len(t) - 65, 0) AS last FROM w), x AS (SELECT DISTINCT doc_id, len(t) AS n, unnest(list_concat(range(0, last + 1, 64), [last])) AS st FROM s)
 SELECT doc_id, count(*) AS windows, sum(least(n - st, 65))::BIGINT AS tokens FROM x GROUP BY 1""")
 def streamed_windows(spark, sf_dir):
     """Training windows cut while documents stream in, and summed up by document."""
     path = f"{sf_dir}/documents.parquet"
-    rows = batches.file_stream(spark, path, spark.read.parquet(path).schema).where("text IS NOT NULL").select("doc_id", T.words(F.col("text")).alias("t"))
+    rows = batches.file_stream(spark, path, spark.read.parquet(path).schema).select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("t"))
     cut = rows.select("doc_id", F.explode(tokens.windows(F.col("t"), 64, 64)).alias("w")).select("doc_id", F.size("w.tokens").alias("n"))
     to = scratch_path(spark, "stream-windows")
     out = batches.run_to_end(cut, f"{to}/rows", f"{to}/state")

@@ -453,4 +453,4 @@ def stream_dedupe(spark, sf_dir):
     path = f"{sf_dir}/documents.parquet"
     rows = batches.file_stream(spark, path, spark.read.parquet(path).schema).select(F.md5("text").alias("text_md5"))
     to = scratch_path(spark, "stream-dedupe")
-    return batches.run_to_end(batches.first_seen(rows, ["text_md5"]), f"{to}/rows", f"{to}/state")
+    return batches.first_seen_stored(rows, ["text_md5"], f"{to}/rows", f"{to}/state")

@@ -14,6 +14,7 @@ import codecs
 import contextlib
 import fnmatch
 import io
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -195,3 +196,123 @@ def blocks(archives: DataFrame) -> DataFrame:
 def states(archives: DataFrame) -> DataFrame:
     """(path, records, truncated, dropped) of each file."""
     return archives.where("value IS NULL").select("path", F.col("n").alias("records"), "truncated", "dropped")
+
+
+OBJECT_SCHEMA = "path string, key string, value string"
+
+
+def entries(stream: Iterator[str]) -> Iterator[tuple[str, str]]:
+    """(key, JSON text of the value) of the JSON object that pieces of text make up, one at a time.
+
+    An empty text and one that isn't an object have none; an object that breaks off or isn't JSON is an error.
+    """
+    decoder, held, at, more = json.JSONDecoder(), "", 0, True
+
+    def fill() -> bool:
+        """Take up more text; what lies before ``at`` is done with."""
+        nonlocal held, at, more
+        piece = next(stream, None)
+        if piece is None:
+            more = False
+            return False
+        held, at = held[at:] + piece, 0
+        return True
+
+    def token() -> str:
+        """The next character that isn't white space; empty at the end."""
+        nonlocal at
+        while True:
+            while at < len(held) and held[at] in " \t\r\n\ufeff":
+                at += 1
+            if at < len(held) or not fill():
+                return held[at : at + 1]
+
+    def value() -> tuple[object, str]:
+        nonlocal at
+        token()
+        while True:
+            try:
+                found, end = decoder.raw_decode(held, at)
+            except ValueError:
+                if not fill():
+                    raise
+                continue
+            # A number may go on in the next piece.
+            if (end == len(held) or held[end] in ".eE") and more and fill():
+                continue
+            text = held[at:end]
+            at = end
+            return found, text
+
+    if token() != "{":
+        return
+    at += 1
+    if token() == "}":
+        return
+    while True:
+        key, _ = value()
+        if not isinstance(key, str) or token() != ":":
+            raise ValueError("a key and a colon are expected")
+        at += 1
+        _, text = value()
+        yield key, text
+        mark = token()
+        at += 1
+        if mark == "}":
+            return
+        if mark != ",":
+            raise ValueError("a comma or the object's end is expected")
+
+
+class ObjectReader(ArchiveReader):
+    """The entries of one JSON object in each file, whose values are objects; the file is never held as a whole."""
+
+    def read(self, partition: Archive | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return
+        system, _ = fs.FileSystem.from_uri(self.root)
+        names = [x.split()[0] for x in OBJECT_SCHEMA.split(", ")]
+
+        def batch(rows: list) -> pa.RecordBatch:
+            columns = [[partition.value] * len(rows), *map(list, zip(*rows, strict=True))]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=names)
+
+        def pieces(raw) -> Iterator[str]:
+            decoder = codecs.getincrementaldecoder("utf-8")()
+            while data := raw.read(CHUNK):
+                yield decoder.decode(data)
+            yield decoder.decode(b"", final=True)
+
+        held, chars = [], 0
+        with system.open_input_stream(partition.value) as raw:
+            for key, value in entries(pieces(raw)):
+                if not value.startswith("{"):
+                    continue
+                held.append((key, value))
+                chars += len(value)
+                if chars >= BATCH_CHARS:
+                    yield batch(held)
+                    held, chars = [], 0
+        if held:
+            yield batch(held)
+
+
+class ObjectSource(ArchiveSource):
+    @classmethod
+    def name(cls) -> str:
+        return "json-objects"
+
+    def schema(self) -> str:
+        return OBJECT_SCHEMA
+
+    def reader(self, schema) -> ObjectReader:
+        return ObjectReader(self.options)
+
+
+def read_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, key, value) of the JSON object in each file, values as JSON texts; values that aren't objects go.
+
+    Of equal keys in a file all come, in no order; a task holds an entry and a batch of rows at a time.
+    """
+    spark.dataSource.register(ObjectSource)
+    return spark.read.format("json-objects").option("path", path).option("pattern", pattern).load()

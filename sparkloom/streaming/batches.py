@@ -33,6 +33,28 @@ def first_seen(rows: DataFrame, keys: list[str], time: str | None = None, delay:
     return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def first_seen_stored(rows: DataFrame, keys: list[str], out: str, checkpoint: str) -> DataFrame:
+    """The first row of each key, kept in a table: what a batch adds are its keys that no earlier batch has.
+
+    The state is that table and not the stream's memory, so that keys never need be forgotten. A batch that is done again
+    replaces itself, and looks only at the batches before it.
+    """
+    spark, schema = rows.sparkSession, rows.schema
+    kept = StructType([*schema.fields, StructField("batch", LongType())])
+
+    def append(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates(keys)
+        if number:
+            before = spark.read.schema(kept).parquet(out).where(F.col("batch") < number).select(*keys)
+            a, b = fresh.alias("a"), before.alias("b")
+            fresh = a.join(b, [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys], "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(kept).parquet(out).drop("batch")
+
+
 def run_to_end(rows: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Works through what there is and reads the result; a restart goes on from the checkpoint."""
     query = (

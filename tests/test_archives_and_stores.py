@@ -1,6 +1,7 @@
 """Damaged archives, line numbers, batches of text, and a store with several writers."""
 
 import gzip
+import json
 import random
 import threading
 
@@ -218,3 +219,47 @@ def test_queries_over_written_files(spark, same_as_sql):
         from conftest import DATA
 
         same_as_sql(QUERIES[name](spark, DATA), SQL[name])
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_entries_of_pieces_of_any_size(size):
+    made = {"a": {"x": [1, {"y": "}\"{"}]}, "b": 12345, "ü": {}, "c": -1.5e10, "d": None, "e": {"long": "z" * 50}, "": {"n": True}}
+    for text in (json.dumps(made), json.dumps(made, indent=3, ensure_ascii=False)):
+        cut = iter([text[i : i + size] for i in range(0, len(text), size)])
+        assert {k: json.loads(v) for k, v in archives.entries(cut)} == made
+    for text in ("", "  ", "{}", "[1]", "3", '"x"'):
+        assert list(archives.entries(iter(text))) == []
+    for text in ('{"a": {}', '{"a" 1}', '{"a": 1 "b": 2}', '{1: 2}', '{"a": {"b": ]}}'):
+        with pytest.raises(ValueError):
+            list(archives.entries(iter(text)))
+
+
+def test_objects_of_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({f"k{i}": {"sequence": "M" * (i % 50)} if i % 3 else i for i in range(3000)}))
+    (tmp_path / "b.json").write_text("")
+    rows = archives.read_objects(spark, str(tmp_path), "*.json").collect()
+    assert sorted(r["key"] for r in rows) == sorted(f"k{i}" for i in range(3000) if i % 3)
+    assert archives.read_objects(spark, f"{tmp_path}/b.json").count() == 0
+
+
+def test_first_seen_in_a_table(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 7 if i % 5 else None, i) for i in range(60)], "k int, v int")
+    rows.repartition(4, "v").write.parquet(f"{tmp_path}/feed")
+    stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/feed")
+    done = batches.first_seen_stored(stream(), ["k"], f"{tmp_path}/out", f"{tmp_path}/state")
+    assert sorted((r["k"] is not None, r["k"] or 0) for r in done.collect()) == [(False, 0)] + [(True, k) for k in range(7)]
+    spark.createDataFrame([(3, 1), (99, 1)], rows.schema).write.mode("append").parquet(f"{tmp_path}/feed")
+    again = batches.first_seen_stored(stream(), ["k"], f"{tmp_path}/out", f"{tmp_path}/state")
+    assert again.count() == 9 and again.where("k = 99").count() == 1
+
+
+def test_a_long_series_is_smoothed(spark):
+    from sparkloom.operators import metrics
+
+    rng = random.Random(3)
+    rows = [("s", i, rng.random()) for i in range(400)] + [(None, 7, 1.0)]
+    got = {(r["s"], r["t"]): r["smooth"] for r in metrics.smoothed(spark.createDataFrame(rows, "s string, t int, v double"), "s", "t", "v", 5, 3).collect()}
+    v = [x for s, _, x in rows if s]
+    at = lambda values, i: values[max(0, min(len(values) - 1, i))]
+    middle = [sorted(at(v, i + o) for o in range(-2, 3))[2] for i in range(400)]
+    assert got == {("s", i): pytest.approx(sum(at(middle, i + o) for o in (-1, 0, 1)) / 3) for i in range(400)} | {(None, 7): 1.0}
