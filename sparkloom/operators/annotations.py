@@ -149,10 +149,10 @@ def top_annotations(audit: DataFrame, status: Column, k: int, pos: str = "pos")
     return counts.orderBy(F.desc("n"), "first").limit(k).drop("first")
 
 
-# Fixed values: (part of the field's text, label) of the structural labels, by field and in order.
+# Fixed values: (parts of the field's text, label) of the structural labels, by field and in order.
 GENOME_LABELS = (
-    ("plasmid", "plasmid sequence"), ("chromosome", "chromosome sequence"), ("mitochond", "mitochondrial sequence"),
-    ("chloroplast|plastid", "plastid sequence"), ("segment", "segmented genome sequence"),
+    (("plasmid",), "plasmid sequence"), (("chromosome",), "chromosome sequence"), (("mitochond",), "mitochondrial sequence"),
+    (("chloroplast", "plastid"), "plastid sequence"), (("segment",), "segmented genome sequence"),
 )
 OTHER_LABELS = (
     ("completeness", "complete", "complete sequence"), ("completeness", "partial", "partial sequence"),
@@ -166,16 +166,16 @@ STRUCTURE = ("biomol", "moltype", "genome", "completeness", "topology")
 def structural_labels(metadata: Column, kind: Column) -> Column:
     """Labels that follow from the fields of a record's structure, distinct and in order; ``kind`` names the last one."""
     value = {k: F.coalesce(F.lower(F.trim(metadata[k])), F.lit("")) for k in STRUCTURE}
-    has = lambda text, part: reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in part.split("|")])
+    has = lambda text, *parts: reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts])
     signal = F.array_join(F.filter(F.array(*value.values()), lambda v: v != ""), " ")
 
     def labels(s: Column) -> Column:
-        genomic = has(value["genome"], "genome|genomic") | has(value["biomol"], "genomic") | has(value["moltype"], "genomic")
-        named = [F.when(has(value["genome"], p), label) for p, label in GENOME_LABELS] + [F.when(genomic, "genomic sequence")]
+        genomic = has(value["genome"], "genome", "genomic") | has(value["biomol"], "genomic") | has(value["moltype"], "genomic")
+        named = [F.when(has(value["genome"], *ps), label) for ps, label in GENOME_LABELS] + [F.when(genomic, "genomic sequence")]
         named += [F.when(has(value[field], p), label) for field, p, label in OTHER_LABELS]
         named += [F.when(has(s, p), label) for p, label in MOLECULES]
         named += [F.when(has(s, "genomic dna"), "genomic DNA sequence").when(has(s, "dna"), "DNA sequence")]
-        plain_rna = has(s, "rna") & ~has(s, "mrna|rrna|trna")
+        plain_rna = has(s, "rna") & ~has(s, "mrna", "rrna", "trna")
         last = F.when(kind == "dna", "DNA sequence").when(kind == "rna", "RNA sequence").otherwise("protein sequence")
         return F.array_distinct(F.array_compact(F.array(*named, F.when(plain_rna, "RNA sequence"), last)))
 

@@ -54,7 +54,7 @@ def write_train_text(rows: DataFrame, path: str, parts: int, append: bool = Fals
     Each call writes a folder ``batch=00000000``, ``batch=00000001``, .. below ``path``; ``train_text`` reads them in order.
     A batch that a failure has left without ``_SUCCESS`` is written anew.
     """
-    bad = F.raise_error(F.concat(F.lit("a field can't be tagged: "), F.col("accession"))).cast("string")
+    bad = F.raise_error(F.concat(F.lit("a field can't be tagged: "), F.col("accession").cast("string"))).cast("string")
     line = F.when(instructions.field_faults(F.col("profile")) | instructions.field_faults(F.col("sequence")), bad)
     made = rows.select("accession", line.otherwise(instructions.train_line(F.col("profile"), F.col("sequence"))).alias("line"))
     ordered = made.repartitionByRange(parts, "accession").sortWithinPartitions("accession")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import incremental
+from ..operators import incremental, ordered, sessions
+from ..operators.storage import scratch_path
+from ..operators.vocabulary import Vocabulary
 from .queries import NORMAL
 from .records import text
 from .registry import query, table
@@ -51,3 +53,27 @@ def wanted_versions(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     versions = orders.where("o_orderstatus <> 'P'").select("o_orderkey", F.col("o_orderstatus").alias("v"))
     return incremental.wanted_versions(orders.where("o_orderkey % 3 = 0"), orders.where("o_orderkey % 2 = 0"), versions, "o_orderkey")
+
+
+LETTERS = "ACDEFGHIKLMNPQRSTVWYX"
+
+
+@query("""WITH p AS (SELECT 'P' || p_partkey AS accession, p_partkey AS k, upper(translate(md5(p_name), '0123456789', 'GHIKLMNPQR')) AS s FROM part WHERE p_partkey % 5 <> 0)
+SELECT row_number() OVER (ORDER BY k DESC) - 1 AS place, md5(replace(s, 'B', 'X')) AS sequence_md5, 34 AS n_ids FROM p""")
+def session_rows(spark, sf_dir):
+    """A preparation session in the order asked for, saved as a training set, loaded and encoded."""
+    key = F.col("p_partkey").cast("string")
+    letters = F.replace(F.upper(F.translate(F.md5("p_name"), "0123456789", "GHIKLMNPQR")), F.lit("B"), F.lit("X"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("P"), key).alias("a"), letters.alias("s"), "p_name")
+    folder, out = scratch_path(spark, "session"), scratch_path(spark, "training-set")
+    entry = F.to_json(F.struct((F.col("p_partkey") % 5 != 0).alias("included_in_current_dataset"), F.col("s").alias("sequence"), F.col("p_name").alias("description")))
+    member = F.concat(F.lit('"'), F.col("a"), F.lit('": '), entry)
+    groups = parts.groupBy(F.expr("p_partkey div 100").alias("g")).agg(F.array_join(F.collect_list(member), ", ").alias("m"))  # 100 entries a file
+    groups.select(F.concat(F.lit("{"), F.col("m"), F.lit("}")).alias("value"), "g").repartition(8, "g").write.partitionBy("g").text(f"{folder}/raw_index.json")
+    parts.repartitionByRange(4, F.desc("p_partkey")).sortWithinPartitions(F.desc("p_partkey")).select("a").write.text(f"{folder}/accessions.txt")
+    records = sessions.session_records(sessions.read_session(spark, folder), "parts", [])
+    profiles = Vocabulary.of("".join(map(chr, range(32, 127))), ("task ", "sequence "), kind="profile")
+    sessions.save_training_set(records, out, profiles, Vocabulary.of(LETTERS))
+    loaded = sessions.load_training_set(spark, out)
+    numbered = ordered.numbered(loaded.rows(spark), [], ["pos"], "place")
+    return loaded.encoded(numbered).select("place", F.md5("sequence").alias("sequence_md5"), F.size("sequence_ids").alias("n_ids"))

@@ -198,7 +198,7 @@ def states(archives: DataFrame) -> DataFrame:
     return archives.where("value IS NULL").select("path", F.col("n").alias("records"), "truncated", "dropped")
 
 
-OBJECT_SCHEMA = "path string, key string, value string"
+OBJECT_SCHEMA = "path string, n bigint, key string, value string"
 
 
 def entries(stream: Iterator[str]) -> Iterator[tuple[str, str]]:
@@ -275,7 +275,8 @@ class ObjectReader(ArchiveReader):
 
         def batch(rows: list) -> pa.RecordBatch:
             columns = [[partition.value] * len(rows), *map(list, zip(*rows, strict=True))]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=names)
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         def pieces(raw) -> Iterator[str]:
             decoder = codecs.getincrementaldecoder("utf-8")()
@@ -285,10 +286,10 @@ class ObjectReader(ArchiveReader):
 
         held, chars = [], 0
         with system.open_input_stream(partition.value) as raw:
-            for key, value in entries(pieces(raw)):
+            for n, (key, value) in enumerate(entries(pieces(raw))):
                 if not value.startswith("{"):
                     continue
-                held.append((key, value))
+                held.append((n, key, value))
                 chars += len(value)
                 if chars >= BATCH_CHARS:
                     yield batch(held)
@@ -310,9 +311,9 @@ class ObjectSource(ArchiveSource):
 
 
 def read_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, key, value) of the JSON object in each file, values as JSON texts; values that aren't objects go.
+    """(path, n, key, value) of the JSON object in each file, values as JSON texts; values that aren't objects go.
 
-    Of equal keys in a file all come, in no order; a task holds an entry and a batch of rows at a time.
+    ``n`` numbers a file's entries from 0, repeated keys included. A task holds an entry and a batch of rows at a time.
     """
     spark.dataSource.register(ObjectSource)
     return spark.read.format("json-objects").option("path", path).option("pattern", pattern).load()
