@@ -246,29 +246,39 @@ def best_span(sequence: str, width: int, flank: int) -> tuple[int, float] | None
     n = len(codes)
     if n < width:
         return None
-    starts = np.arange(n - width + 1)
-    whole = lambda flags: np.concatenate([[0], np.cumsum(flags)])
-    inside = lambda flags, low, high: (c := whole(flags))[high] - c[low]
-    letters = [codes == ord(x) for x in STANDARD]
-    standard = np.logical_or.reduce(letters)
-    good = inside(standard, starts, starts + width) == width
+    # One bit for each standard residue; others have none.
+    table = np.zeros(int(codes.max()) + 1, np.int64)
+    for k, letter in enumerate(STANDARD):
+        if ord(letter) < len(table):
+            table[ord(letter)] = 1 << k
+    bits = table[codes]
+    odd = np.concatenate([[0], np.cumsum(bits == 0)])
+    starts = np.flatnonzero(odd[width:] == odd[:-width])
+    if not len(starts):
+        return None
     # Again elsewhere: the first or the last equal window lies a width away or more.
-    same = equal_windows(codes, width)
-    first, last = np.full(same.max() + 1, n), np.full(same.max() + 1, -1)
-    np.minimum.at(first, same, starts)
-    np.maximum.at(last, same, starts)
-    good &= (first[same] > starts - width) & (last[same] < starts + width)
+    order = np.argsort(same := equal_windows(codes, width)[starts], kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]]))
+    group = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(order))))
+    first, last = starts[order[edge]], starts[order[np.append(edge[1:], len(order)) - 1]]
+    good = np.zeros(len(starts), bool)
+    good[order] = (first[group] > starts[order] - width) & (last[group] < starts[order] + width)
+    starts = starts[good]
     # Again across the seam of both sides: k characters before the span and width - k behind it.
     for k in range(1, width):
         at = starts[(starts >= k) & (starts + 2 * width - k <= n)]
-        before = inside(codes[: n - k] == codes[k:], at - k, at) == k
-        d = width - k
-        behind = inside(codes[: n - d] == codes[d:], at + k, at + width) == d
-        good[at[before & behind]] = False
-    starts = starts[good]
+        for j in range(k):
+            at = at[codes[at - k + j] == codes[at + j]]
+        for j in range(width - k):
+            at = at[codes[at + width + j] == codes[at + k + j]]
+        if len(at):
+            starts = np.setdiff1d(starts, at, assume_unique=True)
     if not len(starts):
         return None
-    variety = sum((inside(x, starts, starts + width) > 0).astype(np.int64) for x in letters) / float(min(20, width))
+    seen = np.zeros(len(starts), np.int64)
+    for k in range(width):
+        seen |= bits[starts + k]
+    variety = np.bitwise_count(seen) / float(min(20, width))
     change = np.concatenate([[True], codes[1:] != codes[:-1]])
     since = np.arange(n) - np.maximum.accumulate(np.where(change, np.arange(n), 0)) + 1
     run = np.zeros(len(starts), np.int64)

@@ -18,17 +18,33 @@ from .ordered import numbered
 
 #: Characters of texts that are counted together; a longer text is taken alone.
 SLICE = 1 << 21
+#: Entries of a table of counts; k-mers of more kinds than that are sorted.
+TABLE = 1 << 22
+
+
+def letter_ranks(codes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Code points as numbers from 0 in their order, and how many there are."""
+    there = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    there[codes] = True
+    return (np.cumsum(there) - 1)[codes], int(there.sum())
+
+
+def packed_windows(rank: np.ndarray, base: int, width: int) -> np.ndarray:
+    """Each window's letters as the digits of one number; ``base ** width`` must fit into 62 bits."""
+    n = len(rank) - width + 1
+    found = np.zeros(n, np.int64)
+    for k in range(width):
+        found *= base
+        found += rank[k : n + k]
+    return found
 
 
 def equal_windows(codes: np.ndarray, width: int) -> np.ndarray:
     """For each window of ``width`` codes a number that equal windows share."""
-    letters, rank = np.unique(codes, return_inverse=True)
-    rank, size, base = rank.astype(np.int64), 1, len(letters)
-    if float(base) ** width < 2.0**62:  # the window's letters as the digits of one number
-        found = np.zeros(len(rank) - width + 1, np.int64)
-        for k in range(width):
-            found = found * base + rank[k : len(rank) - width + 1 + k]
-        return np.unique(found, return_inverse=True)[1]
+    rank, base = letter_ranks(codes)
+    if float(base) ** width < 2.0**62:
+        return packed_windows(rank, base, width)
+    size = 1
     while size < width:  # ranks of windows of doubled length
         step = min(size, width - size)
         pairs = rank[: len(rank) - step] * (int(rank.max(initial=0)) + 1) + rank[step:]
@@ -62,12 +78,19 @@ def count_slice(keys: list, texts: list[str], k: int) -> tuple[list[str], np.nda
     if not len(starts):
         return [], np.empty(0, np.int64), [], np.empty(0, np.int64)
     same = equal_windows(codes, k)[starts]
-    # Rows of one key count as one place after the other, whichever of them comes first.
-    key_rank = np.cumsum([0, *(a != b for a, b in zip(keys, keys[1:]))])
-    found = np.lexsort((at[starts], key_rank[row[starts]], same))
-    new = np.concatenate([[True], same[found][1:] != same[found][:-1]])
-    first = starts[found[new]]
-    counts = np.diff(np.append(np.flatnonzero(new), len(found)))
+    if len(set(keys)) < len(keys):
+        # Rows of one key count as one place after the other, whichever of them comes first.
+        key_rank = np.cumsum([0, *(a != b for a, b in zip(keys, keys[1:]))])
+        order = np.lexsort((at[starts], key_rank[row[starts]]))
+        starts, same = starts[order], same[order]
+    size = int(same.max()) + 1
+    if size <= TABLE:
+        counts, place = np.bincount(same, minlength=size), np.zeros(size, np.int64)
+        place[same[::-1]] = starts[::-1]  # of equal ones the first is written last
+        first, counts = place[counts > 0], counts[counts > 0]
+    else:
+        _, found, counts = np.unique(same, return_index=True, return_counts=True)
+        first = starts[found]
     return [whole[s : s + k] for s in first.tolist()], counts, [keys[r] for r in row[first].tolist()], at[first]
 
 
