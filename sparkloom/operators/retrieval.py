@@ -6,6 +6,8 @@ postings of common terms and looks into texts few.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.text import STANDARD, let, share_of, words
 from .storage import stored
 
+#: Postings of a query that are read for its first bounds, as a multiple of the rows that are asked for.
+SEEDS = 200
 # Weights of lexical overlap, phrases, sequence quality and metadata.
 WEIGHTS = (0.52, 0.18, 0.18, 0.12)
 
@@ -47,42 +51,59 @@ def filled_share(*values: Column) -> Column:
     return filled / F.lit(float(len(values)))
 
 
-def asked_postings(queries: DataFrame, rows: DataFrame, query: str, key: str, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """The terms of the queries and, of the rows, the postings of these terms alone.
-
-    Both inputs have an array ``terms`` of distinct terms. The first result is (query, term, nq, rank), with rank 1 for the
-    term that the fewest rows hold; the second is (term, key, n, ..carried), stored.
-    """
-    asked = queries.select(query, F.size("terms").alias("nq"), F.explode("terms").alias("term"))
-    each = rows.select(key, *carried, F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    held = stored(each.join(asked.select("term").distinct(), "term", "left_semi"), "postings")
-    count = held.groupBy("term").agg(F.count("*").alias("df"))
-    place = W.partitionBy(query).orderBy("df", "term")
-    before = F.coalesce(F.sum("df").over(place.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    met = asked.join(count, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    return stored(met.select(query, "term", "nq", F.row_number().over(place).alias("rank"), before.alias("before")), "asked"), held
-
-
-def shared_terms(pairs: DataFrame, asked: DataFrame, held: DataFrame, query: str, key: str, carried: tuple[str, ...] = ()) -> DataFrame:
-    """(query, key, n, nq, ..carried, shared) of pairs: how many of its terms a row shares with a query."""
-    met = pairs.join(held, key).join(asked.select(query, "term", "nq"), [query, "term"])
-    return met.groupBy(query, key, "n", "nq", *carried).agg(F.count("*").alias("shared"))
-
-
-def met_by(asked: DataFrame, held: DataFrame, query: str, key: str) -> DataFrame:
-    """The pairs of a query and a row that holds a term of ``asked``."""
-    return asked.join(held, "term").select(query, key).distinct()
-
-
-def sharing_at_least(asked: DataFrame, held: DataFrame, least: DataFrame, query: str, key: str) -> DataFrame:
-    """The pairs whose overlap may reach ``least`` (query, bound).
+@dataclass(frozen=True)
+class Postings:
+    """What queries ask of rows: ``asked`` (query, term, nq, rank, before), rank 1 for the term that the fewest rows hold and
+    before for the postings of rarer ones; ``held`` (term, key, n, ..carried), the postings of these terms alone; ``sets``
+    and ``wanted``, the asked terms of each row and of each query as arrays."""
+
+    query: str
+    key: str
+    asked: DataFrame
+    held: DataFrame
+    sets: DataFrame
+    wanted: DataFrame
+
+    @classmethod
+    def of(cls, queries: DataFrame, rows: DataFrame, query: str, key: str, carried: tuple[str, ...] = ()) -> Postings:
+        """Both inputs have an array ``terms`` of distinct terms."""
+        wanted = stored(queries.select(query, "terms"), "queries")
+        asked = wanted.select(query, F.size("terms").alias("nq"), F.explode("terms").alias("term"))
+        each = rows.select(key, *carried, F.size("terms").alias("n"), F.explode("terms").alias("term"))
+        held = stored(each.join(asked.select("term").distinct(), "term", "left_semi"), "postings")
+        count = held.groupBy("term").agg(F.count("*").alias("df"))
+        place = W.partitionBy(query).orderBy("df", "term")
+        before = F.coalesce(F.sum("df").over(place.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        met = asked.join(count, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+        ranked = met.select(query, "term", "nq", F.row_number().over(place).alias("rank"), before.alias("before"))
+        # A row's asked terms are few, whatever its length.
+        sets = held.groupBy(key, "n", *carried).agg(F.collect_list("term").alias("_of_row"))
+        return cls(query, key, stored(ranked, "asked"), held, stored(sets, "row-terms"), wanted)
+
+    def shared(self, pairs: DataFrame) -> DataFrame:
+        """(query, key, n, nq, ..carried, shared) of pairs: how many of its terms a row shares with a query."""
+        wanted = self.wanted.select(self.query, F.size("terms").alias("nq"), F.col("terms").alias("_of_query"))
+        met = pairs.join(self.sets, self.key).join(wanted, self.query)
+        return met.withColumn("shared", F.size(F.array_intersect("_of_row", "_of_query"))).drop("_of_row", "_of_query")
+
+    def seeds(self, k: int) -> DataFrame:
+        """The rows that share most of the rarer terms of each query: four times ``k``, of some hundred times as many postings."""
+        few = self.asked.where(F.col("before") < SEEDS * k).join(self.held, "term")
+        partial = few.groupBy(self.query, self.key, "n", "nq").agg(F.count("*").alias("shared"))
+        best = best_of(partial.withColumn("score", _overlap()), self.query, self.key, 4 * k)
+        return best.select(self.query, self.key)
+
+
+def sharing_at_least(postings: Postings, least: DataFrame) -> DataFrame:
+    """The pairs (query, key) whose overlap may reach ``least`` (query, bound).
 
     To reach it, a row of n terms must share ``m = bound * sqrt(nq * n)`` terms, hence one of the ``nq - m + 1`` rarest of the
     query: the postings of common terms are read for short rows only, and for queries without a bound.
     """
     m = F.greatest(F.lit(1), F.ceil(F.col("bound") * F.sqrt((F.col("nq") * F.col("n")).cast("double")) - 1e-9))
-    bounded = asked.join(least, query, "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
-    return bounded.join(held, "term").where(F.col("rank") <= F.col("nq") - m + 1).select(query, key).distinct()
+    bounded = postings.asked.join(least, postings.query, "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+    met = bounded.join(postings.held, "term").where(F.col("rank") <= F.col("nq") - m + 1)
+    return met.select(postings.query, postings.key).distinct()
 
 
 def _overlap() -> Column:
@@ -100,10 +121,10 @@ def best_overlaps(queries: DataFrame, rows: DataFrame, query: str, key: str, k:
     Both have an array ``terms``. A query's rarest terms find rows for a first bound; rows that may exceed it are then found by
     the terms that they can't all lack. Rows that share nothing fill up by their key.
     """
-    asked, held = asked_postings(queries, rows, query, key)
-    scored = lambda pairs: shared_terms(pairs, asked, held, query, key).select(query, key, _overlap().alias("score"))
-    bound = _kth(scored(met_by(asked.where(F.col("before") < k), held, query, key)), query, key, k)
-    found = scored(sharing_at_least(asked, held, bound, query, key))
+    postings = Postings.of(queries, rows, query, key)
+    scored = lambda pairs: postings.shared(pairs).select(query, key, _overlap().alias("score"))
+    bound = stored(_kth(scored(postings.seeds(k)), query, key, k), "bounds")
+    found = scored(sharing_at_least(postings, bound)).where("score > 0")
     # Of the 2k smallest keys at least k are left where fewer than k rows share a term.
     first = [r[0] for r in rows.select(key).orderBy(F.asc_nulls_first(key)).limit(2 * k).collect()]
     if first:
@@ -132,7 +153,7 @@ def ranked(
     asks = queries.select(query, tokens("text").alias("t")).select(
         query, expanded(F.col("t"), synonyms or {}).alias("terms"), phrases(F.col("t")).alias("q_phrases"), F.col("t")
     )
-    asked, held = asked_postings(asks, plain, query, key, ("static",))
+    postings = Postings.of(asks, plain, query, key, ("static",))
     partial = (a * _overlap() + F.col("static")).alias("score")
 
     # Whatever a query shares, rows that aren't among the k best by the rest can only rank by what they share.
@@ -144,12 +165,12 @@ def ranked(
     static = asks.select(query, F.explode(some).alias("s")).select(query, f"s.{key}", "s.score")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        both = shared_terms(pairs, asked, held, query, key, ("static",)).select(query, key, partial).unionByName(static)
+        both = postings.shared(pairs).select(query, key, partial).unionByName(static)
         return both.groupBy(query, key).agg(F.max("score").alias("score"))
 
-    bound = _kth(scored(met_by(asked.where(F.col("before") < k), held, query, key)), query, key, k)
+    bound = stored(_kth(scored(postings.seeds(k)), query, key, k), "bounds")
     need = bound.select(query, F.greatest(F.lit(0.0), (F.col("bound") - b - best[0]["static"]) / a).alias("bound"))
-    parts = stored(scored(sharing_at_least(asked, held, need, query, key)), "partial-scores")
+    parts = stored(scored(sharing_at_least(postings, need)), "partial-scores")
     chance = parts.join(_kth(parts, query, key, k), query, "left").where(F.coalesce(F.col("score") + b >= F.col("bound") - 1e-9, F.lit(True)))
 
     def whole(pairs: DataFrame) -> DataFrame:
