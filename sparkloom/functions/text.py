@@ -131,3 +131,21 @@ def warmup_cosine(step: Column, warmup: int, total: int, floor: float = 0.1) ->
     done = F.least(F.lit(1.0), (step - warmup) / F.lit(float(max(1, total - warmup))))
     falling = F.lit(floor) + F.lit(1 - floor) * F.lit(0.5) * (1 + F.cos(F.pi() * done))
     return F.when(step < warmup, (step + 1) / F.lit(float(max(1, warmup)))).otherwise(falling)
+
+
+def safe_name(text: Column, most: int = 80) -> Column:
+    """A text as a file's name: other characters than letters, digits, ``._-`` as ``_``, none of these three at the ends."""
+    plain = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), "[^A-Za-z0-9._-]+", "_")
+    inner = F.substring(F.regexp_replace(plain, "^[._-]+|[._-]+$", ""), 1, most)
+    return F.when(inner == "", "candidate").otherwise(inner)
+
+
+def truth(text: Column, default: bool) -> Column:
+    """Whether a setting's text says yes: ``1``, ``true``, ``yes`` or ``on`` in any case; the default for null."""
+    return F.coalesce(F.lower(F.trim(text)).isin("1", "true", "yes", "on"), F.lit(default))
+
+
+def whole_number(text: Column) -> Column:
+    """A text of digits as a number; null for any other."""
+    plain = F.trim(text)
+    return F.when(plain.rlike(r"^\d+$"), plain.try_cast("long"))

@@ -196,3 +196,16 @@ def missing_letters(spark, sf_dir):
     """Characters of documents that plain letters and spaces don't cover."""
     known = "".join(map(chr, range(97, 123))) + "".join(map(chr, range(65, 91))) + " "
     return files.missing_letters(table(spark, sf_dir, "documents"), "text", known)
+
+
+@query("""WITH c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ' Yes' WHEN 2 THEN 'off' ELSE 'ON ' END AS flag, '.' || c_name || ' / ' || c_mktsegment || repeat('x', (c_custkey % 90)::INT) AS name,
+CASE WHEN c_custkey % 3 = 0 THEN ' ' || c_custkey || ' ' ELSE c_name END AS count FROM customer)
+SELECT c_custkey, coalesce(nullif(substr(regexp_replace(regexp_replace(name, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), 1, 80), ''), 'candidate') AS file_name,
+coalesce(lower(trim(flag)) IN ('1', 'true', 'yes', 'on'), TRUE) AS wanted, CASE WHEN regexp_matches(trim(count), '^[0-9]+$') THEN trim(count)::BIGINT END AS number FROM c""")
+def settings_rows(spark, sf_dir):
+    """Names of files, yes-or-no settings and whole numbers as texts give them."""
+    n = F.col("c_custkey")
+    flag = F.when(n % 4 == 1, " Yes").when(n % 4 == 2, "off").when(n % 4 == 3, "ON ")
+    name = F.concat(F.lit("."), F.col("c_name"), F.lit(" / "), F.col("c_mktsegment"), F.repeat(F.lit("x"), (n % 90).cast("int")))
+    count = F.when(n % 3 == 0, F.concat(F.lit(" "), n.cast("string"), F.lit(" "))).otherwise(F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.safe_name(name).alias("file_name"), T.truth(flag, True).alias("wanted"), T.whole_number(count).alias("number"))
