@@ -408,3 +408,33 @@ def test_head_of_counts(spark):
     long = "y" * 300
     df = spark.createDataFrame([(i, f"{long} a b") for i in range(20)], "doc_id long, text string")
     assert all(r["n_known"] == 4 for r in lm.score_documents(df).collect())
+
+
+def test_stages_on_text_ids(spark, tmp_path):
+    """Ids that are no numbers: no stage fails on them or takes two such rows for one document."""
+    import corpus_pipeline
+
+    words = [f"word{k}" for k in range(400)]
+    text = lambda seed: " ".join(np.random.default_rng(seed).choice(words, 120)) + "."
+    rows = [("a-1", text(1), "en", "s", 1), ("b", text(1), "en", "s", 1), ("c", text(2), "en", "s", 1), ("c", text(3), None, None, None), (None, text(4), "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([("i", text(3)[50:300])], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sizes = []
+    for _, stage in corpus_pipeline.STAGES:
+        df = spark.createDataFrame((out := stage(spark, df, str(tmp_path))).collect(), out.schema)
+        sizes.append(df.count())
+    assert sizes == [5, 5, 4, 3, 3] and [r["doc_id"] for r in df.collect() if r["doc_id"] in ("a-1", "b")]
+
+
+def test_very_long_values(spark):
+    url, turn = "http://a.org/" + "x/" * 100_000 + "?b=2&a=1", "many words " * 50_000
+    pages = spark.createDataFrame([(1, url), (2, "http://a.org/y")], "page_id long, url string")
+    listed = pages.select(urls.canonical(F.col("url")).alias("url")).where(F.length("url") > 1000)
+    assert [r["url_verdict"]["verdict"] for r in urls.judge_urls(pages, listed).orderBy("page_id").collect()] == ["block", "allow"]
+    captures = pages.crossJoin(spark.createDataFrame([(1, 200), (2, 304)], "at int, status int")).select(
+        (F.col("page_id") * 10 + F.col("at")).alias("record_id"), "url", F.timestamp_seconds("at").alias("captured"), "status",
+        F.create_map(F.lit("etag"), F.col("url")).alias("headers"), F.lit(None).cast("string").alias("body"),
+    )
+    assert sorted((r["record_id"], r["reason"]) for r in revisits.resolve_revisits(captures).collect()) == [(12, "resolved"), (22, "resolved")]
+    talk = spark.createDataFrame([(1, 0, "user", turn), (1, 1, "assistant", "short")], "conv_id long, turn long, role string, text string")
+    assert max(len(r["segment"]) for r in chat.rotate_perspectives(talk).select("chat.segment").collect()) > len(turn)
