@@ -7,11 +7,12 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import natural_key
 from .operators import artifacts, instructions, quota
 from .operators.clean import first_of_each
 from .operators.matching import Rule
 from .sources import files, flatfiles
-from .sources.sequences import read_json_lines
+from .sources.sequences import json_lines_paths, read_json_lines
 
 
 def dedupe_lines(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -32,10 +33,13 @@ def concat(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def downsample(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    """A share of JSON Lines, large strata of (group, bucket) thinned more."""
-    rows = files.read_lines(spark, a.input).select("pos", F.col("line").alias("value"))
-    field = lambda name: F.lower(F.trim(F.coalesce(F.get_json_object("value", f"$.{name}"), F.lit("unknown"))))
-    strata = rows.select("pos", "value", field(a.group).alias("group"), field(a.bucket).alias("bucket"))
+    """A share of JSON Lines, large strata of (group, bucket) thinned more; a line that is no JSON object fails the job."""
+    found = read_json_lines(spark, json_lines_paths(spark, a.input), numbered=True)
+    fault = F.concat(F.lit("a JSON object is expected at "), F.col("place"))
+    good = F.when(F.col("status") == "valid", True).otherwise(F.raise_error(fault).cast("boolean"))
+    group, bucket = instructions.stratum(F.col("payload"))
+    rows = found.where("status <> 'empty'").where(good)
+    strata = rows.select(F.struct(natural_key(F.col("file")).alias("name"), "file", "line_number").alias("pos"), "value", group.alias("group"), bucket.alias("bucket"))
     kept = quota.downsample(strata, "group", "bucket", ["pos"], a.keep)
     files.write_in_order(kept.select("pos", F.col("value").alias("line")), a.output, a.parts)
     return kept.groupBy("group").agg(F.count("*").alias("n"))
@@ -43,7 +47,7 @@ def downsample(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 def audit(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Counts over instruction rows by status, key, type and format."""
-    return instructions.audit(instructions.records(read_json_lines(spark, a.input)))
+    return instructions.audit(instructions.records(read_json_lines(spark, json_lines_paths(spark, a.input))))
 
 
 def profiles(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -77,8 +81,6 @@ def main(args: list[str] | None = None) -> None:
         if name == "dedupe-lines":
             p.add_argument("--dry-run", action="store_true")
         if name == "downsample":
-            p.add_argument("--group", default="metadata.dataset_group")
-            p.add_argument("--bucket", default="product")
             p.add_argument("--keep", type=float, default=0.5)
     a = parser.parse_args(args)
     if a.output is None and a.job not in ("audit",) and not getattr(a, "dry_run", False):

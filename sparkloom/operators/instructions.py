@@ -115,6 +115,17 @@ def split_key(payload: Column, fallback: Column) -> Column:
     return F.when(named != "", F.concat(F.lit("accession:"), named)).when(F.size(texts) > 0, body).otherwise(fallback)
 
 
+def stratum(payload: Column) -> tuple[Column, Column]:
+    """(group, bucket) of a record for stratified samples, in lower case and single spaces.
+
+    The group is the record's dataset group, the bucket the first of its products, description and accession that isn't
+    blank.
+    """
+    plain = lambda path: F.nullif(F.lower(F.trim(F.regexp_replace(F.coalesce(F.try_variant_get(payload, path, "string"), F.lit("")), r"(?U)\s+", " "))), F.lit(""))
+    bucket = F.coalesce(*[plain(p) for p in ("$.metadata.product", "$.product", "$.description", "$.accession")], F.lit("unknown-protein"))
+    return F.coalesce(plain("$.metadata.dataset_group"), F.lit("unknown")), bucket
+
+
 def train_line(profile: Column, sequence: Column) -> Column:
     """The tagged line of a profile and its sequence."""
     return F.concat(F.lit(PROFILE), profile, F.lit(SEPARATOR + PROTEIN), sequence, F.lit(END))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_accession, header_organism, join_segments, upper_residues
-from .files import numbered_lines, source_place
+from ..functions.text import canonical_accession, header_organism, join_segments, natural_key, upper_residues
+from ..operators.storage import file_system
+from .files import listing, numbered_lines, source_place
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -65,10 +66,10 @@ def feature_sequences(features: DataFrame, sequences: DataFrame) -> DataFrame:
     return joined.withColumn("sequence", join_segments(F.col("_whole"), part, F.col("strand"))).drop("_id", "_whole")
 
 
-def read_json_lines(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str | list[str], numbered: bool = False) -> DataFrame:
     """(value, payload, status) of JSON Lines: payload is a variant; status is empty, invalid, not_object or valid.
 
-    With ``numbered`` each row also has ``place``, its path and line number.
+    With ``numbered`` each row also has ``place``, its path and line number in one, and these as ``file`` and ``line_number``.
     """
     payload = F.try_parse_json("value")
     kind = F.schema_of_variant(payload)
@@ -77,8 +78,44 @@ def read_json_lines(spark: SparkSession, path: str, numbered: bool = False) -> D
     ).otherwise("valid")
     if not numbered:
         return spark.read.text(path).select("value", payload.alias("payload"), status.alias("status"))
-    lines = numbered_lines(spark, path).select(F.col("line").alias("value"), source_place().alias("place"))
-    return lines.select("value", payload.alias("payload"), status.alias("status"), "place")
+    lines = numbered_lines(spark, path).select(F.col("line").alias("value"), source_place().alias("place"), "file", "line_number")
+    return lines.select("value", payload.alias("payload"), status.alias("status"), "place", "file", "line_number")
+
+
+def json_lines_paths(spark: SparkSession, paths: str | list[str], ending: str = ".jsonl") -> list[str]:
+    """The files that paths name: a file itself, of a folder those directly in it with the ending, in order of their names.
+
+    No file at all and a path that isn't there are errors.
+    """
+    found: list[str] = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        where, system = file_system(spark, path)
+        if not system.exists(where):
+            raise FileNotFoundError(path)
+        if not system.getFileStatus(where).isDirectory():
+            found.append(path)
+            continue
+        names = [f.getPath().getName() for f in system.listStatus(where) if f.isFile()]
+        found += [f"{path.rstrip('/')}/{n}" for n in sorted(names) if n.endswith(ending)]
+    if not found:
+        raise ValueError("no file of JSON Lines is named")
+    return found
+
+
+def json_lines_parts(spark: SparkSession, single: str, folder: str | None = None, pattern: str = "instruction_part_*.jsonl", prefer_parts: bool = True) -> list[str]:
+    """The part files of a folder (that of the single file, if none is named) in natural order, or the single file.
+
+    Parts count first if they are preferred and there are any, else only where the single file isn't there.
+    """
+    where, system = file_system(spark, single)
+    inside = folder or single.rsplit("/", 1)[0]
+    below, _ = file_system(spark, inside)
+    parts: list[str] = []
+    if system.exists(below):
+        listed = listing(spark, inside, pattern).withColumn("name", F.element_at(F.split("path", "/"), -1))
+        parts = [r["path"] for r in listed.orderBy(natural_key(F.col("name")), "path").select("path").collect()]  # a row for each part
+    there = system.exists(where)
+    return parts if parts and (prefer_parts or not there) else [single]
 
 
 def hrefs(html: Column) -> Column:
