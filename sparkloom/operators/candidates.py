@@ -215,9 +215,10 @@ def triangle_consistency(matrix: Column, tolerance: float = 1e-6) -> Column:
     """
     if tolerance < 0:
         raise ValueError("the tolerance must not be negative")
-    n = F.size(matrix)
 
-    def triples(m: Column) -> Column:
+    def share(m: Column) -> Column:
+        n = F.size(m)
+
         def of_pair(i: Column, j: Column) -> Column:
             ks = F.when(j + 1 < n, F.sequence(j + 1, n - 1)).otherwise(F.array().cast("array<int>"))
             a = m[i][j]
@@ -225,10 +226,10 @@ def triangle_consistency(matrix: Column, tolerance: float = 1e-6) -> Column:
             return F.aggregate(ks, F.lit(0).cast("long"), lambda s, k: s + off(k))
 
         rows = F.sequence(F.lit(0), n - 3)
-        return F.aggregate(rows, F.lit(0).cast("long"), lambda s, i: F.aggregate(F.sequence(i + 1, n - 2), s, lambda t, j: t + of_pair(i, j)))
+        violated = F.aggregate(rows, F.lit(0).cast("long"), lambda s, i: F.aggregate(F.sequence(i + 1, n - 2), s, lambda t, j: t + of_pair(i, j)))
+        return F.when(n < 3, 1.0).otherwise(1 - violated / (n.cast("double") * (n - 1) * (n - 2) / 2))
 
-    checks = n.cast("double") * (n - 1) * (n - 2) / 2
-    return F.when(n < 3, 1.0).otherwise(1 - let(matrix, triples) / checks)
+    return let(matrix, share)
 
 
 def distance_matrix(points: Column) -> Column:
