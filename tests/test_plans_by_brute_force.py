@@ -9,6 +9,7 @@ import pytest
 from conftest import DATA
 
 from sparkloom.operators import candidates, coevolution, quota, sampling, spans
+from sparkloom.plans import queries as plan_queries
 from sparkloom.plans.registry import QUERIES
 
 
@@ -129,3 +130,12 @@ def test_constraints_from_an_alignment(spark):
     for k, apart in ((0, 1), (1, -1)):
         with pytest.raises(ValueError, match="positive"):
             coevolution.top_pairs(scores, k, apart)
+
+
+def test_coevolving_pairs_leave_no_pair_out(spark):
+    scores = coevolution.corrected(coevolution.mutual_information(plan_queries._aligned(spark, DATA), "s"), 6).collect()
+    assert len(scores) == 15
+    best = sorted(scores, key=lambda r: (-r["score"], r["i"], r["j"]))[:5]
+    found = QUERIES["coevolving_pairs"](spark, DATA).collect()
+    assert [(r["i"], r["j"]) for r in found] == [(r["i"], r["j"]) for r in best]
+    assert any(r["j"] - r["i"] == 1 for r in found)
