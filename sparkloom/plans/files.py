@@ -10,7 +10,7 @@ from ..operators.ordered import running_sums
 from ..operators.storage import scratch_path
 from ..sources import archives, files, sequences
 from ..streaming import batches
-from .records import text, written
+from .records import text, written, written_objects
 from .registry import query, table
 
 
@@ -83,10 +83,8 @@ def raw_index_rows(spark, sf_dir):
     key = F.col("c_custkey").cast("string")
     entry = F.when(F.col("c_custkey") % 6 == 1, "3").otherwise(F.to_json(F.struct(F.col("c_name").alias("sequence"))))
     rows = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0")
-    # A file for each ten customers: an object with their entries.
-    objects = rows.groupBy(F.expr("c_custkey div 10").alias("g")).agg(F.array_join(F.collect_list(text('"acc', key, '": ', entry)), ", ").alias("e"))
     folder = scratch_path(spark, "index")
-    objects.select(text("{", F.col("e"), "}").alias("value"), "g").repartition(8, "g").write.partitionBy("g").text(folder)
+    written_objects(rows, text('"acc', key, '": ', entry), "c_custkey", folder)
     found = archives.read_objects(spark, folder, "part-*")
     return found.select(F.col("key").alias("accession"), F.get_json_object("value", "$.sequence").alias("sequence"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,22 @@ def written(rows: DataFrame, text: Column, name: str) -> str:
     return path
 
 
+def written_objects(rows: DataFrame, member: Column, key: str, path: str, files: int = 64) -> None:
+    """Text files that hold a JSON object each, whose members are those of the rows: entries are written one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "{"
+        for batch in batches:
+            said = []
+            for x in batch.column(0):
+                said.append(mark + x.as_py())
+                mark = ","
+            yield pa.RecordBatch.from_arrays([pa.array(said, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["{}" if mark == "{" else "}"])], names=["value"])
+
+    rows.repartition(files, key).select(member.alias("value")).mapInArrow(run, "value string").write.text(path)
+
+
 def lines(*parts: Column | str) -> Column:
     return F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
 

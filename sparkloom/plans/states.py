@@ -8,7 +8,7 @@ from ..operators import incremental, ordered, sessions
 from ..operators.storage import scratch_path
 from ..operators.vocabulary import Vocabulary
 from .queries import NORMAL
-from .records import text
+from .records import text, written_objects
 from .registry import query, table
 
 
@@ -68,8 +68,7 @@ def session_rows(spark, sf_dir):
     folder, out = scratch_path(spark, "session"), scratch_path(spark, "training-set")
     entry = F.to_json(F.struct((F.col("p_partkey") % 5 != 0).alias("included_in_current_dataset"), F.col("s").alias("sequence"), F.col("p_name").alias("description")))
     member = F.concat(F.lit('"'), F.col("a"), F.lit('": '), entry)
-    groups = parts.groupBy(F.expr("p_partkey div 100").alias("g")).agg(F.array_join(F.collect_list(member), ", ").alias("m"))  # 100 entries a file
-    groups.select(F.concat(F.lit("{"), F.col("m"), F.lit("}")).alias("value"), "g").repartition(8, "g").write.partitionBy("g").text(f"{folder}/raw_index.json")
+    written_objects(parts, member, "p_partkey", f"{folder}/raw_index.json")
     parts.repartitionByRange(4, F.desc("p_partkey")).sortWithinPartitions(F.desc("p_partkey")).select("a").write.text(f"{folder}/accessions.txt")
     records = sessions.session_records(sessions.read_session(spark, folder), "parts", [])
     profiles = Vocabulary.of("".join(map(chr, range(32, 127))), ("task ", "sequence "), kind="profile")

@@ -1,6 +1,7 @@
 """A data source of archives that may be damaged: what can be read is read, and what was lost is told.
 
-Each file is a partition, read as a stream, so that a task holds a record and a batch of rows at a time. A gzip file that
+A large file is a partition, read as a stream, so that a task holds a record and a batch of rows at a time; small files
+share one, so that their number costs no task each. A gzip file that
 ends early, or whose data are broken from some point on, gives its rows up to there and is ``truncated``; bytes that
 aren't UTF-8 become the replacement character; a last record that isn't complete is dropped and counted. No setting of
 the session changes, so that other reads still fail on damaged files.
@@ -30,6 +31,8 @@ CHUNK = 1 << 20
 PIECE = 1 << 14
 #: Characters of records in a batch.
 BATCH_CHARS = 4 << 20
+#: Bytes of files that a task takes, what opening one weighs in bytes, and tasks that there should be if files are few.
+TASK_BYTES, OPEN_BYTES, TASKS = 32 << 20, 64 << 10, 64
 RECORDS = ("line", "block", "entry")
 
 
@@ -117,9 +120,26 @@ def records(stream: Stream, kind: str) -> Iterator[tuple[str, bool]]:
         yield "\n".join(held), False
 
 
-class Archive(InputPartition):
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
+class Archives(InputPartition):
+    """Paths of the files that a task reads one after the other."""
+
+    def __init__(self, paths: list[str]) -> None:
+        super().__init__(paths)
+
+
+def dealt(files: list[tuple[str, int]]) -> list[list[str]]:
+    """(path, bytes) of files as lists of paths, in order: one task's, which are within its bytes or a single file."""
+    weighed = [(path, size + OPEN_BYTES) for path, size in files]
+    most = min(TASK_BYTES, sum(w for _, w in weighed) // TASKS)
+    found: list[list[str]] = []
+    full = most + 1
+    for path, weight in weighed:
+        if full + weight > most:
+            found.append([])
+            full = 0
+        found[-1].append(path)
+        full += weight
+    return found
 
 
 class ArchiveReader(DataSourceReader):
@@ -128,18 +148,24 @@ class ArchiveReader(DataSourceReader):
         if self.kind not in RECORDS:
             raise ValueError(f"a record is one of {', '.join(RECORDS)}")
 
-    def partitions(self) -> list[Archive]:
+    def partitions(self) -> list[Archives]:
         system, below = fs.FileSystem.from_uri(self.root)
         info = system.get_file_info(below)
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(below, recursive=True))
-        paths = sorted(f.path for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
-        return [Archive(p) for p in paths if info.type == fs.FileType.File or fnmatch.fnmatch(p.rsplit("/", 1)[-1], self.pattern)]
+        files = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
+        return [Archives(p) for p in dealt([f for f in files if info.type == fs.FileType.File or fnmatch.fnmatch(f[0].rsplit("/", 1)[-1], self.pattern)])]
 
-    def read(self, partition: Archive | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Archives | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # a folder without files
             return
-        path = partition.value
         system, _ = fs.FileSystem.from_uri(self.root)
+        yield from self.read_files(system, partition.value)
+
+    def read_files(self, system: fs.FileSystem, paths: list[str]) -> Iterator[pa.RecordBatch]:
+        for path in paths:
+            yield from self.read_file(system, path)
+
+    def read_file(self, system: fs.FileSystem, path: str) -> Iterator[pa.RecordBatch]:
 
         def batch(first: int, values: list, truncated: bool | None = None, dropped: int | None = None) -> pa.RecordBatch:
             n = len(values)
@@ -267,16 +293,12 @@ def entries(stream: Iterator[str]) -> Iterator[tuple[str, str]]:
 class ObjectReader(ArchiveReader):
     """The entries of one JSON object in each file, whose values are objects; the file is never held as a whole."""
 
-    def read(self, partition: Archive | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:
-            return
-        system, _ = fs.FileSystem.from_uri(self.root)
+    def read_files(self, system: fs.FileSystem, paths: list[str]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in OBJECT_SCHEMA.split(", ")]
 
         def batch(rows: list) -> pa.RecordBatch:
-            columns = [[partition.value] * len(rows), *map(list, zip(*rows, strict=True))]
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         def pieces(raw) -> Iterator[str]:
             decoder = codecs.getincrementaldecoder("utf-8")()
@@ -284,16 +306,17 @@ class ObjectReader(ArchiveReader):
                 yield decoder.decode(data)
             yield decoder.decode(b"", final=True)
 
-        held, chars = [], 0
-        with system.open_input_stream(partition.value) as raw:
-            for n, (key, value) in enumerate(entries(pieces(raw))):
-                if not value.startswith("{"):
-                    continue
-                held.append((n, key, value))
-                chars += len(value)
-                if chars >= BATCH_CHARS:
-                    yield batch(held)
-                    held, chars = [], 0
+        held, chars = [], 0  # batches go on from file to file
+        for path in paths:
+            with system.open_input_stream(path) as raw:
+                for n, (key, value) in enumerate(entries(pieces(raw))):
+                    if not value.startswith("{"):
+                        continue
+                    held.append((path, n, key, value))
+                    chars += len(value)
+                    if chars >= BATCH_CHARS:
+                        yield batch(held)
+                        held, chars = [], 0
         if held:
             yield batch(held)
 

@@ -4,8 +4,10 @@ import gzip
 import json
 import random
 import threading
+from pathlib import Path
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from sparkloom.operators import artifacts, datasets, incremental, instructions
@@ -242,6 +244,39 @@ def test_objects_of_files(spark, tmp_path):
     assert archives.read_objects(spark, f"{tmp_path}/b.json").count() == 0
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(600):
+        (tmp_path / f"{i:03}.json").write_text(json.dumps({f"k{i}": {"n": i}, f"x{i}": i}))
+    found = archives.read_objects(spark, str(tmp_path), "*.json")
+    assert found.rdd.getNumPartitions() <= 2 * archives.TASKS
+    rows = found.collect()
+    assert {(r["path"].rsplit("/", 1)[-1], r["n"], r["key"], json.loads(r["value"])["n"]) for r in rows} == {(f"{i:03}.json", 0, f"k{i}", i) for i in range(600)}
+    lines = archives.read_archives(spark, str(tmp_path), "*.json")
+    assert lines.rdd.getNumPartitions() <= 2 * archives.TASKS
+    assert archives.states(lines).where("records = 1 AND NOT truncated").count() == 600
+    large = archives.TASK_BYTES
+    assert archives.dealt([("a", large), ("b", 1), ("c", 2 * large)]) == [["a"], ["b"], ["c"]]
+    assert archives.dealt([]) == [] and max(map(len, archives.dealt([(str(k), 10) for k in range(100_000)]))) <= large // archives.OPEN_BYTES
+
+
+@pytest.mark.parametrize("name", ["raw_index_rows", "session_rows"])
+def test_files_of_an_index_are_few(spark, monkeypatch, name):
+    from sparkloom.operators import sessions
+    from sparkloom.plans import files as file_plans
+
+    read = []
+    kept = archives.read_objects
+
+    def seen(spark, path, *rest):
+        read.append(path)
+        return kept(spark, path, *rest)
+
+    monkeypatch.setattr(sessions, "read_objects", seen)
+    monkeypatch.setattr(file_plans.archives, "read_objects", seen)
+    QUERIES[name](spark, DATA)
+    assert len(read) == 1 and 1 <= len(list(Path(read[0].removeprefix("file:")).rglob("part-*"))) <= 64
+
+
 def test_first_seen_in_a_table(spark, tmp_path):
     rows = spark.createDataFrame([(i % 7 if i % 5 else None, i) for i in range(60)], "k int, v int")
     rows.repartition(4, "v").write.parquet(f"{tmp_path}/feed")
