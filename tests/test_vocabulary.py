@@ -111,3 +111,26 @@ def test_coded_documents(spark, same_as_sql):
     from sparkloom.plans.registry import QUERIES, SQL
 
     same_as_sql(QUERIES["coded_documents"](spark, DATA), SQL["coded_documents"])
+
+
+def test_pieces_are_cut_where_no_merge_goes():
+    given = Vocabulary.of("abcdn ", ("ab", "bc", "and "))
+    coder = Coder(given)
+    assert list(coder.parts("abcdn and")) == ["abc", "d", "n", " ", "and"]
+    text = "and abcd banda " * 50
+    assert coder.encode(text) == coder.merged(text)
+    merged, seen = coder.merged, []
+    coder.merged = lambda part: seen.append(part) or merged(part)
+    assert coder.encode(text * 20) == merged(text * 20)
+    assert len(seen) <= 12  # a part is merged once, however often it occurs
+    plain = Coder(Vocabulary.of("ACD"))
+    assert plain.piece is None and plain.encode("CAD") == [5, 4, 6]
+
+
+def test_ids_that_are_used_twice_are_made_once(spark, capsys):
+    given = Vocabulary.of("abcdn ", ("ab", "and "))
+    coded = spark.createDataFrame([("and ab",), (None,)], "t string").select(encoded(F.col("t"), given, bos=True, eos=True).alias("ids"))
+    both = coded.select(decoded(F.col("ids"), given, skip_special=True).alias("t"), F.size("ids").alias("n"))
+    both.explain()
+    assert "run(run(" not in capsys.readouterr().out
+    assert [tuple(r) for r in both.collect()] == [("and ab", 4), ("", 2)]
