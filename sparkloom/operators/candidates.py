@@ -21,6 +21,8 @@ WEIGHTS = {
 }
 # Weights of the parts of a span's score.
 SPAN_WEIGHTS = (0.42, 0.34, 0.24)
+#: Windows of the highest scores that are looked for in the rest one by one.
+TRIES = 8
 
 
 @dataclass(frozen=True)
@@ -238,25 +240,9 @@ def distance_matrix(points: Column) -> Column:
     return let(points, lambda p: F.transform(p, lambda a: F.transform(p, lambda b: F.sqrt(square(a, b)))))
 
 
-def best_span(sequence: str, width: int, flank: int) -> tuple[int, float] | None:
-    """Start and score of the best span of a sequence, of equals the first; None if there's none.
-
-    Time is in proportion to length and width, but for the sort that finds equal windows.
-    """
-    codes = np.frombuffer(sequence.encode("utf-32-le"), np.uint32).astype(np.int64)
+def _alone(codes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Those of the starts whose windows don't occur in the rest, the two sides joined."""
     n = len(codes)
-    if n < width:
-        return None
-    # One bit for each standard residue; others have none.
-    table = np.zeros(int(codes.max()) + 1, np.int64)
-    for k, letter in enumerate(STANDARD):
-        if ord(letter) < len(table):
-            table[ord(letter)] = 1 << k
-    bits = table[codes]
-    odd = np.concatenate([[0], np.cumsum(bits == 0)])
-    starts = np.flatnonzero(odd[width:] == odd[:-width])
-    if not len(starts):
-        return None
     # Again elsewhere: the first or the last equal window lies a width away or more.
     order = np.argsort(same := equal_windows(codes, width)[starts], kind="stable")
     edge = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]]))
@@ -274,24 +260,61 @@ def best_span(sequence: str, width: int, flank: int) -> tuple[int, float] | None
             at = at[codes[at + width + j] == codes[at + k + j]]
         if len(at):
             starts = np.setdiff1d(starts, at, assume_unique=True)
-    if not len(starts):
+    return starts
+
+
+def best_span(sequence: str, width: int, flank: int) -> tuple[int, float] | None:
+    """Start and score of the best span of a sequence, of equals the first; None if there's none.
+
+    All windows are scored, and the best are looked for in the rest; where the first ``TRIES`` of them all recur, windows
+    that recur are found at once by a sort. So time is in proportion to the length, but for that sort.
+    """
+    codes = np.frombuffer(sequence.encode("utf-32-le"), np.uint32).astype(np.int64)
+    n = len(codes)
+    if n < width:
         return None
-    seen = np.zeros(len(starts), np.int64)
-    for k in range(width):
-        seen |= bits[starts + k]
+    # One bit for each standard residue; others have none.
+    table = np.zeros(int(codes.max()) + 1, np.int32)
+    for k, letter in enumerate(STANDARD):
+        if ord(letter) < len(table):
+            table[ord(letter)] = 1 << k
+    bits = table[codes]
+    odd = np.concatenate([[0], np.cumsum(bits == 0)])
+    fit = odd[width:] == odd[:-width]
+    if not fit.any():
+        return None
+    # Residues of a window, by windows of doubled widths.
+    seen, size = bits, 1
+    while size < width:
+        step = min(size, width - size)
+        seen, size = seen[:-step] | seen[step:], size + step
     variety = np.bitwise_count(seen) / float(min(20, width))
     change = np.concatenate([[True], codes[1:] != codes[:-1]])
-    since = np.arange(n) - np.maximum.accumulate(np.where(change, np.arange(n), 0)) + 1
-    run = np.zeros(len(starts), np.int64)
+    places = np.arange(n)
+    kind = np.uint8 if width < 256 else np.int64
+    since = np.minimum(places - np.maximum.accumulate(np.where(change, places, 0)) + 1, width).astype(kind)
+    run = np.zeros(n - width + 1, kind)
     for k in range(width):
-        run = np.maximum(run, np.minimum(since[starts + k], k + 1))
+        np.maximum(run, np.minimum(since[k : n - width + 1 + k], kind(k + 1)), out=run)
     penalty = np.minimum(0.35, run / width * 0.7)
+    starts = places[: n - width + 1]
     shares = 1.0 if not flank else (np.minimum(starts, flank) / float(flank) + np.minimum(n - starts - width, flank) / float(flank)) / 2
     central = 1.0 if n <= width else np.clip(1 - np.abs(starts + width / 2 - n / 2) / (n / 2), 0, 1)
     a, b, c = SPAN_WEIGHTS
-    score = np.clip(a * np.clip(variety, 0, 1) + b * shares + c * central - penalty, 0, 1)
-    at = int(np.argmax(score))
-    return int(starts[at]), float(score[at])
+    score = np.where(fit, np.clip(a * np.clip(variety, 0, 1) + b * shares + c * central - penalty, 0, 1), -1.0)
+    left = score.copy()
+    for _ in range(TRIES):
+        at = int(np.argmax(left))
+        if left[at] < 0:
+            return None
+        if sequence[at : at + width] not in sequence[:at] + sequence[at + width :]:
+            return at, float(score[at])
+        left[at] = -1.0
+    starts = _alone(codes, np.flatnonzero(fit), width)
+    if not len(starts):
+        return None
+    at = int(starts[np.argmax(score[starts])])
+    return at, float(score[at])
 
 
 def best_spans(rows: DataFrame, key: str, sequence: str, width: int, flank: int = 64) -> DataFrame:

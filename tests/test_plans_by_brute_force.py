@@ -139,3 +139,15 @@ def test_coevolving_pairs_leave_no_pair_out(spark):
     found = QUERIES["coevolving_pairs"](spark, DATA).collect()
     assert [(r["i"], r["j"]) for r in found] == [(r["i"], r["j"]) for r in best]
     assert any(r["j"] - r["i"] == 1 for r in found)
+
+
+def test_the_best_windows_are_looked_for_first(monkeypatch):
+    def no_sort(*_):
+        raise AssertionError("all windows are sorted")
+
+    monkeypatch.setattr(candidates, "_alone", no_sort, raising=False)
+    monkeypatch.setattr(candidates, "equal_windows", no_sort)
+    rng = random.Random(5)
+    q = "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(5_000))
+    at, score = candidates.best_span(q, 12, 20)
+    assert q.count(q[at : at + 12]) == 1 and 0 < score <= 1
