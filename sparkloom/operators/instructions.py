@@ -142,11 +142,10 @@ def field_faults(text: Column) -> Column:
 def parsed_line(line: Column) -> Column:
     """(profile, sequence) of a tagged line; null for any other line."""
     pattern = rf"^\Q{PROFILE}\E(.*?)\Q{SEPARATOR}{PROTEIN}\E(.*)\Q{END}\E$"
-    plain = F.regexp_replace(line, r"[\r\n]+$", "")
-    return F.when(
+    return let(F.regexp_replace(line, r"[\r\n]+$", ""), lambda plain: F.when(
         plain.rlike(pattern),
         F.struct(F.regexp_extract(plain, pattern, 1).alias("profile"), F.regexp_extract(plain, pattern, 2).alias("sequence")),
-    )
+    ))
 
 
 def between_tags(text: Column) -> Column:

@@ -31,6 +31,18 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str = "k")
     return a.join(b, on).select(*[F.col(f"a.{c}") for c in df.columns], (F.col("_before") + F.col("_k")).alias(name))
 
 
+def numbered_in_splits(lines: DataFrame, group: list[str], split: list[str], n: str, name: str) -> DataFrame:
+    """``lines`` with the 0-based rank of each in its group by ``split`` and ``n``, which counts without gaps inside of a split.
+
+    ``split`` begins with ``group``. Lines stay where they are: what is carried along is a row for each split of the files.
+    """
+    splits = lines.groupBy(*split).agg(F.min(n).alias("_first"), F.count("*").alias("_lines"))
+    before = W.partitionBy(*group).orderBy(*split).rowsBetween(W.unboundedPreceding, -1)
+    starts = splits.select(*split, (F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    found = lines.join(F.broadcast(starts), split)
+    return found.select(*lines.columns, (F.col(n) + F.col("_offset")).alias(name))
+
+
 def running_minimum(df: DataFrame, group: list[str], order: list[str], value: str, name: str = "best") -> DataFrame:
     """``df`` with the minimum of ``value`` over the earlier rows of the group; null for the first."""
     dealt = dealt_by_range(df, group, order)

@@ -13,11 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_accession
+from ..functions.text import canonical_accession, let
 from ..sources.archives import read_objects
 from ..sources.files import read_lines
 from . import annotations, artifacts, fused, instructions
 from .matching import Rule
+from .ordered import numbered_in_splits
 from .storage import file_system, read_text, stored, write_text
 from .vocabulary import Vocabulary, decoded, encoded
 
@@ -93,14 +94,21 @@ class TrainingSet:
     def layout(self) -> fused.Layout:
         return fused.Layout(len(self.sequences.ids), len(self.profiles.ids))
 
-    def rows(self, spark: SparkSession) -> DataFrame:
-        """(pos, profile, sequence) in order of ``pos``; other numbers of records than written are an error."""
+    def rows(self, spark: SparkSession, place: str | None = None) -> DataFrame:
+        """(pos, profile, sequence) in order of ``pos``; other numbers of records than written are an error.
+
+        With ``place``, a column of that name has the records' numbers in this order, from 0.
+        """
         lines = artifacts.train_text(spark, self.path)
         if (n := lines.count()) != self.records:
             raise ValueError(f"{self.path} has {n} records, but its map says {self.records}")
         fault = F.raise_error(F.concat(F.lit("no tagged line: "), F.substring("line", 1, 60)))
-        parsed = instructions.parsed_line(F.col("line"))
-        return lines.select("pos", F.when(parsed.isNull(), fault.cast("struct<profile:string,sequence:string>")).otherwise(parsed).alias("r")).select("pos", "r.profile", "r.sequence")
+        parsed = let(instructions.parsed_line(F.col("line")), lambda r: F.when(r.isNull(), fault.cast("struct<profile:string,sequence:string>")).otherwise(r))
+        named = ["pos", *([place] if place else [])]
+        if place:
+            flat = lines.select("line", "pos", "pos.*")
+            lines = numbered_in_splits(flat, [], ["batch", "file", "block"], "n", place).select("line", *named)
+        return lines.select(*named, parsed.alias("r")).select(*named, "r.profile", "r.sequence")
 
     def encoded(self, records: DataFrame) -> DataFrame:
         """``records`` with ``profile_ids`` and ``sequence_ids``, each with its first and last id."""

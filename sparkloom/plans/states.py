@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import incremental, ordered, sessions
+from ..operators import incremental, sessions
 from ..operators.storage import scratch_path
 from ..operators.vocabulary import Vocabulary
 from .queries import NORMAL
@@ -74,5 +74,4 @@ def session_rows(spark, sf_dir):
     profiles = Vocabulary.of("".join(map(chr, range(32, 127))), ("task ", "sequence "), kind="profile")
     sessions.save_training_set(records, out, profiles, Vocabulary.of(LETTERS))
     loaded = sessions.load_training_set(spark, out)
-    numbered = ordered.numbered(loaded.rows(spark), [], ["pos"], "place")
-    return loaded.encoded(numbered).select("place", F.md5("sequence").alias("sequence_md5"), F.size("sequence_ids").alias("n_ids"))
+    return loaded.encoded(loaded.rows(spark, "place")).select("place", F.md5("sequence").alias("sequence_md5"), F.size("sequence_ids").alias("n_ids"))

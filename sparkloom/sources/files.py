@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
+from ..operators.ordered import numbered_in_splits
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
@@ -37,12 +38,23 @@ def bundles(left: DataFrame, right: DataFrame, endings: tuple[str, str]) -> Data
     return both.select("bundle", F.element_at(F.split("bundle", "/"), -2).alias("group"), "left_path", "right_path")
 
 
+def _placed_lines(spark: SparkSession, path: str | list[str], pattern: str | None) -> DataFrame:
+    reader = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
+    return reader.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("n"),
+    )
+
+
 def read_lines(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
     """(line, file, pos): lines of text files; ``pos`` orders them by the files' natural order and their place."""
-    reader = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
-    rows = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    name = F.element_at(F.split("file", "/"), -1)
-    return rows.select(F.col("value").alias("line"), "file", F.struct(natural_key(name).alias("name"), "file", "block", "n").alias("pos"))
+    key = lambda file: natural_key(F.element_at(F.split(file, "/"), -1))
+    # Sort keys are made once a file, of a listing that doesn't read contents.
+    reader = spark.read.format("binaryFile")
+    names = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select(F.col("_metadata.file_path").alias("file"))
+    names = names.select("file", key("file").alias("name"))
+    named = _placed_lines(spark, path, pattern).join(F.broadcast(names), "file", "left")
+    return named.select("line", "file", F.struct(F.coalesce("name", key("file")).alias("name"), "file", "block", "n").alias("pos"))
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
@@ -51,12 +63,8 @@ def numbered_lines(spark: SparkSession, path: str | list[str], pattern: str | No
     A file may lie in many splits: a line's number in its split, plus the lines of the splits before. What is gathered
     is a row for each split.
     """
-    lines = read_lines(spark, path, pattern).select("line", "file", "pos.block", "pos.n")
-    splits = lines.groupBy("file", "block").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
-    earlier = F.sum("lines").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
-    starts = splits.select("file", "block", "first", F.coalesce(earlier, F.lit(0)).alias("before"))
-    number = F.col("before") + F.col("n") - F.col("first") + 1
-    return lines.join(starts, ["file", "block"]).select("line", "file", number.alias("line_number"))
+    lines = numbered_in_splits(_placed_lines(spark, path, pattern), ["file"], ["file", "block"], "n", "k")
+    return lines.select("line", "file", (F.col("k") + 1).alias("line_number"))
 
 
 def source_place() -> Column:

@@ -98,6 +98,19 @@ def test_line_numbers_over_splits(spark, tmp_path):
     assert len(rows) == 8000 and all(r["line"] == ("" if r["line_number"] % 7 == 0 else f"{r['file'][-5:]} {r['line_number']}") for r in rows)
 
 
+def test_sort_keys_are_made_once_a_file(spark, tmp_path):
+    for name in ("part 2.txt", "part 10.txt", "Part%201.txt", "part 3.txt.gz"):
+        text = "".join(f"{name} {i}\n" for i in range(50)).encode()
+        (tmp_path / name).write_bytes(gzip.compress(text) if name.endswith(".gz") else text)
+    rows = files.read_lines(spark, str(tmp_path))
+    want = [f"{name} {i}" for name in ("part 2.txt", "part 3.txt.gz", "part 10.txt", "Part%201.txt") for i in range(50)]
+    assert [r["line"] for r in rows.orderBy("pos").collect()] == want
+    one = files.read_lines(spark, [str(tmp_path / "part 2.txt")])
+    assert [r["line"] for r in one.orderBy("pos").collect()] == want[:50]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "binaryFile" in plan and "content" not in plan
+
+
 def test_errors_and_split_keys_name_the_line(spark, tmp_path):
     path = tmp_path / "rows.jsonl"
     path.write_text('{"instruction": "go", "output": "MK"}\n\n{"other": 1}\n[1]\n')

@@ -5,7 +5,7 @@ import json
 import pytest
 from conftest import DATA
 
-from sparkloom.operators import sessions
+from sparkloom.operators import artifacts, sessions
 from sparkloom.operators.matching import Rule
 from sparkloom.operators.vocabulary import Vocabulary
 from sparkloom.plans.registry import QUERIES, SQL
@@ -87,3 +87,23 @@ def test_training_set_round_trip(spark, folder, tmp_path):
 
 def test_query(spark, same_as_sql):
     same_as_sql(QUERIES["session_rows"](spark, DATA), SQL["session_rows"])
+
+
+def test_places_over_batches_and_splits(spark, tmp_path):
+    path, rows = f"{tmp_path}/set", spark.range(3000).selectExpr("id AS accession", "'p' || id AS profile", "'MKV' AS sequence")
+    artifacts.write_train_text(rows, path, 3)
+    artifacts.write_train_text(rows.selectExpr("accession", "'q' || accession AS profile", "sequence"), path, 4, append=True)
+    made = sessions.TrainingSet(path, 6000, "protein", PROFILES, Vocabulary.of("MKV"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        placed = made.rows(spark, "k")
+        found = placed.select("k", "profile", "pos.block").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len({r["block"] for r in found}) > 10
+    assert sorted((r["k"], r["profile"]) for r in found) == [(i, f"{'pq'[i // 3000]}{i % 3000}") for i in range(6000)]
+    # Lines are numbered where they lie, without a sort or a shuffle of texts.
+    assert "rangepartitioning" not in placed._jdf.queryExecution().executedPlan().toString()
