@@ -32,10 +32,28 @@ def place() -> Column:
     return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("n")).alias("pos")
 
 
+def made_once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with further columns that are evaluated once a row: filters on them stay above, not copied to the source."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", "\n//").text(path).select("value", place())
+
+
+def _stripped(value: Column) -> Column:
+    """Without carriage returns, leading blanks and line ends, and trailing white space."""
+
+    def of(text: Column) -> Column:
+        # ``$`` also stands before a last line end of any kind.
+        loose = F.substring(text, -1, 1).rlike(r"[\s\u0085\u2028\u2029]")
+        return F.when(loose, F.regexp_replace(text, r"(?<!\s)\s+$", "")).otherwise(text)
+
+    return let(F.ltrim(F.ltrim(F.replace(value, F.lit("\r"), F.lit("")), F.lit(" \t")), F.lit("\n")), of)
+
+
 def _blocks(spark: SparkSession, path: str) -> DataFrame:
-    blocks = spark.read.option("lineSep", "\n//").text(path).select("value", place())
-    block = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "\r", ""), r"^[ \t]*\n*", ""), r"\s+$", "")
-    return blocks.select(block.alias("block"), "pos")
+    return made_once(_pieces(spark, path), block=_stripped(F.col("value"))).select("block", "pos")
 
 
 def flat_records(spark: SparkSession, path: str) -> DataFrame:
@@ -47,12 +65,12 @@ def complete_records(spark: SparkSession, path: str) -> DataFrame:
     """As ``flat_records``, without the tail of a file that no ``//`` line ends, as a truncated archive leaves it.
 
     What follows a file's last ``//`` is its last block: blank where the file is whole. Of damaged archives
-    ``archives.read_archives`` reads what can be read.
+    ``archives.read_archives`` reads what can be read. Blocks stay where they are read; what is sent around is a row for
+    each file.
     """
-    blocks = _blocks(spark, path)
-    file = F.col("pos.file_path")
-    last = blocks.groupBy(file.alias("file")).agg(F.max("pos").alias("last"))
-    joined = blocks.join(last, file == F.col("file"))
+    ends = _pieces(spark, path).groupBy("pos.file_path", "pos.file_block_start").agg(F.max("pos.n").alias("n"))
+    last = ends.groupBy(F.col("file_path").alias("file")).agg(F.max(F.struct("file_path", "file_block_start", "n")).alias("last"))
+    joined = _blocks(spark, path).join(F.broadcast(last), F.col("pos.file_path") == F.col("file"))
     return joined.where((F.col("pos") < F.col("last")) & (F.col("block") != "")).select("block", "pos")
 
 
@@ -70,7 +88,7 @@ def first_line(block: Column, tag: str) -> Column:
 
 def origin(block: Column) -> Column:
     at = F.instr(block, "ORIGIN")
-    return F.when(at == 0, "").otherwise(F.upper(F.regexp_replace(F.substr(block, at + 6), "[^A-Za-z]", "")))
+    return F.when(at == 0, "").otherwise(F.upper(F.regexp_replace(F.substr(block, at + 6), "[^A-Za-z]+", "")))
 
 
 def _unquoted(text: Column) -> Column:
@@ -79,34 +97,42 @@ def _unquoted(text: Column) -> Column:
 
 def location(raw: Column) -> tuple[Column, Column]:
     """Strand and (start, end) segments of a location: ranges or single places under complement, join and order."""
-    plain = F.trim(raw)
-    wrappers = F.regexp_extract(plain, r"^((?:(?:complement|join|order)\(\s*)*)", 1)
-    depth = F.length(wrappers) - F.length(F.replace(wrappers, F.lit("(")))
-    closed = plain.endswith(F.repeat(F.lit(")"), depth))
-    inner = F.when(closed, F.substr(plain, F.length(wrappers) + 1, F.length(plain) - F.length(wrappers) - depth)).otherwise("")
     shape = r"^[<>]?(\d+)(?:\.\.[<>]?(\d+))?$"
+    wrapped = lambda plain: F.regexp_extract(plain, r"^((?:(?:complement|join|order)\(\s*)*)", 1)
 
     def segment(part: Column) -> Column:
         start, end = F.regexp_extract(part, shape, 1), F.regexp_extract(part, shape, 2)
-        return F.struct(start.cast("int").alias("start"), F.when(end != "", end).otherwise(start).cast("int").alias("end"))
+        return F.struct(start.cast("int").alias("start"), let(end, lambda e: F.when(e != "", e).otherwise(start)).cast("int").alias("end"))
+
+    def segments(plain: Column, wrappers: Column, depth: Column) -> Column:
+        closed = plain.endswith(F.repeat(F.lit(")"), depth))
+        inner = F.when(closed, F.substr(plain, F.length(wrappers) + 1, F.length(plain) - F.length(wrappers) - depth)).otherwise("")
+        parts = F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(x)), lambda p: p.rlike(shape))
+        return F.transform(parts, segment)
 
-    parts = F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(x)), lambda p: p.rlike(shape))
-    strand = F.when(F.contains(wrappers, F.lit("complement(")), "-").otherwise("+")
-    return strand, F.transform(parts, segment)
+    def of(plain: Column) -> Column:
+        depth = lambda w: F.length(w) - F.length(F.replace(w, F.lit("(")))
+        return let(wrapped(plain), lambda w: let(depth(w), lambda d: segments(plain, w, d)))
+
+    strand = F.when(F.contains(wrapped(F.trim(raw)), F.lit("complement(")), "-").otherwise("+")
+    return strand, let(F.trim(raw), of)
 
 
 def _qualifier(payload: Column) -> Column:
     """(key, value) of a qualifier's lines; a flag has the value ``true``; continuations follow after a space."""
 
     def of(lines: Column) -> Column:
-        head = F.regexp_replace(F.trim(lines[0]), "^/+", "")
         more = F.transform(
             F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: x.startswith(QUALIFIER)),
             lambda x: _unquoted(F.substr(x, F.lit(22))),
         )
-        first = F.when(F.instr(head, "=") > 0, _unquoted(F.substr(head, F.instr(head, "=") + 1))).otherwise("true")
-        value = F.trim(F.array_join(F.concat(F.array(first), F.filter(more, lambda x: x != "")), " "))
-        return F.struct(F.trim(F.substring_index(head, "=", 1)).alias("key"), value.alias("value"))
+
+        def made(head: Column) -> Column:
+            first = F.when(F.instr(head, "=") > 0, _unquoted(F.substr(head, F.instr(head, "=") + 1))).otherwise("true")
+            value = F.trim(F.array_join(F.concat(F.array(first), F.filter(more, lambda x: x != "")), " "))
+            return F.struct(F.trim(F.substring_index(head, "=", 1)).alias("key"), value.alias("value"))
+
+        return let(F.regexp_replace(F.trim(lines[0]), "^/+", ""), made)
 
     return let(F.split(payload, "\n"), of)
 
@@ -120,20 +146,26 @@ def grouped(pairs: Column) -> Column:
     ))
 
 
-def features(block: Column) -> Column:
-    """The features of a GenBank record; those without a usable location go, and their qualifiers with them."""
+def features(block: Column, types: tuple[str, ...] = ()) -> Column:
+    """The features of a GenBank record; those without a usable location go, and their qualifiers with them.
+
+    With ``types``, in lower case, features of other types go before they are taken apart.
+    """
     at = F.instr(block, "FEATURES")
     section = F.substring_index(F.when(at > 0, F.substr(block, at + 8)).otherwise(""), "ORIGIN", 1)
 
+    first = lambda text: F.substring_index(text, "\n", 1)
+    type_of = lambda line: F.trim(F.substring(line, 6, 16))
+
     def feature(text: Column) -> Column:
         def of(parts: Column) -> Column:
-            line = F.substring_index(parts[0], "\n", 1)
+            line = first(parts[0])
             strand, segments = location(F.substr(line, F.lit(22)))
             pairs = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), _qualifier)
 
             def made(s: Column) -> Column:
                 return F.struct(
-                    F.trim(F.substring(line, 6, 16)).alias("feature_type"),
+                    type_of(line).alias("feature_type"),
                     F.array_min(F.transform(s, lambda x: x["start"])).alias("start"),
                     F.array_max(F.transform(s, lambda x: x["end"])).alias("end"),
                     strand.alias("strand"), s.alias("segments"), let(pairs, grouped).alias("qualifiers"),
@@ -143,8 +175,10 @@ def features(block: Column) -> Column:
 
         return let(F.split(text, rf"\n {{21}}(?=/)"), of)
 
-    texts = F.split(section, FEATURE_START)
-    found = F.transform(F.slice(texts, 2, F.greatest(F.size(texts), F.lit(1))), feature)
+    texts = let(F.split(section, FEATURE_START), lambda x: F.slice(x, 2, F.greatest(F.size(x), F.lit(1))))
+    if types:
+        texts = F.filter(texts, lambda text: F.lower(type_of(first(text))).isin(*types))
+    found = F.transform(texts, feature)
     return F.filter(found, lambda f: F.size(f["segments"]) > 0)
 
 
@@ -229,7 +263,7 @@ def read_genpept(spark: SparkSession, path: str, source_name: str = "refseq", re
     """
     b, file = F.col("block"), F.col("pos.file_path")
     # Qualifiers come with any location; for a protein they are ranges of residues.
-    qualifiers = tracked_qualifiers(features(b))
+    qualifiers = tracked_qualifiers(features(b, TRACKED_FEATURES))
     version = F.regexp_extract(F.coalesce(F.nullif(field(b, "VERSION"), F.lit("")), field(b, "ACCESSION")), r"^(\S+)", 1)
     organism = F.coalesce(F.nullif(first_line(b, "ORGANISM"), F.lit("")), field(b, "SOURCE"))
     taxonomy = F.regexp_extract(b, r"(?m)^  ORGANISM.*((?:\n {12}.*)*)", 1)
@@ -237,17 +271,19 @@ def read_genpept(spark: SparkSession, path: str, source_name: str = "refseq", re
     fields = {
         "dataset_group": F.element_at(F.split(file, "/"), -2),
         "dataset_bundle": F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\.(gpff|faa)(\.gz)?$", ""),
-        "source_name": F.lit(source_name), "description": field(b, "DEFINITION"),
+        "source_name": F.lit(source_name), "description": F.col("described"),
         "keywords": without_period(field(b, "KEYWORDS")), "dbsource": field(b, "DBSOURCE"),
-        "scientific_name": plain(organism), "taxonomy": plain(taxonomy),
+        "scientific_name": F.col("organism"), "taxonomy": plain(taxonomy),
     }
     own = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in fields.items()])
     more = F.transform(F.map_entries(qualifiers), lambda e: F.struct(e["key"].alias("key"), F.array_join(e["value"], "; ").alias("value")))
     metadata = F.map_from_entries(F.filter(F.concat(own, more), lambda e: F.coalesce(F.trim(e["value"]) != "", F.lit(False))))
-    rows = records(spark, path).select(
-        canonical_accession(version).alias("accession"), version.alias("accession_version"), field(b, "DEFINITION").alias("described"),
-        plain(organism).alias("organism"), origin(b).alias("sequence"), metadata.alias("metadata"), "pos",
-    ).where("accession_version <> ''")
+    found = made_once(records(spark, path), accession_version=version).where("accession_version <> ''")
+    found = made_once(found, described=field(b, "DEFINITION"), organism=plain(organism))
+    rows = found.select(
+        canonical_accession(F.col("accession_version")).alias("accession"), "accession_version", "described", "organism",
+        origin(b).alias("sequence"), metadata.alias("metadata"), "pos",
+    )
     description = F.coalesce(F.nullif(F.col("described"), F.lit("")), F.col("metadata")["product"], F.lit(""))
     return rows.select("accession", "accession_version", description.alias("description"), "organism", "sequence", "metadata", "pos")
 

@@ -176,3 +176,26 @@ def test_manifests_scopes_and_metrics(spark, tmp_path):
     assert files.expected_rows(rows, 3).count() == 3
     with pytest.raises(ValueError, match="expected"):
         files.expected_rows(rows, 4)
+
+
+def test_blocks_stay_where_they_are_read(spark, tmp_path):
+    record = 'LOCUS       X\r\nDEFINITION  Protein {0}   \r\n            of two lines.\r\nVERSION     P{0}.1\r\nFEATURES             Location/Qualifiers\r\n'
+    record += '     Protein         join(1..3,<5..>9)\r\n                     /product="p{0}"\r\n     Site            4\r\n                     /note="not tracked"\r\n'
+    record += "     CDS             unknown\r\n                     /gene=\"lost\"\r\nORIGIN\r\n        1 mk va\r\n\u2028 \t\r\n//\r\n"
+    for name in ("a.gpff", "b.gpff"):
+        whole = "".join(record.format(f"{name[0]}{i}") for i in range(200))
+        (tmp_path / name).write_bytes((" \t\r\n" + whole + ("LOCUS  cut" if name == "b.gpff" else "")).encode())
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = flatfiles.read_genpept(spark, str(tmp_path))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        found = rows.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert sorted(r["accession"] for r in found) == sorted(f"P{n}{i}" for n in "ab" for i in range(200))
+    for r in found:
+        key = r["accession"][1:]
+        assert (r["description"], r["sequence"]) == (f"Protein {key} of two lines.", "MKVA")
+        assert r["metadata"]["product"] == f"p{key}" and not {"note", "gene"} & set(r["metadata"])
